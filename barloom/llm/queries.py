@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, urlfilter
+from . import chat, decontam, spm, urlfilter
 from .common import table
 
 
@@ -43,6 +43,41 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded: ids by digest, round trip and parity with the sentencepiece library."""
+    coded = spm.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", "pieces.n_tokens", "pieces.ids_sha256", "pieces.round_trip", "pieces.parity")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scanned for windows of the benchmark."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, w[i:i + least(10, len(w)) - 1] AS win, least(10, len(w)) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+docs AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM windows),
+spots AS (
+  SELECT row_id, size, i, w[i:i + size - 1] AS win
+  FROM (SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+hits AS (SELECT row_id, i, s.size, item FROM spots s JOIN windows USING (win)),
+hit_words AS (SELECT row_id, count(DISTINCT k) AS n_hit FROM (SELECT row_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY row_id),
+hit_items AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM hits) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
+"""
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the production rules and its aliases."""
     judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -93,9 +128,11 @@ FROM pages p LEFT JOIN keyed k ON p.url = k.any_url LEFT JOIN best b ON p.url =
 def queries() -> dict:
     return {
         "op2_chat_formatting": op2_chat_formatting,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op9_url_filters": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
