@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, spm, urlfilter
+from . import chat, decontam, neardup, spm, urlfilter
 from .common import table
 
 
@@ -43,6 +43,30 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document grouped by 3-word shingles at 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, w[i:i + least(3, len(w)) - 1] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE w <> [''])),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM common JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT u AS doc_id, min(v) AS m FROM reach GROUP BY u) USING (doc_id)
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded: ids by digest, round trip and parity with the sentencepiece library."""
     coded = spm.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -128,6 +152,7 @@ FROM pages p LEFT JOIN keyed k ON p.url = k.any_url LEFT JOIN best b ON p.url =
 def queries() -> dict:
     return {
         "op2_chat_formatting": op2_chat_formatting,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op5_sentencepiece": op5_sentencepiece,
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
@@ -135,4 +160,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
