@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, spm, urlfilter
+from . import chat, decontam, html_extract, neardup, spm, urlfilter
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+OP1_SQL = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)$', 1), '(?s)</article>.*', '') AS a FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '<(?:/?p|br|/?h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS b FROM article),
+decoded AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS d FROM bare)
+SELECT page_id, url, trim(regexp_replace(d, '\s+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(d, '\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM decoded
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the forged one (-1), formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -151,6 +166,7 @@ FROM pages p LEFT JOIN keyed k ON p.url = k.any_url LEFT JOIN best b ON p.url =
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_chat_formatting": op2_chat_formatting,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_sentencepiece": op5_sentencepiece,
@@ -160,4 +176,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
+    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
