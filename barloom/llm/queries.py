@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, neardup, spm, urlfilter
+from . import ann, chat, decontam, html_extract, neardup, spm, urlfilter
 from .common import table
 
 
@@ -88,6 +88,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "pieces.n_tokens", "pieces.ids_sha256", "pieces.round_trip", "pieces.parity")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
+    vectors = ann.valid_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scanned for windows of the benchmark."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -170,6 +176,7 @@ def queries() -> dict:
         "op2_chat_formatting": op2_chat_formatting,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
     }
