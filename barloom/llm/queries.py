@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_extract, neardup, spm, urlfilter
+from . import ann, chat, decontam, html_extract, neardup, spm, tokencount, urlfilter
 from .common import table
 
 
@@ -129,6 +129,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counted, edited by the redaction script and counted again where the edits touched it."""
+    return tokencount.count_with_edits(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE rules(rule_host, rule_path, says) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -179,6 +184,7 @@ def queries() -> dict:
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
+        "op10_token_counts": op10_token_counts,
     }
 
 
