@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_extract, neardup, spm, tokencount, urlfilter
+from . import ann, chat, decontam, html_extract, neardup, spm, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -88,6 +88,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "pieces.n_tokens", "pieces.ids_sha256", "pieces.round_trip", "pieces.parity")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity, learned from the labels outside the held-out third."""
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
     vectors = ann.valid_vectors(table(spark, sf_dir, "embeddings"))
@@ -181,6 +187,7 @@ def queries() -> dict:
         "op2_chat_formatting": op2_chat_formatting,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_toxicity": op6_toxicity,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
