@@ -11,6 +11,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from itertools import pairwise
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ THREADS = 2
 #: text handed to the tokenizer at once, which bounds the memory of its result
 CHUNK_CHARS = 1_000_000
 #: segments whose ids a worker remembers; the memory is emptied when full
-MEMORY = 300_000
+MEMORY = 600_000
 #: new segments that the tokenizer gets as one text
 RUN = 500
 UNIGRAM, BPE = 1, 2
@@ -92,36 +93,45 @@ def splits_at_markers(model: dict) -> bool:
     return not any(SPACE in p.lstrip(SPACE) for p, _, _ in model["pieces"])
 
 
-class SegmentEncoder:
-    """Encodes by segment and remembers segments; only for models that split at markers and map no characters."""
+class SegmentCoder:
+    """Codes by segment and remembers segments; only for models that split at markers and map no characters.
+
+    A segment is remembered as its ids (little-endian 32-bit) and the text that they decode to.
+    """
 
     def __init__(self, model: dict, tokenizer):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, decoders
 
         self.cutter = Tokenizer(tokenizer.model)
         self.cutter.pre_tokenizer = tokenizer.pre_tokenizer
+        self.cutter.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.prefix = SPACE if model["prefix"] else ""
         self.find = re.compile(SEGMENT).findall
-        self.known: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.surface: dict[str, str] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.find(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        new = list({s for segments in cut for s in segments if s not in known})
-        bare = [s for s in new if s.strip(SPACE) == ""]
-        new = [s for s in new if s.strip(SPACE)]
-        for segment in bare:
-            known[segment] = self.cutter.encode(segment, add_special_tokens=False).ids
+    def _learn(self, new: list[str]) -> None:
+        bare = [s for s in new if not s.strip(SPACE)]
+        words = [s for s in new if s.strip(SPACE)]
+        ids = [self.cutter.encode(s, add_special_tokens=False).ids for s in bare]
         # a run of segments is one text that the tokenizer cuts again at the same places
-        runs = [new[k : k + RUN] for k in range(0, len(new), RUN)]
-        for run, e in zip(runs, self.cutter.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = e.ids
-            starts = [0, *(k for k, (a, b) in enumerate(pairwise(e.word_ids), 1) if a != b), len(ids)]
-            for segment, (a, b) in zip(run, pairwise(starts), strict=True):
-                known[segment] = ids[a:b]
-        return [[i for s in segments for i in known[s]] for segments in cut]
+        runs = [words[k : k + RUN] for k in range(0, len(words), RUN)]
+        for e in self.cutter.encode_batch(["".join(r) for r in runs], add_special_tokens=False):
+            flat, of = e.ids, e.word_ids
+            starts = [0, *(k for k, (a, b) in enumerate(pairwise(of), 1) if a != b), len(flat)]
+            ids += [flat[a:b] for a, b in pairwise(starts)]
+        new = bare + words
+        self.surface.update(zip(new, self.cutter.decode_batch(ids, skip_special_tokens=False), strict=True))
+        self.ids.update((s, array("i", i).tobytes()) for s, i in zip(new, ids, strict=True))
+
+    def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        cut = [self.find(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.ids) > MEMORY:
+            self.ids, self.surface = {}, {}
+        self._learn(list(set().union(*cut) - self.ids.keys()))
+        ids, surface = self.ids.__getitem__, self.surface.__getitem__
+        skip = len(self.prefix)
+        return [(b"".join(map(ids, segments)), "".join(map(surface, segments))[skip:]) for segments in cut]
 
 
 def build_tokenizer(model: dict):
@@ -152,8 +162,14 @@ def build_tokenizer(model: dict):
     return tokenizer
 
 
+def _whole(tokenizer, texts: list[str]) -> list[tuple[bytes, str]]:
+    """Ids and decoded text of whole texts, for any model."""
+    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return [(array("i", i).tobytes(), t) for i, t in zip(ids, tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
+
+
 def load(path: str = MODEL, threads: int = THREADS):
-    """(tokenizer, batch encoder, sentencepiece processor) of a model file; one triple per Python worker."""
+    """(tokenizer, coder of batches, sentencepiece processor) of a model file; one triple per Python worker."""
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -164,8 +180,8 @@ def load(path: str = MODEL, threads: int = THREADS):
         model = parse_model(data)
         tokenizer = build_tokenizer(model)
         plain = splits_at_markers(model) and model["escape"] and not model["squeeze"] and not model["charsmap"]
-        encode = SegmentEncoder(model, tokenizer).encode if plain else lambda x: [e.ids for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)]
-        _loaded[path] = tokenizer, encode, sentencepiece.SentencePieceProcessor(model_proto=data)
+        coder = SegmentCoder(model, tokenizer) if plain else lambda texts: _whole(tokenizer, texts)
+        _loaded[path] = tokenizer, coder, sentencepiece.SentencePieceProcessor(model_proto=data)
     return _loaded[path]
 
 
@@ -181,14 +197,12 @@ def _chunks(texts: list[str], limit: int):
 
 
 def encode_texts(texts: list[str], path: str = MODEL, threads: int = THREADS):
-    """Per text: (ids, decoded text, parity with the sentencepiece library)."""
-    tokenizer, encode, reference = load(path, threads)
+    """Per text: (ids as little-endian 32-bit integers, decoded text, parity with the sentencepiece library)."""
+    _, coder, reference = load(path, threads)
     for chunk in _chunks(texts, CHUNK_CHARS):
-        ids = encode(chunk)
-        decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
         same = reference.encode(chunk, num_threads=threads)
-        for i, text, other in zip(ids, decoded, same, strict=True):
-            yield i, text, i == other
+        for (ids, decoded), other in zip(coder(chunk), same, strict=True):
+            yield ids, decoded, ids == array("i", other).tobytes()
 
 
 def annotate(docs: DataFrame, text_col: str = "text", into: str = "pieces", path: str = MODEL, threads: int = THREADS) -> DataFrame:
@@ -211,11 +225,10 @@ def annotate(docs: DataFrame, text_col: str = "text", into: str = "pieces", path
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             ids, rest = [], []
             for text, (i, back, parity) in zip(texts, encode_texts(texts, path, threads), strict=True):
-                raw = np.asarray(i, "<i4")
-                ids.append(raw)
-                rest.append((len(i), hashlib.sha256(raw.tobytes()).hexdigest(), back == text, parity))
-            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, "<i4"), *ids])
+                ids.append(i)
+                rest.append((len(i) // 4, hashlib.sha256(i).hexdigest(), back == text, parity))
+            offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), "<i4")
             n, sha, trip, parity = (list(x) for x in zip(*rest, strict=True)) if rest else ([], [], [], [])
             column = pa.StructArray.from_arrays(
                 [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())],
