@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_extract, neardup, spm, tokencount, toxicity, urlfilter
+from . import ann, chat, decontam, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -58,6 +58,11 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a self-attention model learned from those whose crc32 mod 7 is not 2."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document grouped by 3-word shingles at 0.85."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -185,6 +190,7 @@ def queries() -> dict:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_toxicity": op6_toxicity,
