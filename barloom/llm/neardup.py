@@ -6,7 +6,7 @@
 3. Representatives with a band key in common are candidates.  Inside a bucket links are sought by pivots: first
    each member against one pivot, then against the pivots of all its buckets, and last the pairs that are still in
    different components.  Nothing is skipped: a pair is left untested only once both sides are known to be in
-   one component.
+   one component, or when shingles that no partner has rule the link out.
 4. Every link is confirmed on the full shingle sets; components follow by alternating large-star and small-star.
 """
 
@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, Scratch
@@ -26,6 +27,10 @@ ROWS = 4
 #: bands are chosen so that a pair at the threshold is missed with at most this probability
 MISS = 1e-10
 SEED = 20240501
+#: pivots of a bucket that its members are tested against before the pairs that are left
+PIVOTS = 6
+#: members that may have a shingle for it to be rare: pairs that share one are listed
+RARE = 8
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -120,13 +125,59 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Buckets that still hold members of several components: key, id, n, comp."""
+    """Buckets that still hold members of several components: key, id, n, shared, comp."""
     if components is None:
         known = buckets.withColumn("comp", F.col("id"))
     else:
-        known = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("pivot")).where("lo <> hi")
-    return known.join(open_keys.select("key", "pivot"), "key")
+        known = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "shared", "dense", F.coalesce("component", "id").alias("comp"))
+    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return known.join(open_keys.select("key"), "key")
+
+
+def _pivot_pairs(open_: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(a, b): members against their bucket's pivots, those with the smallest share of shingles of their own."""
+    central = W.partitionBy("key").orderBy((F.col("n") - F.col("shared")) / F.col("n"), "id")
+    at = open_.withColumn("nth", F.row_number().over(central)).where(F.col("nth") <= pivots)
+    at = at.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("shared").alias("pivot_shared"))
+    near = open_.join(at, "key").where((F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & _can_link("n", "shared", "pivot_n", "pivot_shared", percent))
+    return near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+
+
+def _rest_pairs(open_: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs in different components that the bounds leave open.
+
+    A pair shares a rare shingle, which few members have, or it has only dense shingles in common, whose number bounds it.
+    """
+    apart = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
+    held = rare.where("c > 1").join(open_.select("id", "n", "shared", "comp").distinct(), "id")
+    by_rare = held.alias("x").join(held.alias("y"), (F.col("x.s") == F.col("y.s")) & apart & _can_link("x.n", "x.shared", "y.n", "y.shared", percent))
+    by_key = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _can_link("x.n", "x.dense", "y.n", "y.dense", percent))
+    ends = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    return by_rare.select(*ends).unionByName(by_key.select(*ends))
+
+
+def _rare_shingles(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s, id, c): shingles that at most RARE members of open buckets have, with how many have them."""
+    members = sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    few = members.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
+    return members.join(few, "s").select("s", "id", "c")
+
+
+def _with_shared(open_: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Open buckets again, with how many of a member's shingles any partner has (shared) and more than RARE have (dense).
+
+    Shingles that no partner has count in the union of a pair only, so members with too few shared ones go.
+    """
+    few = rare.groupBy("id").agg(F.count_if(F.col("c") == 1).alias("own"), F.count(F.lit(1)).alias("few"))
+    left = lambda c: F.col("n") - F.coalesce(c, F.lit(0))
+    known = open_.select("key", "id", "n").join(few, "id", "left").select("key", "id", "n", left("own").alias("shared"), left("few").alias("dense"))
+    return known.where(100 * F.col("shared") >= percent * F.col("n"))
+
+
+def _can_link(n: str, shared: str, m: str, other: str, percent: int):
+    """No more than the shared shingles of either can be common."""
+    most = F.least(F.col(shared), F.col(other))
+    return 100 * most >= percent * (F.col(n) + F.col(m) - most)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
@@ -143,26 +194,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     reps = scratch.put(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "reps")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    buckets = scratch.put(keyed.join(shared, "key"), "buckets")
+    buckets = scratch.put(keyed.join(shared, "key").withColumns({"shared": F.col("n"), "dense": F.col("n")}), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = scratch.put(_full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
 
-    components, tested = None, None
-    for step in ("one pivot", "all pivots", "rest"):
+    components, tested, rare = None, None, None
+    for step, pivots in enumerate((1, PIVOTS, 0)):
         open_ = _labelled(buckets, components)
-        if step == "rest":
-            x, y = open_.alias("x"), open_.alias("y")
-            close = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-            close &= (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            pairs = x.join(y, close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            at = open_.where("id = pivot").select("key", F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"))
-            near = open_.join(at, "key").where(
-                (F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-            )
-            pairs = near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-            if step == "one pivot":
-                pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
+        if step == 1:
+            rare = scratch.put(_rare_shingles(open_, sets), "rare")
+            buckets = scratch.put(_with_shared(open_, rare, percent), "open")
+            open_ = _labelled(buckets, components)
+        pairs = _pivot_pairs(open_, pivots, percent) if pivots else _rest_pairs(open_, rare, percent)
+        if step == 0:
+            pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
