@@ -153,7 +153,8 @@ def lead_lag(frame: DataFrame, lags: tuple[int, ...] = (1, 2, 3), threshold: flo
     b = frame.select("ts", F.col("symbol").alias("target"), F.col("fwd_ret_5").alias("fwd"))
     both = a.join(b, "ts").where("source <> target")
     w = Window.partitionBy("source", "target").orderBy("ts")
-    later = both.select("source", "target", "moved", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("fwd", k).over(w).alias("r")) for k in lags])).alias("x"))
+    both = both.withColumns({f"_r{k}": F.lead("fwd", k).over(w) for k in lags})
+    later = both.select("source", "target", "moved", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_r{k}").alias("r")) for k in lags])).alias("x"))
     kept = later.where(F.abs("moved") > threshold).select("source", "target", "x.*").where("r is not null")
     return kept.groupBy("source", "target", "lag").agg(
         F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.expr("percentile(r, 0.5)").alias("median"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate")

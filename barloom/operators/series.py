@@ -174,12 +174,6 @@ def mask_persistence(flags: DataFrame, flag: str, least: int) -> DataFrame:
     return runs.withColumn("kept", F.col(flag) & (size >= least)).drop("_run")
 
 
-def run_length(on: Column, change_key: str = "symbol") -> tuple[Column, Column]:
-    """(key of the run of equal values of ``on``, window to count inside it) — gaps and islands."""
-    change = F.coalesce((on != F.lag(on).over(series())).cast("int"), F.lit(1))
-    return change, series("_island")
-
-
 # --- features --------------------------------------------------------------------------------------------------------
 
 
@@ -292,7 +286,7 @@ def baselines(frame: DataFrame) -> DataFrame:
     w14, w20 = series().rowsBetween(-13, 0), series().rowsBetween(-19, 0)
     past = series().rowsBetween(Window.unboundedPreceding, 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    out = frame.withColumns({"_up": F.greatest(change, F.lit(0.0)), "_down": F.greatest(-change, F.lit(0.0)), "_pv": typical * F.col("volume")})
+    out = frame.withColumns({"_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), "_pv": typical * F.col("volume")})
     up, down = F.avg("_up").over(w14), F.avg("_down").over(w14)
     mean, sd, n = F.avg("close").over(w20), F.stddev_samp("close").over(w20), F.count("close").over(w20)
     vwap = ratio(F.sum("_pv").over(past), F.sum("volume").over(past))

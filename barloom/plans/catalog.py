@@ -1,11 +1,619 @@
-"""Registry of the engine's own queries and the SQL each is held against."""
+"""Registry of the engine's own queries and the SQL each is held against.
+
+Floating results are rounded on both sides, so the comparison does not hang on the order of sums.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import indicators as ind
+from ..operators import inference as inf
+from ..operators import relations as rel
+from ..operators import series as ser
+from ..operators import trading as trd
+from ..sources.tables import BARS_SQL, CHAIN_SQL, TRADES_SQL, bars, chain, trades
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
+    """Doubles rounded; the sign of zero dropped."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def r(*names: str, digits: int = 5) -> str:
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n.rpartition('.')[2]}" for n in names)
+
+
+_W = "OVER (PARTITION BY symbol ORDER BY ts"
+#: bars with their one- to fifteen-bar returns
+RETURNS_SQL = "ret AS (SELECT *, " + ", ".join(f"(close / nullif(lag(close, {n}) {_W}), 0) - 1) * 100 AS return_{n}" for n in (1, 2, 3, 5, 10, 15)) + " FROM bars)"
+CRET_SQL = RETURNS_SQL.replace("FROM bars", "FROM chain").replace("ret AS", "cret AS")
+
+
+# --- bars ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"SELECT symbol, position, count(*) AS n FROM (SELECT symbol, CASE WHEN k < 20 THEN 0 WHEN close > m THEN 1 ELSE -1 END AS position FROM (SELECT symbol, close, avg(close) {_W} ROWS 19 PRECEDING) AS m, count(*) {_W} ROWS 19 PRECEDING) AS k FROM bars)) GROUP BY ALL",
+    BARS_SQL,
+)
+def sma_signal(spark, sf_dir):
+    s = ind.signals(bars(spark, sf_dir), "SMA")
+    return s.groupBy("symbol", "position").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT symbol, ts, open, high, low, close, volume FROM bars", BARS_SQL)
+def bars_from_events(spark, sf_dir):
+    return bars(spark, sf_dir)
+
+
+@query("SELECT ts, expiry, strike, option_type, symbol, open, high, low, close, volume, oi FROM chain", CHAIN_SQL)
+def chain_from_lineitem(spark, sf_dir):
+    return chain(spark, sf_dir)
+
+
+@query(
+    "SELECT symbol, time_bucket(INTERVAL 4 HOURS, ts + INTERVAL 330 MINUTES, TIMESTAMP '1970-01-01') - INTERVAL 330 MINUTES AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, count(*) AS n_bars FROM bars GROUP BY ALL",
+    BARS_SQL,
+)
+def resample_4h(spark, sf_dir):
+    return ser.resample(bars(spark, sf_dir), 240)
+
+
+@query(
+    "SELECT symbol, CAST(CASE WHEN hour(l) < 6 THEN CAST(l AS DATE) - 1 ELSE CAST(l AS DATE) END AS TIMESTAMP) AS ts, arg_min(open, t) AS open, max(high) AS high, min(low) AS low, arg_max(close, t) AS close, sum(volume) AS volume, count(*) AS n_bars FROM (SELECT *, ts AS t, ts + INTERVAL 330 MINUTES AS l FROM bars) GROUP BY symbol, 2",
+    BARS_SQL,
+)
+def resample_session_day(spark, sf_dir):
+    return ser.resample(bars(spark, sf_dir), 1440)
+
+
+@query(
+    f"SELECT symbol, round(median(gap), 4) AS gap, CAST(60 AS INT) AS minutes FROM (SELECT symbol, epoch(ts - lag(ts) {_W})) / 60 AS gap FROM bars) WHERE gap > 0 GROUP BY symbol",
+    BARS_SQL,
+)
+def bar_frequency(spark, sf_dir):
+    return ser.frequency(bars(spark, sf_dir))
+
+
+@query(
+    "SELECT day, unnest(range(a, b + INTERVAL 1 SECOND, INTERVAL 1 HOUR)) AS ts FROM (SELECT CAST(ts AS DATE) AS day, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1)",
+    BARS_SQL,
+)
+def session_grid(spark, sf_dir):
+    return ser.session_grid(bars(spark, sf_dir))
+
+
+@query(
+    "SELECT d.symbol, count(*) AS slots, count(b.ts) AS present FROM (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM bars) d JOIN (SELECT day, unnest(range(a, b + INTERVAL 1 SECOND, INTERVAL 1 HOUR)) AS ts FROM (SELECT CAST(ts AS DATE) AS day, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1)) g USING (day) LEFT JOIN bars b ON b.symbol = d.symbol AND b.ts = g.ts GROUP BY ALL",
+    BARS_SQL,
+)
+def align_to_grid(spark, sf_dir):
+    a = ser.align_to_grid(bars(spark, sf_dir))
+    return a.groupBy("symbol").agg(F.count(F.lit(1)).alias("slots"), F.count_if("present").alias("present"))
+
+
+@query(
+    "SELECT symbol, k AS cluster, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM (SELECT symbol, ts, sum(f) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM (SELECT event_type AS symbol, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 10 MINUTES THEN 0 ELSE 1 END AS f FROM events)) GROUP BY ALL"
+)
+def event_clusters(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return ser.clusters(e, "10 minutes")
+
+
+@query(
+    "SELECT symbol, count(*) FILTER (m BETWEEN 555 AND 930) AS in_session, count(*) FILTER ((m >= 600 AND m < 660) OR (m >= 780 AND m < 840)) AS in_windows FROM (SELECT symbol, hour(ts + INTERVAL 330 MINUTES) * 60 + minute(ts + INTERVAL 330 MINUTES) AS m FROM bars) GROUP BY symbol",
+    BARS_SQL,
+)
+def session_masks(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return b.groupBy("symbol").agg(
+        F.count_if(ser.session_mask(F.col("ts"), "09:15", "15:30")).alias("in_session"), F.count_if(ser.window_mask(F.col("ts"), [("10:00", "11:00"), ("13:00", "14:00")])).alias("in_windows")
+    )
+
+
+@query(
+    f"SELECT symbol, count(*) FILTER (f) AS raw, count(*) FILTER (f AND size >= 3) AS kept FROM (SELECT symbol, f, count(*) OVER (PARTITION BY symbol, k) AS size FROM (SELECT symbol, ts, f, sum(c) {_W}) AS k FROM (SELECT symbol, ts, f, CASE WHEN f <> lag(f) {_W}) THEN 1 ELSE 0 END AS c FROM (SELECT symbol, ts, close > 50 AS f FROM bars)))) GROUP BY symbol",
+    BARS_SQL,
+)
+def mask_persistence(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("f", F.col("close") > 50)
+    return ser.mask_persistence(b, "f", 3).groupBy("symbol").agg(F.count_if("f").alias("raw"), F.count_if("kept").alias("kept"))
+
+
+# --- features --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"SELECT symbol, ts, {r(*[f'return_{n}' for n in (1, 2, 3, 5, 10, 15)], 'accel_1_2', 'accel_1_3', 'accel_3_10')} FROM (SELECT *, return_1 - return_2 AS accel_1_2, return_1 - return_3 AS accel_1_3, return_3 - return_10 * CAST(0.3 AS DOUBLE) AS accel_3_10 FROM ret)",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def feature_returns(spark, sf_dir):
+    return rounded(ser.returns(bars(spark, sf_dir)).drop("open", "high", "low", "close", "volume"))
+
+
+@query(
+    f"SELECT symbol, ts, CAST(CASE WHEN s > 0 THEN k ELSE 0 END AS INT) AS up_bars, CAST(CASE WHEN s < 0 THEN k ELSE 0 END AS INT) AS down_bars, CAST(CASE WHEN s <> 0 THEN k ELSE 0 END AS INT) AS streak FROM (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY ts) AS k FROM (SELECT *, sum(c) {_W}) AS run FROM (SELECT *, CASE WHEN s = lag(s) {_W}) THEN 0 ELSE 1 END AS c FROM (SELECT symbol, ts, coalesce(sign(return_1), 0) AS s FROM ret))))",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def feature_streaks(spark, sf_dir):
+    return ser.streaks(ser.returns(bars(spark, sf_dir))).select("symbol", "ts", "up_bars", "down_bars", "streak")
+
+
+@query(
+    f'SELECT symbol, ts, round("range", 5) + 0.0 AS "range", {r("body", "body_pct", "upper_wick", "lower_wick", "close_location", "body_to_range")} FROM (SELECT symbol, ts, high - low AS "range", close - open AS body, (close - open) / nullif(open, 0) * 100 AS body_pct, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick, (close - low) / nullif(high - low, 0) AS close_location, abs(close - open) / nullif(high - low, 0) AS body_to_range FROM bars)',
+    BARS_SQL,
+)
+def feature_candles(spark, sf_dir):
+    return rounded(ser.candles(bars(spark, sf_dir)).drop("open", "high", "low", "close", "volume"))
+
+
+_F120 = f"{_W} ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    f"SELECT symbol, ts, {r('rolling_high', 'rolling_low', 'volume_zscore', 'distance_from_mean', 'range_position')} FROM (SELECT *, (close / nullif(rolling_mean, 0) - 1) * 100 AS distance_from_mean, (close - rolling_low) / nullif(rolling_high - rolling_low, 0) AS range_position FROM (SELECT symbol, ts, close, CASE WHEN count(*) {_F120} >= 20 THEN avg(close) {_F120} END AS rolling_mean, CASE WHEN count(*) {_F120} >= 20 THEN max(high) {_F120} END AS rolling_high, CASE WHEN count(*) {_F120} >= 20 THEN min(low) {_F120} END AS rolling_low, CASE WHEN count(*) {_F120} >= 20 THEN (volume - avg(volume) {_F120}) / nullif(stddev_samp(volume) {_F120}, 0) END AS volume_zscore FROM bars))",
+    BARS_SQL,
+)
+def feature_trailing(spark, sf_dir):
+    return rounded(ser.trailing(bars(spark, sf_dir)).select("symbol", "ts", "rolling_high", "rolling_low", "volume_zscore", "distance_from_mean", "range_position"))
+
+
+def _prior(n: int) -> str:
+    return f"{_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    f"SELECT symbol, ts, {r('atr_range', 'atr_true', 'range_expansion', 'realized_vol_20')} FROM (SELECT symbol, ts, CASE WHEN count(rg) {_prior(14)} >= 5 THEN avg(rg) {_prior(14)} END AS atr_range, CASE WHEN count(tr) {_prior(14)} >= 5 THEN avg(tr) {_prior(14)} END AS atr_true, rg / nullif(CASE WHEN count(rg) {_prior(10)} >= 5 THEN avg(rg) {_prior(10)} END, 0) AS range_expansion, CASE WHEN count(rr) {_prior(20)} >= 10 THEN stddev_samp(rr) {_prior(20)} END AS realized_vol_20 FROM (SELECT symbol, ts, high - low AS rg, greatest(high - low, abs(high - p), abs(low - p)) AS tr, close / nullif(p, 0) - 1 AS rr FROM (SELECT *, lag(close) {_W}) AS p FROM bars)))",
+    BARS_SQL,
+)
+def feature_volatility(spark, sf_dir):
+    return rounded(ser.volatility(bars(spark, sf_dir)).select("symbol", "ts", "atr_range", "atr_true", "range_expansion", "realized_vol_20"))
+
+
+@query(
+    f"SELECT symbol, ts, {r('range_pct', digits=4)} FROM (SELECT a.symbol, a.ts, CASE WHEN count(*) >= 20 THEN 100.0 * count(*) FILTER (b.rg <= a.rg) / count(*) END AS range_pct FROM (SELECT symbol, ts, high - low AS rg, row_number() {_W}) AS k FROM bars) a JOIN (SELECT symbol, high - low AS rg, row_number() {_W}) AS k FROM bars) b ON a.symbol = b.symbol AND b.k BETWEEN a.k - 119 AND a.k GROUP BY a.symbol, a.ts)",
+    BARS_SQL,
+)
+def feature_percentile(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("range", F.col("high") - F.col("low"))
+    return rounded(b.select("symbol", "ts", ser.percentile_of("range").alias("range_pct")), 4)
+
+
+@query(
+    f"SELECT symbol, ts, {r('rsi_14', 'ma_20', 'bb_pos', 'roc_5', 'vwap_deviation', digits=4)} FROM (SELECT symbol, ts, CASE WHEN count(d) {_W} ROWS 13 PRECEDING) >= 14 THEN 100 - 100 / nullif(1 + avg(greatest(d, 0)) {_W} ROWS 13 PRECEDING) / nullif(avg(greatest(-d, 0)) {_W} ROWS 13 PRECEDING), 0), 0) END AS rsi_14, CASE WHEN count(*) {_W} ROWS 19 PRECEDING) >= 20 THEN avg(close) {_W} ROWS 19 PRECEDING) END AS ma_20, CASE WHEN count(*) {_W} ROWS 19 PRECEDING) >= 20 THEN (close - avg(close) {_W} ROWS 19 PRECEDING)) / nullif(2 * stddev_samp(close) {_W} ROWS 19 PRECEDING), 0) END AS bb_pos, (close / nullif(lag(close, 5) {_W}), 0) - 1) * 100 AS roc_5, (close / nullif(sum((high + low + close) / 3 * volume) {_W} ROWS UNBOUNDED PRECEDING) / sum(volume) {_W} ROWS UNBOUNDED PRECEDING), 0) - 1) * 100 AS vwap_deviation FROM (SELECT *, close - lag(close) {_W}) AS d FROM bars))",
+    BARS_SQL,
+)
+def feature_baselines(spark, sf_dir):
+    return rounded(ser.baselines(bars(spark, sf_dir)).select("symbol", "ts", "rsi_14", "ma_20", "bb_pos", "roc_5", "vwap_deviation"), 4)
+
+
+@query(
+    f"SELECT symbol, ts, {r('momentum_5', 'momentum_10', 'gap', 'pullback', 'cumulative_return_5')} FROM (SELECT symbol, ts, CASE WHEN count(return_1) {_prior(5)} >= 5 THEN avg(return_1) {_prior(5)} END AS momentum_5, CASE WHEN count(return_1) {_prior(10)} >= 5 THEN avg(return_1) {_prior(10)} END AS momentum_10, (open / nullif(lag(close) {_W}), 0) - 1) * 100 AS gap, (max(high) {_W} ROWS 5 PRECEDING) - close) / nullif(max(high) {_W} ROWS 5 PRECEDING), 0) * 100 AS pullback, CASE WHEN count(return_1) {_prior(5)} >= 5 THEN sum(return_1) {_prior(5)} END AS cumulative_return_5 FROM ret)",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def feature_momentum(spark, sf_dir):
+    return rounded(ser.momentum(ser.returns(bars(spark, sf_dir))).select("symbol", "ts", "momentum_5", "momentum_10", "gap", "pullback", "cumulative_return_5"))
+
+
+def _ahead(n: int) -> str:
+    return f"{_W} ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
+
+
+LABELS_SQL = "lab AS (SELECT symbol, ts, close, high, low, return_1, return_5, " + ", ".join(
+    f"(lead(close, {n}) {_W}) / nullif(close, 0) - 1) * 100 AS fwd_ret_{n}, CASE WHEN count(*) {_ahead(n)} >= {n} THEN (max(high) {_ahead(n)} / nullif(close, 0) - 1) * 100 END AS mfe_{n}, CASE WHEN count(*) {_ahead(n)} >= {n} THEN (min(low) {_ahead(n)} / nullif(close, 0) - 1) * 100 END AS mae_{n}"
+    for n in (1, 3, 5, 10)
+) + " FROM ret)"
+
+
+@query("SELECT symbol, ts, " + r(*[f"{k}_{n}" for n in (1, 3, 5, 10) for k in ("fwd_ret", "mfe", "mae")]) + " FROM lab", BARS_SQL, RETURNS_SQL, LABELS_SQL)
+def forward_labels(spark, sf_dir):
+    made = ser.labels(bars(spark, sf_dir), (1, 3, 5, 10))
+    return rounded(made.drop("open", "high", "low", "close", "volume"))
+
+
+@query(
+    "SELECT horizon, count(*) AS n, "
+    + "round(avg(y), 4) AS mean, round(quantile_cont(y, 0.5), 4) AS median, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate, round(quantile_cont(best, 0.9), 4) AS mfe_p90, round(quantile_cont(worst, 0.1), 4) AS mae_p10 FROM ("
+    + " UNION ALL ".join(f"SELECT {n} AS horizon, fwd_ret_{n} AS y, mfe_{n} AS best, mae_{n} AS worst FROM lab WHERE return_1 > 50" for n in (1, 3, 5, 10))
+    + ") WHERE y IS NOT NULL GROUP BY horizon",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+)
+def return_path(spark, sf_dir):
+    frame = ser.labels(ser.returns(bars(spark, sf_dir)), (1, 3, 5, 10))
+    return rounded(ser.return_path(frame, F.col("return_1") > 50), 4)
+
+
+@query(
+    f"SELECT seq3, count(*) AS n FROM (SELECT CASE WHEN lag(s, 3) {_W}) IS NOT NULL THEN concat_ws('|', lag(s, 3) {_W}), lag(s, 2) {_W}), lag(s, 1) {_W})) END AS seq3 FROM (SELECT symbol, ts, CASE WHEN return_1 > 1 THEN 'strong_up' WHEN return_1 > 0.2 THEN 'weak_up' WHEN return_1 < -1 THEN 'strong_down' WHEN return_1 < -0.2 THEN 'weak_down' WHEN return_1 IS NOT NULL THEN 'flat' END AS s FROM ret)) WHERE seq3 IS NOT NULL GROUP BY seq3",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def state_sequences(spark, sf_dir):
+    s = ser.sequences(ser.returns(bars(spark, sf_dir)))
+    return s.where("seq3 is not null").groupBy("seq3").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"SELECT symbol, CAST(sum(CASE WHEN abs(z) > 2.5 THEN 1 ELSE 0 END) AS BIGINT) AS large_ret, CAST(sum(CASE WHEN vz > 2 THEN 1 ELSE 0 END) AS BIGINT) AS vol_shock FROM (SELECT symbol, CASE WHEN count(return_5) {_F120} >= 20 THEN (return_5 - avg(return_5) {_F120}) / nullif(stddev_samp(return_5) {_F120}, 0) END AS z, CASE WHEN count(*) {_F120} >= 20 THEN (volume - avg(volume) {_F120}) / nullif(stddev_samp(volume) {_F120}, 0) END AS vz FROM ret) GROUP BY symbol",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def atomic_events(spark, sf_dir):
+    f = ser.atomic_events(ser.volatility(ser.trailing(ser.returns(bars(spark, sf_dir)))))
+    return f.groupBy("symbol").agg(F.sum("e_large_ret").alias("large_ret"), F.sum("e_vol_shock").alias("vol_shock"))
+
+
+@query(
+    "SELECT f AS feature, count(*) AS n, count(v) AS valid, count(DISTINCT v) AS distinct, round(1 - count(v) / count(*), 6) AS missing, CASE WHEN 1 - count(v) / count(*) < 0.2 THEN 'FULL' ELSE 'LIMITED' END AS tier, coalesce(var_samp(v) > 0, false) AS usable FROM (SELECT 'return_1' AS f, return_1 AS v FROM ret UNION ALL SELECT 'return_15', return_15 FROM ret) GROUP BY f",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def feature_quality(spark, sf_dir):
+    return ser.feature_quality(ser.returns(bars(spark, sf_dir)), ["return_1", "return_15"])
+
+
+@query(
+    "SELECT symbol, count(*) AS n_bars, count(*) FILTER (high < greatest(open, close) OR low > least(open, close) OR high < low) AS bad_bars, count(*) - count(DISTINCT ts) AS repeated, count(DISTINCT CAST(ts AS DATE)) AS days, avg(CASE WHEN volume > 0 THEN 1.0 ELSE 0.0 END) AS volume_coverage, CASE WHEN count(*) < 200 THEN 'SHORT' ELSE 'OK' END AS status FROM bars GROUP BY symbol",
+    BARS_SQL,
+)
+def data_health(spark, sf_dir):
+    return ser.health(bars(spark, sf_dir))
+
+
+# --- chain -----------------------------------------------------------------------------------------------------------
+
+
+def _chain_returns(spark, sf_dir):
+    return ser.returns(chain(spark, sf_dir), (1, 2, 3, 5, 10, 15))
+
+
+@query(
+    "SELECT a.ts, a.expiry, a.strike, round(a.return_5 - b.return_5, 5) + 0.0 AS type_ret_diff, round(a.volume / nullif(b.volume, 0), 5) + 0.0 AS type_vol_ratio, CAST(coalesce(a.return_5 > 1 AND b.return_5 < 0.5, false) AS INT) AS ev_a_leads_b FROM cret a JOIN cret b USING (ts, expiry, strike) WHERE a.option_type = 'CE' AND b.option_type = 'PE'",
+    CHAIN_SQL,
+    CRET_SQL,
+)
+def type_pairs(spark, sf_dir):
+    return rounded(rel.type_pairs(_chain_returns(spark, sf_dir)).select("ts", "expiry", "strike", "type_ret_diff", "type_vol_ratio", "ev_a_leads_b"))
+
+
+@query(
+    "SELECT a.ts, a.expiry, a.option_type, a.strike AS strike_a, b.strike AS strike_b, round(a.return_5 - b.return_5, 5) + 0.0 AS return_5_diff, round(a.volume - b.volume, 5) + 0.0 AS volume_diff FROM cret a JOIN cret b ON a.ts = b.ts AND a.expiry = b.expiry AND a.option_type = b.option_type AND a.strike < b.strike",
+    CHAIN_SQL,
+    CRET_SQL,
+)
+def strike_pairs(spark, sf_dir):
+    return rounded(rel.strike_pairs(_chain_returns(spark, sf_dir)))
+
+
+@query(
+    "SELECT ts, count(*) AS n, " + ", ".join(f"round(avg(return_5) FILTER (option_type = '{k}'), 5) + 0.0 AS {v}_ret, round(avg(CASE WHEN return_5 > 0 THEN 1.0 WHEN return_5 IS NOT NULL THEN 0.0 END) FILTER (option_type = '{k}'), 5) + 0.0 AS {v}_up" for k, v in (("CE", "ce"), ("PE", "pe"))) + " FROM cret GROUP BY ts",
+    CHAIN_SQL,
+    CRET_SQL,
+)
+def chain_breadth(spark, sf_dir):
+    return rounded(rel.breadth(_chain_returns(spark, sf_dir)).drop("ret_diff", "up_diff"))
+
+
+@query(
+    "SELECT ts, count(*) AS n, round(sum(s * s), 6) + 0.0 AS concentration, round(avg(return_1), 5) + 0.0 AS chain_momentum FROM (SELECT *, volume / sum(volume) OVER (PARTITION BY ts) AS s FROM cret) GROUP BY ts",
+    CHAIN_SQL,
+    CRET_SQL,
+)
+def chain_cross_section(spark, sf_dir):
+    x = rel.cross_section(_chain_returns(spark, sf_dir))
+    return x.select("ts", "n", (F.round("concentration", 6) + 0.0).alias("concentration"), (F.round("chain_momentum", 5) + 0.0).alias("chain_momentum"))
+
+
+@query("SELECT ts, arg_min(strike, struct_pack(d := d, s := strike)) AS atm FROM (SELECT a.ts, a.strike, abs(a.close - b.close) AS d FROM chain a JOIN chain b USING (ts, strike) WHERE a.option_type = 'CE' AND b.option_type = 'PE') GROUP BY ts", CHAIN_SQL)
+def parity_atm(spark, sf_dir):
+    return rel.parity_atm(chain(spark, sf_dir))
+
+
+@query("SELECT expiry, median(gap) AS step FROM (SELECT expiry, strike - lag(strike) OVER (PARTITION BY expiry ORDER BY strike) AS gap FROM (SELECT DISTINCT expiry, strike FROM chain)) WHERE gap > 0 GROUP BY expiry", CHAIN_SQL)
+def strike_step(spark, sf_dir):
+    return rel.strike_step(chain(spark, sf_dir))
+
+
+@query("SELECT ts, round(coalesce((ce + pe) / 2, ce, pe), 6) AS close, high, low, volume FROM (SELECT ts, avg(close) FILTER (option_type = 'CE') AS ce, avg(close) FILTER (option_type = 'PE') AS pe, max(high) AS high, min(low) AS low, round(sum(volume), 4) AS volume FROM chain GROUP BY ts)", CHAIN_SQL)
+def straddle_underlying(spark, sf_dir):
+    return rounded(rel.straddle(chain(spark, sf_dir)).select("ts", "close", "high", "low", "volume"), 6)
+
+
+@query("SELECT a.symbol, a.ts, b.close AS other_close FROM bars a ASOF LEFT JOIN (SELECT ts, max(close) AS close FROM bars WHERE symbol = 'click' GROUP BY ts) b ON a.ts >= b.ts WHERE a.symbol <> 'click'", BARS_SQL)
+def asof_backward(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    left = b.where("symbol <> 'click'").select(F.lit("x").alias("k"), "symbol", "ts")
+    right = b.where("symbol = 'click'").select(F.lit("x").alias("k"), "ts", F.col("close").alias("other_close"))
+    return rel.asof(left, right, "other_close", keys=("k",)).select("symbol", "ts", "other_close")
+
+
+@query("SELECT a.symbol, a.ts, (SELECT arg_min(b.close, b.ts) FROM bars b WHERE b.symbol = 'click' AND b.ts >= a.ts) AS other_close FROM bars a WHERE a.symbol <> 'click'", BARS_SQL)
+def asof_forward(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    left = b.where("symbol <> 'click'").select(F.lit("x").alias("k"), "symbol", "ts")
+    right = b.where("symbol = 'click'").select(F.lit("x").alias("k"), "ts", F.col("close").alias("other_close"))
+    return rel.asof(left, right, "other_close", keys=("k",), forward=True).select("symbol", "ts", "other_close")
+
+
+@query(
+    "SELECT source, target, lag, count(*) AS n, round(avg(y), 4) + 0.0 AS mean, round(quantile_cont(y, 0.5), 4) + 0.0 AS median, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate FROM ("
+    + " UNION ALL ".join(f"SELECT source, target, {k} AS lag, moved, lead(fwd, {k}) OVER (PARTITION BY source, target ORDER BY ts) AS y FROM pairs" for k in (1, 2, 3))
+    + ") WHERE abs(moved) > 1 AND y IS NOT NULL GROUP BY ALL HAVING count(*) >= 20",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+    "pairs AS (SELECT a.ts, a.symbol AS source, b.symbol AS target, a.return_1 AS moved, b.fwd_ret_5 AS fwd FROM lab a JOIN lab b ON a.ts = b.ts AND a.symbol <> b.symbol)",
+)
+def lead_lag(spark, sf_dir):
+    return rounded(rel.lead_lag(ser.labels(ser.returns(bars(spark, sf_dir)), (5,))), 4)
+
+
+@query("SELECT CASE WHEN grouping(symbol) = 0 THEN 'contract' WHEN grouping(expiry) = 0 THEN 'expiry' ELSE 'all' END AS level, expiry, symbol, count(*) AS n, round(sum(volume), 2) AS net FROM chain GROUP BY GROUPING SETS ((expiry, symbol), (expiry), ())", CHAIN_SQL)
+def pooled_levels(spark, sf_dir):
+    return rounded(rel.pooled_levels(chain(spark, sf_dir).withColumnRenamed("volume", "net")), 2)
+
+
+@query(
+    f"SELECT ts, symbol, CAST(CASE WHEN tv IS NOT NULL THEN rank() OVER (PARTITION BY ts ORDER BY tv DESC NULLS LAST) END AS INT) AS volume_rank FROM (SELECT ts, symbol, round(CASE WHEN count(*) {_prior(60)} >= 20 THEN sum(volume) {_prior(60)} END, 4) AS tv FROM chain)",
+    CHAIN_SQL,
+)
+def selector_rank(spark, sf_dir):
+    return rel.volume_rank(chain(spark, sf_dir)).select("ts", "symbol", "volume_rank")
+
+
+@query("SELECT expiry, option_type, strike, ts, rank() OVER (PARTITION BY expiry, option_type ORDER BY volume) + (count(*) OVER (PARTITION BY expiry, option_type, volume) - 1) / 2 AS rank FROM chain", CHAIN_SQL)
+def average_rank(spark, sf_dir):
+    return rel.average_rank(chain(spark, sf_dir), "volume", "rank", ("expiry", "option_type")).select("expiry", "option_type", "strike", "ts", "rank")
+
+
+# --- indicators and rules --------------------------------------------------------------------------------------------
+
+
+@query(
+    f"SELECT symbol, ts, {r('bb_low', 'bb_high', 'stoch', 'vwma_gap', digits=4)} FROM (SELECT symbol, ts, CASE WHEN n >= 20 THEN m - 2 * sd END AS bb_low, CASE WHEN n >= 20 THEN m + 2 * sd END AS bb_high, CASE WHEN n14 >= 14 THEN coalesce((close - l14) / nullif(h14 - l14, 0) * 100, 50) END AS stoch, CASE WHEN n >= 20 THEN (close / nullif(pv / nullif(v, 0), 0) - 1) * 100 END AS vwma_gap FROM (SELECT symbol, ts, close, count(*) {_W} ROWS 19 PRECEDING) AS n, avg(close) {_W} ROWS 19 PRECEDING) AS m, stddev_pop(close) {_W} ROWS 19 PRECEDING) AS sd, count(*) {_W} ROWS 13 PRECEDING) AS n14, max(high) {_W} ROWS 13 PRECEDING) AS h14, min(low) {_W} ROWS 13 PRECEDING) AS l14, sum(close * volume) {_W} ROWS 19 PRECEDING) AS pv, sum(volume) {_W} ROWS 19 PRECEDING) AS v FROM bars))",
+    BARS_SQL,
+)
+def indicators_windowed(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    lo, _, hi = ind.bollinger()
+    return rounded(b.select("symbol", "ts", lo.alias("bb_low"), hi.alias("bb_high"), ind.stochastic().alias("stoch"), ((ser.ratio(F.col("close"), ind.vwma()) - 1) * 100).alias("vwma_gap")), 4)
+
+
+@query(
+    "SELECT symbol, ts, round(e, 5) AS ema_20 FROM seeded",
+    "RECURSIVE dummy AS (SELECT 1)",
+    BARS_SQL,
+    f"numbered AS (SELECT symbol, ts, close, row_number() {_W}) AS k, avg(close) {_W} ROWS 19 PRECEDING) AS m FROM bars)",
+    "seeded AS (SELECT symbol, ts, k, CASE WHEN k = 20 THEN m END AS e FROM numbered WHERE k <= 20 UNION ALL SELECT n.symbol, n.ts, n.k, s.e + CAST(2 AS DOUBLE) / 21 * (n.close - s.e) FROM seeded s JOIN numbered n ON n.symbol = s.symbol AND n.k = s.k + 1 WHERE s.k >= 20)",
+)
+def indicator_ema(spark, sf_dir):
+    return rounded(ind.recurrences(bars(spark, sf_dir), "ema").select("symbol", "ts", "ema_20"))
+
+
+@query()
+def indicator_recurrences(spark, sf_dir):
+    return ind.recurrences(bars(spark, sf_dir), *ind.KERNELS)
+
+
+@query()
+def rule_positions(spark, sf_dir):
+    s = ind.signals(bars(spark, sf_dir), *ind.RULES, *ind.KERNEL_RULES)
+    return s.groupBy("symbol", "rule", "position").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bar_regimes(spark, sf_dir):
+    return ind.regimes(bars(spark, sf_dir)).groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- trades ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT exit_reason, count(*) AS n, round(avg(net), 4) AS net FROM (SELECT symbol, k, arg_min(CASE WHEN sl THEN 'SL' WHEN tp THEN 'TP' ELSE 'TIME' END, CASE WHEN sl OR tp THEN j ELSE 99 - j END) AS exit_reason, arg_min(CASE WHEN sl THEN -50.0 WHEN tp THEN 50.0 ELSE (c2 / c1 - 1) * 100 END, CASE WHEN sl OR tp THEN j ELSE 99 - j END) AS net FROM (SELECT a.symbol, a.k, b.k - a.k AS j, a.close AS c1, b.close AS c2, b.low <= a.close * CAST(0.5 AS DOUBLE) AS sl, b.high >= a.close * CAST(1.5 AS DOUBLE) AS tp FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k + 1 AND a.k + 5 WHERE a.close > 0) GROUP BY symbol, k) GROUP BY exit_reason",
+    BARS_SQL,
+    f"n AS (SELECT *, row_number() {_W}) AS k FROM bars)",
+)
+def event_backtest(spark, sf_dir):
+    t = trd.event_trades(bars(spark, sf_dir), F.lit(True), 5, 50.0, 50.0)
+    return rounded(t.groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("net")), 4)
+
+
+@query()
+def exit_grid(spark, sf_dir):
+    return rounded(trd.exit_grid(bars(spark, sf_dir), F.lit(True), [(h, s, t) for h in (3, 5) for s in (25, 50) for t in (25, 50, 100)]), 6)
+
+
+@query()
+def rule_backtest(spark, sf_dir):
+    t = trd.backtest(ind.signals(bars(spark, sf_dir), "SMA", "EMA", "RSI", "SuperTrend"), sl=50.0, tp=100.0)
+    return rounded(t.groupBy("symbol", "rule", "exit_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("net")), 6)
+
+
+@query(
+    "SELECT cfg, count(*) AS n, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret < 0) AS losses, round(avg(ret), 5) AS expectancy, round(avg(ret) FILTER (ret > 0), 5) AS avg_win, round(avg(ret) FILTER (ret < 0), 5) AS avg_loss, round(sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0), 5) AS profit_factor, round(avg(ret) / stddev_samp(ret) * sqrt(count(*)), 5) AS trade_sharpe, round(avg(ret) / stddev_samp(ret) FILTER (ret < 0), 5) AS sortino, round(max(greatest(top, 0) - e), 3) AS max_drawdown, max(ret) AS best, min(ret) AS worst FROM (SELECT *, max(e) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT *, sum(ret) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS e FROM trades)) GROUP BY cfg",
+    TRADES_SQL,
+)
+def trade_metrics(spark, sf_dir):
+    m = rounded(trd.trade_metrics(trades(spark, sf_dir), "cfg", "ret", "seq"))
+    return m.withColumn("max_drawdown", F.round("max_drawdown", 3))
+
+
+@query("SELECT cfg, count(*) AS days, round(avg(d) / stddev_samp(d) * sqrt(252), 5) AS daily_sharpe FROM (SELECT cfg, day, sum(ret) AS d FROM trades GROUP BY ALL) GROUP BY cfg", TRADES_SQL)
+def daily_sharpe(spark, sf_dir):
+    return rounded(trd.daily_sharpe(trades(spark, sf_dir), "cfg", "ret", "day"))
+
+
+@query(
+    "SELECT cfg, " + ", ".join(f"round(sum(ret) FILTER (k <= {k}) / sum(ret), 5) AS top{k}" for k in (1, 5, 10)) + ", round(avg(ret) FILTER (k > 5), 5) AS mean_without_best5 FROM (SELECT *, row_number() OVER (PARTITION BY cfg ORDER BY ret DESC, seq) AS k FROM trades) GROUP BY cfg",
+    TRADES_SQL,
+)
+def trade_concentration(spark, sf_dir):
+    return rounded(trd.concentration(trades(spark, sf_dir), "cfg", "ret", "seq"))
+
+
+@query(
+    "SELECT cfg, max(n) FILTER (s > 0) AS max_wins, max(n) FILTER (s < 0) AS max_losses FROM (SELECT cfg, run, s, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY cfg ORDER BY seq) AS run FROM (SELECT cfg, seq, sign(ret) AS s, CASE WHEN sign(ret) = lag(sign(ret)) OVER (PARTITION BY cfg ORDER BY seq) THEN 0 ELSE 1 END AS c FROM trades)) GROUP BY ALL) GROUP BY cfg",
+    TRADES_SQL,
+)
+def trade_streaks(spark, sf_dir):
+    return trd.streak_stats(trades(spark, sf_dir), "cfg", "ret", "seq")
+
+
+@query("SELECT cfg, round(corr(ret, b), 5) AS autocorrelation FROM (SELECT *, lag(ret) OVER (PARTITION BY cfg ORDER BY seq) AS b FROM trades) GROUP BY cfg", TRADES_SQL)
+def trade_clustering(spark, sf_dir):
+    return rounded(trd.clustering(trades(spark, sf_dir), "cfg", "ret", "seq"))
+
+
+@query(
+    "SELECT cfg, count(*) AS n, round(avg(ret), 5) AS mean, round(any_value(sd), 5) AS sd, round(avg(((ret - m) / sd) ** 3), 5) AS skew, round(avg(((ret - m) / sd) ** 4), 5) AS kurtosis, " + ", ".join(f"round(quantile_cont(ret, {q}), 8) AS p{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM (SELECT *, avg(ret) OVER (PARTITION BY cfg) AS m, stddev_samp(ret) OVER (PARTITION BY cfg) AS sd FROM trades) GROUP BY cfg",
+    TRADES_SQL,
+)
+def trade_distribution(spark, sf_dir):
+    d = trd.distribution(trades(spark, sf_dir), "cfg", "ret")
+    return d.select("cfg", "n", *[F.round(c, 5).alias(c) for c in ("mean", "sd", "skew", "kurtosis")], *[F.round(c, 8).alias(c) for c in d.columns if c.startswith("p")])
+
+
+@query("SELECT cfg, year, count(*) AS n, round(avg(ret), 5) AS mean, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 5) AS win_rate, CASE WHEN count(*) < 10 THEN 'INSUFFICIENT' WHEN count(*) < 30 THEN 'EXPLORATORY' ELSE 'RANKABLE' END AS tier FROM (SELECT *, CAST(year(day) AS INT) AS year FROM trades) GROUP BY CUBE (cfg, year)", TRADES_SQL)
+def profile_cube(spark, sf_dir):
+    return rounded(trd.profile_cells(trades(spark, sf_dir).withColumn("year", F.year("day")), ["cfg", "year"], "ret"))
+
+
+@query("SELECT cfg, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT cfg, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS low, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS high FROM (SELECT cfg, CAST(1.96 AS DOUBLE) AS z, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (ret > 0) / count(*) AS p FROM trades GROUP BY cfg))", TRADES_SQL)
+def win_rate_interval(spark, sf_dir):
+    m = trades(spark, sf_dir).groupBy("cfg").agg(F.count_if(F.col("ret") > 0).cast("double").alias("k"), F.count(F.lit(1)).cast("double").alias("n"))
+    low, high = trd.wilson(F.col("k"), F.col("n"))
+    return rounded(m.select("cfg", low.alias("low"), high.alias("high")), 6)
+
+
+_YEARS_SQL = "m AS (SELECT cfg || '-' || CAST(year(day) AS VARCHAR) AS cfg, count(*) AS n, avg(ret) AS e, stddev_samp(ret) AS sd FROM trades GROUP BY 1)"
+
+
+def _years(spark, sf_dir):
+    t = trades(spark, sf_dir).withColumn("cfg", F.concat_ws("-", "cfg", F.year("day").cast("string")))
+    return t.groupBy("cfg").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("expectancy"), F.stddev_samp("ret").alias("sd"))
+
+
+@query("SELECT cfg, n, CAST(row_number() OVER (ORDER BY e DESC, n DESC, cfg) AS INT) AS rank FROM m", TRADES_SQL, _YEARS_SQL)
+def ranked_board(spark, sf_dir):
+    return trd.board(_years(spark, sf_dir)).select("cfg", "n", "rank")
+
+
+@query("SELECT cfg, n FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.e >= a.e AND b.n >= a.n AND b.sd <= a.sd AND (b.e > a.e OR b.n > a.n OR b.sd < a.sd))", TRADES_SQL, _YEARS_SQL)
+def pareto_frontier(spark, sf_dir):
+    return trd.pareto(_years(spark, sf_dir), ["expectancy", "n"], ["sd"]).select("cfg", "n")
+
+
+# --- inference -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT name, round(p, 6) AS p, round(least(1, min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh, round(max(least(1, p * (n - k + 1))) OVER (ORDER BY k), 6) AS holm, round(least(1, p * n), 6) AS bonferroni FROM (SELECT cfg AS name, p, row_number() OVER (ORDER BY p, cfg) AS k, count(*) OVER () AS n FROM (SELECT cfg, round(1 / (1 + n * abs(e)), 6) AS p FROM m))",
+    TRADES_SQL,
+    _YEARS_SQL,
+)
+def multiple_testing(spark, sf_dir):
+    p = _years(spark, sf_dir).select(F.col("cfg").alias("name"), F.round(1 / (1 + F.col("n") * F.abs("expectancy")), 6).alias("p"))
+    return rounded(inf.adjust(p), 6)
+
+
+@query(
+    "SELECT cfg, count(*) AS n, round(any_value(m / sd), 6) AS sr, round(avg(((ret - m) / sd) ** 3), 6) AS skew, round(avg(((ret - m) / sd) ** 4), 6) AS kurt FROM (SELECT *, avg(ret) OVER (PARTITION BY cfg) AS m, stddev_samp(ret) OVER (PARTITION BY cfg) AS sd FROM trades) GROUP BY cfg",
+    TRADES_SQL,
+)
+def sharpe_moments(spark, sf_dir):
+    return rounded(inf.moments(trades(spark, sf_dir), "cfg", "ret"), 6)
+
+
+@query()
+def deflated_sharpe(spark, sf_dir):
+    return rounded(inf.deflated_sharpe(trades(spark, sf_dir), "cfg", "ret", 42, 0.0004), 6)
+
+
+_DAYS_SQL = "d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM trades))"
+
+
+@query("SELECT day, CASE WHEN pos < floor(n * CAST(0.5 AS DOUBLE)) THEN 'train' WHEN pos < floor(n * CAST(0.5 AS DOUBLE)) + 1 THEN 'embargo' WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'validation' WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) + 1 THEN 'embargo' ELSE 'test' END AS part FROM d", TRADES_SQL, _DAYS_SQL)
+def chronological_splits(spark, sf_dir):
+    return inf.splits(trades(spark, sf_dir).select("day").distinct())
+
+
+@query("SELECT fold, day, role FROM (SELECT CAST(f AS INT) AS fold, day, CASE WHEN pos < f * floor(n / 5) - 1 THEN 'train' WHEN pos >= f * floor(n / 5) + 1 AND pos < (f + 1) * floor(n / 5) THEN 'test' END AS role FROM d, (SELECT unnest(range(1, 5)) AS f)) WHERE role IS NOT NULL", TRADES_SQL, _DAYS_SQL)
+def purged_folds(spark, sf_dir):
+    return inf.purged_folds(trades(spark, sf_dir).select("day").distinct())
+
+
+@query()
+def permutation_null(spark, sf_dir):
+    f = ser.labels(ser.returns(bars(spark, sf_dir)), (1,)).where("fwd_ret_1 is not null")
+    e = f.select(F.col("symbol").alias("name"), F.to_date("ts").cast("string").alias("block"), F.col("fwd_ret_1").alias("label"), F.coalesce(F.col("return_1") > 50, F.lit(False)).alias("event"), "ts")
+    from pyspark.sql import Window
+
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("name", "block").orderBy("ts")) - 1).drop("ts")
+    return rounded(inf.permutation_null(e, 100), 6)
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    return inf.bootstrap_ci(trades(spark, sf_dir), "cfg", "ret")
+
+
+@query(
+    "SELECT feature, symbol, count(*) AS n, round(corr(x, y), 5) AS ic FROM (SELECT 'return_1' AS feature, symbol, return_1 AS x, fwd_ret_1 AS y FROM lab UNION ALL SELECT 'return_5', symbol, return_5, fwd_ret_1 FROM lab) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY GROUPING SETS ((feature, symbol), (feature))",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+)
+def information_coefficients(spark, sf_dir):
+    return rounded(inf.information_coefficient(ser.labels(ser.returns(bars(spark, sf_dir)), (1,)), ["return_1", "return_5"], "fwd_ret_1", "symbol"))
+
+
+@query(
+    "SELECT name, part, count(*) AS n, round(avg(y), 4) AS mean, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN day(ts) <= 15 THEN 'train' ELSE 'test' END AS part, fwd_ret_1 AS y FROM lab WHERE fwd_ret_1 IS NOT NULL AND {m}" for n, m in (("up", "return_1 > 50"), ("down", "return_1 < -50"), ("both", "return_1 > 50 AND return_5 < 0")))
+    + ") GROUP BY ALL",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+)
+def hypothesis_round(spark, sf_dir):
+    up, down = {"kind": "atomic", "col": "return_1", "op": "gt", "val": 50.0}, {"kind": "atomic", "col": "return_1", "op": "lt", "val": -50.0}
+    both = {"kind": "combo", "parent": up, "leg": {"kind": "atomic", "col": "return_5", "op": "lt", "val": 0.0}}
+    masks = {n: inf.compile_recipe(x) for n, x in (("up", up), ("down", down), ("both", both))}
+    frame = ser.labels(ser.returns(bars(spark, sf_dir)), (1,))
+    return rounded(inf.hypotheses(frame, masks, "fwd_ret_1", F.when(F.dayofmonth("ts") <= 15, "train").otherwise("test")), 4)
+
+
+@query("SELECT a.x AS timeframe, b.x AS sl, c.x AS tp, 'timeframe=' || a.x || '|sl=' || b.x || '|tp=' || c.x AS cfg FROM (SELECT unnest([1, 5, 15]) AS x) a, (SELECT unnest([1, 2]) AS x) b, (SELECT unnest([1, 2, 3]) AS x) c")
+def parameter_grid(spark, sf_dir):
+    return inf.grid(spark, {"timeframe": [1, 5, 15], "sl": [1, 2], "tp": [1, 2, 3]})

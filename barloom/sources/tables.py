@@ -47,7 +47,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = keyed.groupBy("ts", "expiry", "strike", "option_type").agg(
         F.max("l_extendedprice").alias("high"),
         F.min("l_extendedprice").alias("low"),
-        F.round(F.avg("l_extendedprice"), 4).alias("close"),
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / F.count(F.lit(1)) / 100).alias("close"),
         F.round(F.sum("l_quantity"), 2).alias("volume"),
         F.count(F.lit(1)).cast("double").alias("oi"),
     )
@@ -62,7 +62,8 @@ chain AS (
   FROM (
     SELECT l_shipdate AS ts, 'EXP' || CAST(year(l_shipdate) AS VARCHAR) AS expiry, l_linenumber * CAST(100 AS DOUBLE) AS strike,
            CASE WHEN l_linestatus = 'F' THEN 'PE' ELSE 'CE' END AS option_type, max(l_extendedprice) AS high,
-           min(l_extendedprice) AS low, round(avg(l_extendedprice), 4) AS close, round(sum(l_quantity), 2) AS volume,
+           min(l_extendedprice) AS low,
+           CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS close, round(sum(l_quantity), 2) AS volume,
            CAST(count(*) AS DOUBLE) AS oi
     FROM lineitem GROUP BY ALL))"""
 
