@@ -63,6 +63,13 @@ class Scratch:
         fs.delete(path, True)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into parts of at most ``rows`` rows, which bounds what a task holds besides its input."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(column) -> list:
     """An Arrow string column as a list of UTF-8 byte strings; null is empty."""
     import pyarrow as pa

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch
+from .common import LOWER_TABLE, Scratch, slices
 from .components import connected_components
 
 ROWS = 4
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         import pyarrow as pa
 
         a, b = _universal(bands * rows)
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text or b"", size)
@@ -107,7 +107,7 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t or b"", size).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *sets])

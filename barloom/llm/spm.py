@@ -16,13 +16,15 @@ from itertools import pairwise
 
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 #: text handed to the tokenizer at once, which bounds the memory of its result
 CHUNK_CHARS = 1_000_000
 #: segments whose ids a worker remembers; the memory is emptied when full
-MEMORY = 600_000
+MEMORY = 250_000
 #: new segments that the tokenizer gets as one text
 RUN = 500
 UNIGRAM, BPE = 1, 2
@@ -221,7 +223,7 @@ def annotate(docs: DataFrame, text_col: str = "text", into: str = "pieces", path
         import pyarrow as pa
 
         kind = pa.struct([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_()), ("parity", pa.bool_())])
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             ids, rest = [], []
             for text, (i, back, parity) in zip(texts, encode_texts(texts, path, threads), strict=True):
@@ -248,7 +250,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", into: str = "decoded", path: s
         import pyarrow as pa
 
         tokenizer, _, _ = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             texts = tokenizer.decode_batch([i or [] for i in ids], skip_special_tokens=False)
             column = pa.array([None if i is None else t for i, t in zip(ids, texts, strict=True)], pa.string())

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, slices
 
 #: labelled rows of each class that training takes at most (a hash of the id picks them)
 MAX_ROWS = 10_000
@@ -33,7 +33,7 @@ CAUTION = 1.5
 #: level from which a word of a toxic document is labelled toxic (the highest there is, if none reaches it)
 STRONG = 3
 PREFIXES = (4, 5, 6)
-MEMORY = 500_000
+MEMORY = 250_000
 EPOCHS = 150
 #: of a marginal, to be an offending span
 SPAN = 0.5
@@ -210,7 +210,7 @@ def _summaries(docs: DataFrame, model, into: str = "crf") -> DataFrame:
         buckets, chain = Buckets(levels), Chain(w, t)
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("marginal", pa.float64())]))
         kind = pa.struct([("x", pa.list_(pa.float64())), ("spans", span)])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 tokens = tokens_of(text or "")
@@ -234,7 +234,7 @@ def _evidence(docs: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             counts = Counter(), Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update({f for token in set(tokens_of(text or "")) for f in features_of(token)})
@@ -257,7 +257,7 @@ def _windows(docs: DataFrame, levels) -> DataFrame:
         buckets = Buckets(levels.value)
         size = len(LEVELS) + 1
         strong = min(STRONG, max(levels.value.values(), default=1))
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = buckets.of(tokens_of(text or ""))
