@@ -143,15 +143,18 @@ def _pivot_pairs(open_: DataFrame, pivots: int, percent: int) -> DataFrame:
     return near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
 
 
-def _rest_pairs(open_: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(open_: DataFrame, rare: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs in different components that the bounds leave open.
 
-    A pair shares a rare shingle, which few members have, or it has only dense shingles in common, whose number bounds it.
+    A pair shares a rare shingle, which few members have, or it has only dense shingles in common, whose number bounds
+    it; the latter is listed in the first bucket that both members are in.
     """
     apart = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     held = rare.where("c > 1").join(open_.select("id", "n", "shared", "comp").distinct(), "id")
     by_rare = held.alias("x").join(held.alias("y"), (F.col("x.s") == F.col("y.s")) & apart & _can_link("x.n", "x.shared", "y.n", "y.shared", percent))
-    by_key = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _can_link("x.n", "x.dense", "y.n", "y.dense", percent))
+    told = open_.join(reps.select(F.col("rep").alias("id"), "bands"), "id")
+    first = F.try_element_at(F.array_intersect("x.bands", "y.bands"), F.lit(1)) == F.col("x.key")
+    by_key = told.alias("x").join(told.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _can_link("x.n", "x.dense", "y.n", "y.dense", percent) & first)
     ends = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
     return by_rare.select(*ends).unionByName(by_key.select(*ends))
 
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
             rare = scratch.put(_rare_shingles(open_, sets), "rare")
             buckets = scratch.put(_with_shared(open_, rare, percent), "open")
             open_ = _labelled(buckets, components)
-        pairs = _pivot_pairs(open_, pivots, percent) if pivots else _rest_pairs(open_, rare, percent)
+        pairs = _pivot_pairs(open_, pivots, percent) if pivots else _rest_pairs(open_, rare, reps, percent)
         if step == 0:
             pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
         pairs = pairs.distinct()
