@@ -3,10 +3,14 @@
 Pages of one host are merged into a style tree: a node is an element's place (tags with class and id, from the body
 down), and what it holds is counted over the host's pages.  A node's presentation importance is the entropy of its
 styles (the sequences of child elements), its content importance the entropy of its texts, both over the pages that
-have it and normalised; a node that looks and says the same on page after page scores near 0.  Branches of low
-importance are removed from each page, and so are elements that a page itself declares to be no article (menus,
-headers, footers, sidebars, adverts, forms, comments, scripts).  What a page declares to be its main content
-(article, main) stays whatever the entropies say, but for such branches inside it.
+have it and normalised; a node that looks and says the same on page after page scores near 0.  A leaf's text is a
+feature of its own: on n of N pages its importance is 1 - n / N, so a line that comes back on most pages among
+paragraphs that differ is told from them, and one that near copies of a page share is not.  Branches and lines of low importance are removed from each page, inside and outside
+of what it declares to be its main content (article, main), and so are elements that a page itself declares to be no
+article (menus, headers, footers, sidebars, adverts, forms, comments, scripts).
+
+Declarations are a prior: an importance is drawn to the prior by the weight of PRIOR_PAGES pages, so few pages say
+little and many decide.  Pages of one host with the same text are one page, or copies would look like boilerplate.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: a host's entropies say something from so many pages on
-MIN_PAGES = 8
+#: an entropy needs so many pages
+MIN_PAGES = 2
+#: pages that the prior weighs, and prior importance of what is inside a declared main element and of what is not
+PRIOR_PAGES, PRIOR_MAIN, PRIOR_OTHER = 3, 1.0, 0.7
 #: composite importance below which a branch goes
 MIN_IMPORTANCE = 0.35
 
@@ -70,7 +76,7 @@ def parse(page: str) -> tuple[list[list], list[list]]:
     """(blocks, nodes) of a page in page order.
 
     Block: [path of its innermost block element, state, text]; state is 0 undeclared, 1 inside a declared main
-    element, 2 inside a branch declared to be no article.  Node: [path, style (child labels), text digest].
+    element, 2 inside a branch declared to be no article.  Node: [path, style (child labels), text digest, state].
     """
     blocks: list[list] = []
     nodes: list[list] = []
@@ -87,8 +93,8 @@ def parse(page: str) -> tuple[list[list], list[list]]:
 
     def close() -> None:
         tag, path, state, children, first = stack.pop()
-        if tag in BLOCK and state != 1 and tag not in ("body", "html"):
-            nodes.append([path, " ".join(children), hash_text(blocks[first:])])
+        if tag in BLOCK and tag not in ("body", "html"):
+            nodes.append([path, " ".join(children), hash_text(blocks[first:]), state])
 
     at = 0
     while found := _TOKEN.search(page, at):
@@ -140,9 +146,33 @@ def parse(page: str) -> tuple[list[list], list[list]]:
 
 
 def hash_text(blocks: list[list]) -> int:
+    return _digest("\n".join(b[2] for b in blocks))
+
+
+def _digest(text: str) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest("\n".join(b[2] for b in blocks)) - 2**63
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
+def _features(page: str) -> tuple[int, list[tuple]]:
+    """(digest of a page's own text, its distinct (path, what, value, declared main)); what: 0 style, 1 text, 2 line.
+
+    Elements of one path in one page are one node with all their styles and texts.
+    """
+    blocks, nodes = parse(page)
+    own = [b for b in blocks if b[1] == 1] or [b for b in blocks if b[1] == 0]
+    merged: dict[str, list] = {}
+    for path, style, text, state in nodes:
+        if state != 2:
+            at = merged.setdefault(path, [[], [], state == 1])
+            at[0].append(style)
+            at[1].append(str(text))
+    out = {(path, 2, _digest(text), state == 1) for path, state, text in blocks if state != 2}
+    for path, (styles, texts, main) in merged.items():
+        out.add((path, 0, _digest("\n".join(styles)), main))
+        out.add((path, 1, _digest("\n".join(texts)), main))
+    return hash_text(own), sorted(out)
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -151,56 +181,70 @@ def _parsed(pages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("path", pa.string()), ("state", pa.int32()), ("text", pa.string())]))
+        kind = pa.list_(pa.struct([("path", pa.string()), ("state", pa.int32()), ("text", pa.string()), ("digest", pa.int64())]))
         for batch in batches:
             *kept, pages = batch.columns
-            out = [[{"path": p, "state": s, "text": t} for p, s, t in parse(page or "")[0]] for page in pages.to_pylist()]
+            out = [[{"path": p, "state": s, "text": t, "digest": _digest(t)} for p, s, t in parse(page or "")[0]] for page in pages.to_pylist()]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, kind)], names=[*batch.schema.names[:-1], "blocks"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema[:-1])
-    return pages.mapInArrow(run, f"{kept}, blocks array<struct<path:string,state:int,text:string>>")
+    return pages.mapInArrow(run, f"{kept}, blocks array<struct<path:string,state:int,text:string,digest:long>>")
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    """(host, path, what, value, n): styles, texts and pages per tree node, already summed per Arrow batch."""
+    """(host, path, what, value, main, n): on how many pages of different text a node has a style, text or line."""
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
-        import xxhash
 
+        feature = pa.struct([("path", pa.string()), ("what", pa.int32()), ("value", pa.int64()), ("main", pa.bool_())])
         for batch in batches:
-            seen: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first = set()
-                for path, style, text in parse(page or "")[1]:
-                    if path not in first:  # one style and one text a page
-                        first.add(path)
-                        seen[host, path, 0, xxhash.xxh3_64_intdigest(style) - 2**63] += 1
-                        seen[host, path, 1, text] += 1
-            rows = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["host", "path", "what", "value", "n"])
-
-    return pages.mapInArrow(run, "host string, path string, what int, value long, n long")
-
-
-def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+            digests, rows = [], []
+            for page in batch.column(1).to_pylist():
+                digest, found = _features(page or "")
+                digests.append(digest)
+                rows.append([dict(zip(("path", "what", "value", "main"), f, strict=True)) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), pa.array(rows, pa.list_(feature))], names=["host", "page", "found"])
+
+    found = pages.mapInArrow(run, "host string, page long, found array<struct<path:string,what:int,value:long,main:boolean>>")
+    once = found.groupBy("host", "page").agg(F.min("found").alias("found"))
+    return once.select("host", F.inline("found")).groupBy("host", "path", "what", "value").agg(F.count(F.lit(1)).alias("n"), F.max("main").alias("main"))
+
+
+def _weighed(importance, pages, main):
+    """``importance`` as ``pages`` pages show it, drawn to the prior."""
+    prior = F.when(main, PRIOR_MAIN).otherwise(PRIOR_OTHER)
+    return (pages * importance + PRIOR_PAGES * prior) / (pages + PRIOR_PAGES)
+
+
+def style_tree(counts: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, path, n_pages, presentation, content, importance) of nodes that at least ``min_pages`` pages have.
 
-    ``pages`` has (host, html).  Both entropies are over the node's pages with the logarithm to base n_pages,
-    so they lie between 0 and 1; the composite is content + (1 - content) * presentation * content.
+    ``counts`` is as in :func:`_counted`.  Both entropies are over the node's pages with the logarithm to base n_pages,
+    so they lie between 0 and 1; the composite is content + (1 - content) * presentation * content, and the prior is
+    weighed in.
     """
-    counts = _counted(pages).groupBy("host", "path", "what", "value").agg(F.sum("n").alias("n"))
     # -sum(p log p) = log N - sum(n log n) / N, so no window over a hot host is needed
-    sums = counts.groupBy("host", "path", "what").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    counts = counts.where("what < 2")
+    sums = counts.groupBy("host", "path", "what").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("main").alias("main"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
-    scaled = sums.where(F.col("pages") >= max(2, min_pages)).select("host", "path", "what", "pages", F.greatest(F.lit(0.0), entropy / F.log("pages")).alias("h"))
+    scaled = sums.where(F.col("pages") >= max(2, min_pages)).select("host", "path", "what", "pages", "main", F.greatest(F.lit(0.0), entropy / F.log("pages")).alias("h"))
     nodes = scaled.groupBy("host", "path").agg(
-        F.max("pages").alias("n_pages"), F.max(F.when(F.col("what") == 0, F.col("h"))).alias("presentation"), F.max(F.when(F.col("what") == 1, F.col("h"))).alias("content")
+        F.max("pages").alias("n_pages"),
+        F.max(F.when(F.col("what") == 0, F.col("h"))).alias("presentation"),
+        F.max(F.when(F.col("what") == 1, F.col("h"))).alias("content"),
+        F.max("main").alias("main"),
     )
-    return nodes.withColumn("importance", F.col("content") + (1 - F.col("content")) * F.col("presentation") * F.col("content"))
+    composite = F.col("content") + (1 - F.col("content")) * F.col("presentation") * F.col("content")
+    return nodes.withColumn("importance", _weighed(composite, F.col("n_pages"), F.col("main"))).drop("main")
+
+
+def common_lines(counts: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, path, value, n, n_pages, importance) of lines that more than one page of a host has at one path."""
+    pages = counts.where("what = 1").groupBy("host", "path").agg(F.sum("n").alias("n_pages")).where(F.col("n_pages") >= max(2, min_pages))
+    lines = counts.where("what = 2 and n > 1").join(pages, ["host", "path"])
+    importance = 1 - F.col("n") / F.col("n_pages")
+    return lines.select("host", "path", "value", "n", "n_pages", _weighed(importance, F.col("n_pages"), F.col("main")).alias("importance"))
 
 
 def extract_main_text(
@@ -211,18 +255,28 @@ def extract_main_text(
     A null or empty page has an empty text; a page with a null url is its own host of one page, so only its
     declarations count.  Blocks keep page order and are joined by one space; character references are decoded and
     white space inside a block becomes one space.  If a page declares main elements, only blocks inside them count;
-    otherwise all blocks do that are neither declared to be no article nor in a branch of low importance.
+    otherwise all blocks do that are not declared to be no article.  Blocks of low importance, by their branch or as
+    a line, are removed in both cases.
     Repeated rows give repeated results; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:/?#]+://([^/?#]*)", 1))
     base = pages.select(host.alias("host"), F.col(page)).where("host <> ''")
-    low = style_tree(base, min_pages).where(F.col("importance") < min_importance)
-    low = scratch.put(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
+    counts = scratch.put(_counted(base), "counts")
+    branches = style_tree(counts, min_pages).where(F.col("importance") < min_importance).select("host", "path", F.lit(None).cast("long").alias("value"))
+    lines = common_lines(counts, min_pages).where(F.col("importance") < min_importance).select("host", "path", "value")
+    low = branches.unionByName(lines).groupBy("host")
+    low = low.agg(
+        F.collect_set(F.when(F.col("value").isNull(), F.col("path"))).alias("low"),
+        F.collect_set(F.when(F.col("value").isNotNull(), F.struct("path", "value"))).alias("lines"),
+    )
+    low = scratch.put(low, "low")
     joined = _parsed(pages.select(F.col(key).alias(key), F.col(url).alias("url"), host.alias("host"), F.col(page))).join(low, "host", "left")
     declared = F.exists("blocks", lambda b: b["state"] == 1)
     under = lambda b: F.exists(F.coalesce("low", F.array().cast("array<string>")), lambda p: (b["path"] == p) | F.startswith(b["path"], F.concat(p, F.lit("/"))))
-    main = F.when(declared, F.filter("blocks", lambda b: b["state"] == 1)).otherwise(F.filter("blocks", lambda b: (b["state"] == 0) & ~under(b)))
-    dropped = F.size(F.filter("blocks", lambda b: (b["state"] != 1) & under(b)))
+    again = lambda b: F.exists(F.coalesce("lines", F.array().cast("array<struct<path:string,value:long>>")), lambda p: (b["digest"] == p["value"]) & (b["path"] == p["path"]))
+    state = F.when(declared, 1).otherwise(0)
+    main = F.filter("blocks", lambda b: (b["state"] == state) & ~under(b) & ~again(b))
+    dropped = F.size(F.filter("blocks", lambda b: (b["state"] != 2) & (under(b) | again(b))))
     text = F.array_join(F.transform(main, lambda b: b["text"]), " ")
     return joined.select(key, "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), dropped.alias("n_removed"))
