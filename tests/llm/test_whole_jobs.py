@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import html_extract
+import pytest
+
+from barloom.llm import html_extract, lm
 
 
 def _site(spark, wrap, n=12):
@@ -27,3 +29,20 @@ def test_unmarked_boilerplate_without_an_article(spark):
     out, own = _site(spark, "<body><div class=top>Top of site</div><div class=text>{}</div></body>")
     for k in range(12):
         assert out[k] == (f"Title {k} {own[k]} {own[k][::-1]}", 3)
+
+
+def test_lm_score_is_the_same_with_any_part_of_the_table_in_workers(spark, small, monkeypatch):
+    monkeypatch.setattr(lm.Attention, "train", lambda *_: [])  # the table alone is looked at
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id % 4 = 0").select("doc_id", "text")
+    whole, few = ({r.doc_id: (r.n_known, r.score) for r in lm.score_documents(docs, table_words=n).collect()} for n in (1 << 17, 50))
+    assert whole.keys() == few.keys() and len(whole) > 20
+    for k, (known, score) in whole.items():
+        assert few[k] == (known, pytest.approx(score, rel=1e-6))
+
+
+def test_lm_samples_equal_texts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Attention, "train", lambda self, inputs, *rest: seen.append(len(inputs)))
+    rows = [(k, "one and the same line of words") for k in range(50)] + [(100, "another line")]
+    lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [2]
