@@ -23,7 +23,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 #: text handed to the tokenizer at once, which bounds the memory of its result
 CHUNK_CHARS = 1_000_000
-#: segments whose ids a worker remembers; the memory is emptied when full
+#: segments of one generation of what a worker remembers
 MEMORY = 250_000
 #: new segments that the tokenizer gets as one text
 RUN = 500
@@ -98,7 +98,9 @@ def splits_at_markers(model: dict) -> bool:
 class SegmentCoder:
     """Codes by segment and remembers segments; only for models that split at markers and map no characters.
 
-    A segment is remembered as its ids (little-endian 32-bit) and the text that they decode to.
+    A segment is remembered as its ids (little-endian 32-bit).  Its pieces are put together again when it is learnt; only
+    segments that do not give themselves back (unknown characters without byte fallback) need a text of their own.
+    There are two generations: when the younger is full, the older is forgotten, so frequent segments stay.
     """
 
     def __init__(self, model: dict, tokenizer):
@@ -109,31 +111,45 @@ class SegmentCoder:
         self.cutter.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.prefix = SPACE if model["prefix"] else ""
         self.find = re.compile(SEGMENT).findall
+        self.pieces = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.encode() if kind in (NORMAL, USER) else b"" for p, _, kind in model["pieces"]]
         self.ids: dict[str, bytes] = {}
-        self.surface: dict[str, str] = {}
+        self.old: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
 
     def _learn(self, new: list[str]) -> None:
         bare = [s for s in new if not s.strip(SPACE)]
         words = [s for s in new if s.strip(SPACE)]
-        ids = [self.cutter.encode(s, add_special_tokens=False).ids for s in bare]
+        for s in bare:
+            self._keep([s], [self.cutter.encode(s, add_special_tokens=False).ids])
         # a run of segments is one text that the tokenizer cuts again at the same places
         runs = [words[k : k + RUN] for k in range(0, len(words), RUN)]
-        for e in self.cutter.encode_batch(["".join(r) for r in runs], add_special_tokens=False):
+        for run, e in zip(runs, self.cutter.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             flat, of = e.ids, e.word_ids
             starts = [0, *(k for k, (a, b) in enumerate(pairwise(of), 1) if a != b), len(flat)]
-            ids += [flat[a:b] for a, b in pairwise(starts)]
-        new = bare + words
-        self.surface.update(zip(new, self.cutter.decode_batch(ids, skip_special_tokens=False), strict=True))
-        self.ids.update((s, array("i", i).tobytes()) for s, i in zip(new, ids, strict=True))
+            self._keep(run, [flat[a:b] for a, b in pairwise(starts)])
+
+    def _keep(self, segments: list[str], ids: list[list[int]]) -> None:
+        self.ids.update((s, array("i", i).tobytes()) for s, i in zip(segments, ids, strict=True))
+        if b"".join([self.pieces[k] for i in ids for k in i]) != "".join(segments).encode():
+            for s, text in zip(segments, self.cutter.decode_batch(ids, skip_special_tokens=False), strict=True):
+                if text != s.replace(SPACE, " "):
+                    self.odd[s] = text
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
         cut = [self.find(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.ids) > MEMORY:
-            self.ids, self.surface = {}, {}
-        self._learn(list(set().union(*cut) - self.ids.keys()))
-        ids, surface = self.ids.__getitem__, self.surface.__getitem__
-        skip = len(self.prefix)
-        return [(b"".join(map(ids, segments)), "".join(map(surface, segments))[skip:]) for segments in cut]
+            self.old, self.ids = self.ids, {}
+            self.odd = {s: t for s, t in self.odd.items() if s in self.old}
+        new = set().union(*cut) - self.ids.keys()
+        again = new & self.old.keys()
+        self.ids.update((s, self.old[s]) for s in again)
+        self._learn(list(new - again))
+        ids, skip = self.ids.__getitem__, len(self.prefix)
+        if self.odd:
+            back = ["".join([self.odd.get(s, s.replace(SPACE, " ")) for s in segments])[skip:] for segments in cut]
+        else:
+            back = [t.replace(SPACE, " ") for t in texts]
+        return [(b"".join(map(ids, segments)), t) for segments, t in zip(cut, back, strict=True)]
 
 
 def build_tokenizer(model: dict):
