@@ -63,6 +63,21 @@ class Scratch:
         fs.delete(path, True)
 
 
+#: parts that the rows of one key are dealt to in :func:`spread_join`
+SPREAD = 64
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, mark: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` with ``few``, which has few rows per key; a key that many rows have goes to SPREAD tasks.
+
+    ``mark`` is a hash of what tells rows of one key apart.  Each part that a key has in ``rows`` gets its own copy
+    of the key's rows in ``few``, so no task meets all rows of a key.
+    """
+    dealt = rows.withColumn("__part", F.pmod(mark, F.lit(SPREAD)).cast("int"))
+    copies = dealt.select(key, "__part").distinct().join(few, key)
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut into parts of at most ``rows`` rows, which bounds what a task holds besides its input."""
     for batch in batches:
