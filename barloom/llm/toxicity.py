@@ -1,10 +1,12 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-1. Half of the training documents give evidence: how much more often a word, or its first letters, stands in toxic
-   documents than in others.  Words with strong evidence in toxic documents are the labelled tokens.
-2. The other half trains a two-state chain (plain, toxic) on windows of words: its inputs are evidence levels.
-3. Forward-backward gives every word's marginal; a logistic curve fitted on the same half turns a document's
-   marginals into its score, and words of high marginal are the offending spans.
+1. Training documents give evidence: how much more often a word, or its first letters, stands in toxic documents
+   than in others.  Words with strong evidence in toxic documents are the labelled tokens.
+2. A two-state chain (plain, toxic) is trained on windows of words: its inputs are evidence levels.  Each half of the
+   documents is looked at with the evidence of the other half, so no document vouches for itself.
+3. Forward-backward gives every word's marginal; a logistic curve fitted on the same looks turns a document's
+   marginals into its score, and words of high marginal are the offending spans.  Scoring uses the evidence of both
+   halves, the stronger where both have it, so that levels mean the same as in training.
 
 A word without evidence is one and the same input, so runs of them are powers of one 2x2 matrix: the chain is exact over
 whole texts, and the work goes by the words that matter.
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import Scratch, fold, slices
 
 #: labelled rows of each class that training takes at most (a hash of the id picks them)
 MAX_ROWS = 10_000
@@ -248,8 +250,13 @@ def _evidence(docs: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def window_starts(codes: list[int]) -> list[int]:
+    """Where the windows of a text start: every place with evidence lies in one, and the first one is always there."""
+    return sorted({0} | {k // WINDOW * WINDOW for k, c in enumerate(codes) if c}) if codes else []
+
+
 def _windows(docs: DataFrame, levels) -> DataFrame:
-    """(codes, labels, toxic) of windows of words: around evidence, and one at the start of each document."""
+    """(codes, labels, toxic, doc, at) of windows of words: those with evidence, and one at the start of each document."""
 
     def run(batches):
         import pyarrow as pa
@@ -259,17 +266,16 @@ def _windows(docs: DataFrame, levels) -> DataFrame:
         strong = min(STRONG, max(levels.value.values(), default=1))
         for batch in slices(batches):
             rows: list[tuple] = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, doc in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 codes = buckets.of(tokens_of(text or ""))
-                starts = {0} | {max(0, k - WINDOW // 2) // WINDOW * WINDOW for k, c in enumerate(codes) if c}
-                for at in starts if codes else ():
+                for at in window_starts(codes):
                     part = codes[at : at + WINDOW]
-                    rows.append((part, [int(toxic and (c // size >= strong or c % size >= strong)) for c in part], toxic))
-            codes, labels, toxic = zip(*rows, strict=True) if rows else ([], [], [])
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(codes, ints), pa.array(labels, ints), pa.array(toxic, pa.int32())], names=["codes", "labels", "toxic"])
+                    rows.append((part, [int(toxic and (c // size >= strong or c % size >= strong)) for c in part], toxic, doc, at))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["codes", "labels", "toxic", "doc", "at"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "codes array<int>, labels array<int>, toxic int")
+    return docs.select("text", "toxic", F.xxhash64("doc_id").alias("doc")).mapInArrow(run, "codes array<int>, labels array<int>, toxic int, doc long, at long")
 
 
 def _sampled(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -283,38 +289,54 @@ def _sampled(labels: DataFrame, max_rows: int) -> DataFrame:
     return one.where(F.pmod(mark, F.lit(2**20)) < share).select("doc_id", "toxic", F.pmod(F.shiftright(mark, 24), F.lit(2)).alias("half"))
 
 
+def _levels(train: DataFrame) -> dict[str, int]:
+    """Evidence level by feature, from the rows of ``train`` (text, toxic); empty if a class is missing."""
+    counts = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
+    if not counts.get(0) or not counts.get(1):
+        return {}
+    odds = F.log((F.col("toxic") + 0.5) / counts[1] / ((F.col("clean") + 0.5) / counts[0]))
+    odds -= CAUTION * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    strong = _evidence(train).where(F.col("toxic") >= MIN_COUNT).withColumn("odds", odds).where(F.col("odds") >= LEVELS[0])
+    top = strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(MAX_FEATURES).select("feature", "odds").collect()
+    return {r[0]: sum(r[1] >= x for x in LEVELS) for r in top}
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """Model (levels, state weights, transitions, curve) from labelled rows; None if a class is missing.
 
-    ``labels`` has doc_id, toxic (0 or 1); training takes at most about ``max_rows`` ids of each class, so the sample that is
-    broadcast here and everything collected has a fixed bound.
+    ``labels`` has doc_id, toxic (0 or 1).  Training takes at most about ``max_rows`` ids of each class, by a hash of the
+    id, so what is broadcast and collected here has a fixed bound; of these, the chain sees at most MAX_WINDOWS
+    windows of each class, by a hash of document and place, and the MAX_FEATURES strongest features count.  All is
+    drawn by hashes, so any partitioning gives the same model.  If a half of the documents lacks a class, all documents
+    are looked at with the evidence of all.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     sample = _sampled(labels, max_rows)
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "half").persist()
-    try:
-        counts = {(r[0], r[1]): r[2] for r in train.groupBy("half", "toxic").count().collect()}
-        if any(not counts.get(k) for k in ((0, 0), (0, 1), (1, 0), (1, 1))):
-            return None
-        odds = F.log((F.col("toxic") + 0.5) / counts[0, 1] / ((F.col("clean") + 0.5) / counts[0, 0]))
-        odds -= CAUTION * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-        strong = _evidence(train.where("half = 0")).where(F.col("toxic") >= MIN_COUNT).withColumn("odds", odds).where(F.col("odds") >= LEVELS[0])
-        top = strong.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(MAX_FEATURES).select("feature", "odds").collect()
-        levels = {r[0]: sum(r[1] >= x for x in LEVELS) for r in top}
-        found = _windows(train.where("half = 1"), spark.sparkContext.broadcast(levels))
-        found = found.withColumn("mark", F.xxhash64("codes", F.rand(7)))
-        rows = [r for toxic in (0, 1) for r in found.where(F.col("toxic") == toxic).orderBy("mark", "codes").limit(MAX_WINDOWS).collect()]
-        lengths = np.array([len(r["codes"]) for r in rows])
-        codes, marks = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
-        for k, r in enumerate(rows):
-            codes[k, : lengths[k]], marks[k, : lengths[k]] = r["codes"], r["labels"]
-        w, t = train_chain(codes, marks, lengths)
-        model = spark.sparkContext.broadcast((levels, w, t))
-        seen = _summaries(train.where("half = 1"), model).select("crf.x", "toxic").collect()
-        curve = _fit_logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen]))
-        return levels, w, t, curve
-    finally:
-        train.unpersist()
+    train = scratch.put(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "half"), "train")
+    counts = {(r[0], r[1]): r[2] for r in train.groupBy("half", "toxic").count().collect()}
+    if not all(counts.get((0, k)) or counts.get((1, k)) for k in (0, 1)):
+        scratch.drop(train)
+        return None
+    crossed = all(counts.get((h, k)) for h in (0, 1) for k in (0, 1))
+    looks = [(train.where(F.col("half") == 1 - h), _levels(train.where(F.col("half") == h))) for h in (0, 1)] if crossed else [(train, _levels(train))]
+    levels = {f: max(known.get(f, 0) for _, known in looks) for f in set().union(*(known for _, known in looks))}
+    shared = [(part, spark.sparkContext.broadcast(known)) for part, known in looks]
+    rows = []
+    for part, known in shared:
+        found = _windows(part, known).withColumn("mark", F.xxhash64("doc", "at"))
+        for toxic in (0, 1):
+            rows += found.where(F.col("toxic") == toxic).orderBy("mark", "codes").limit(MAX_WINDOWS // len(shared)).collect()
+    lengths = np.array([len(r["codes"]) for r in rows], np.int64)
+    codes, marks = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
+    for k, r in enumerate(rows):
+        codes[k, : lengths[k]], marks[k, : lengths[k]] = r["codes"], r["labels"]
+    w, t = train_chain(codes, marks, lengths)
+    seen = [r for part, known in shared for r in _summaries(part, spark.sparkContext.broadcast((known.value, w, t))).select("doc_id", "crf.x", "toxic").collect()]
+    seen.sort(key=lambda r: (r["doc_id"], r["x"]))
+    curve = _fit_logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen]))
+    scratch.drop(train)
+    return levels, w, t, curve
 
 
 def annotate(docs: DataFrame, model, into: str = "toxicity") -> DataFrame:
@@ -336,14 +358,21 @@ def annotate(docs: DataFrame, model, into: str = "toxicity") -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans of every row, trained on labels outside the held-out third."""
+    """doc_id, held_out, score, predicted, spans of every row, trained on labels outside the held-out third.
+
+    A null doc_id is not held out; null and empty texts are scored as texts without evidence; repeated rows give
+    repeated results; an empty table gives an empty result; other columns are ignored.
+    """
     texts = docs.select("doc_id", "text")
     scored = annotate(texts, fit(texts, labels.where(fold(F.col("doc_id"), 3) != 1))).select("doc_id", "toxicity.*")
     predicted = (F.col("score") >= threshold).cast("int")
-    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", predicted.alias("predicted"), "spans")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"), "spans")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` whose score stays below ``threshold``, with their columns as they were."""
+    """Rows of ``docs`` whose score stays below ``threshold``, with their columns as they were.
+
+    Null and empty texts are scored as texts without evidence; an empty table, or labels without both classes, drop nothing.
+    """
     model = fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
     return annotate(docs, model, "__toxicity").where(F.col("__toxicity.score") < threshold).drop("__toxicity")
