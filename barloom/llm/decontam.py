@@ -1,8 +1,10 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over windows of normalised benchmark words.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark words.
 
-A text is scanned once; every window that occurs marks its words, and marks are mapped back to offsets of the
-original text.  Normalising maps bytes to bytes (A-Z to a-z, ASCII other than letters and digits to a space, all
-else unchanged), so a position in the normalised text is the same position in the original.
+The automaton's patterns are the items cut into chunks of half a window, so it is about as large as the benchmark; any
+window holds a whole chunk.  A text is scanned once; where a chunk occurs, the run of equal words around it is measured,
+and runs of a window or more are hits.  Items shorter than a window are one pattern and hit as they are.  Hits are
+mapped back to offsets of the original text: normalising maps bytes to bytes (A-Z to a-z, ASCII other than letters and
+digits to a space, all else unchanged), so a position in the normalised text is the same position in the original.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: benchmark text per automaton; a larger benchmark is scanned in several passes, one block each
-BLOCK_BYTES = 256_000
+#: benchmark text that one automaton holds at most (some 200 MB of memory); more is scanned in several passes
+BLOCK_BYTES = 4_000_000
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,words:array<struct<first:int,last:int>>,spans:array<struct<start:int,stop:int>>>"
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -25,43 +27,53 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def build_automaton(items: list[tuple[str, str]], window: int):
-    """Automaton whose patterns are the windows with a space at either end; value: (words, item positions)."""
+    """(automaton, words by item, window); a pattern's value is (words, places), places being (item, word) pairs."""
     import ahocorasick
 
-    found: dict[str, tuple[int, set]] = {}
-    for k, (_, text) in enumerate(items):
-        words = words_of((text or "").encode())
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if size else 0):
+    chunk = (window + 1) // 2
+    texts = [words_of((text or "").encode()) for _, text in items]
+    found: dict[str, tuple[int, list]] = {}
+    for k, words in enumerate(texts):
+        size = chunk if len(words) >= window else len(words)
+        for at in range(0, len(words) - size + 1, size) if size else ():
             key = (b" " + b" ".join(words[at : at + size]) + b" ").decode("latin-1")
-            found.setdefault(key, (size, set()))[1].add(k)
+            found.setdefault(key, (size, []))[1].append((k, at))
     automaton = ahocorasick.Automaton()
     for key, value in found.items():
         automaton.add_word(key, value)
     if found:
         automaton.make_automaton()
-    return automaton if found else None
+    return (automaton, texts, window) if found else None
 
 
-def scan_text(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set]:
+def scan_text(text: bytes, built) -> tuple[int, list[tuple[int, int]], set]:
     """(words in all, merged ranges [first, last) of words hit, positions of the items that occur)."""
     words = words_of(text)
-    if not words or automaton is None:
+    if not words or built is None:
         return len(words), [], set()
+    automaton, texts, window = built
     flat = b" " + b" ".join(words) + b" "
-    ranges: list[list[int]] = []
+    ranges: list[tuple[int, int]] = []
     items: set = set()
+    measured: dict[tuple[int, int], int] = {}
     spaces = None
-    for end, (size, who) in automaton.iter(flat.decode("latin-1")):
+    for end, (size, places) in automaton.iter(flat.decode("latin-1")):
         if spaces is None:
             spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-        last = int(np.searchsorted(spaces, end))
-        first = last - size
-        items |= who
-        while ranges and ranges[-1][1] >= first:
-            first = min(first, ranges.pop()[0])
-        ranges.append([first, last])
-    return len(words), [(a, b) for a, b in ranges], items
+        first = int(np.searchsorted(spaces, end)) - size
+        for k, at in places:
+            if measured.get((k, first - at), -1) > first:
+                continue  # inside a run that is measured already
+            item, a, b, i, j = texts[k], first, first + size, at, at + size
+            while a and i and words[a - 1] == item[i - 1]:
+                a, i = a - 1, i - 1
+            while b < len(words) and j < len(item) and words[b] == item[j]:
+                b, j = b + 1, j + 1
+            measured[k, first - at] = b
+            if b - a >= min(window, len(item)):
+                items.add(k)
+                ranges.append((a, b))
+    return len(words), _merge(ranges, []), items
 
 
 def _offsets(text: bytes, ranges: list) -> list[dict]:
@@ -131,7 +143,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into
     ``benchmark`` has item_id, text.  An item of fewer words than ``window`` is one window; a null or empty text has
     no words and no windows; rows with a null item_id are left out; repeated items count once.  Rows of ``docs`` are
     judged one by one; null text has no words.  Other columns pass through; ``into`` must not be among them.
-    The benchmark's size is read first: it is cut into blocks of ``block_bytes`` that each fit one automaton.
+    An empty table gives an empty result, an empty benchmark no hits.  The benchmark's size is read first: up to
+    ``block_bytes`` it is one automaton, which is what a worker holds; more is cut into blocks, one pass each.
     """
     if into in docs.columns:
         raise ValueError(f"column {into!r} exists already; name another with into=")
@@ -149,7 +162,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Digest per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Digest per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, spans.
+
+    Odd rows and tables are treated as in :func:`annotate`; other columns are ignored.
+    """
     found = annotate(docs.select("doc_id", "text"), benchmark).select("doc_id", "decontam.*")
     return found.select(
         "doc_id",
@@ -163,5 +179,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in which no benchmark window occurs, with their columns as they were."""
+    """Rows of ``docs`` in which no benchmark window occurs, with their columns as they were (as in :func:`annotate`)."""
     return annotate(docs, benchmark, into="__decontam").where("__decontam.n_hit = 0").drop("__decontam")
