@@ -30,9 +30,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where nothing names one (local tests)."""
+    """The folder that driver and executors share; one is made only where none is named and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="barloom-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

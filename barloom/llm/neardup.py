@@ -1,13 +1,15 @@
 """Near-duplicate documents: minima of many universal hashes, banding, verification on full sets, components.
 
-1. One pass hashes each text's word shingles and keeps a digest of the set and one key per band of minima.
+1. One pass hashes each text's word shingles and keeps a digest of the set, the signature (the minima) and one key per
+   band of it.  Shingles are 64-bit hashes; a collision inside a set is as unlikely as one pair in 2^64.
 2. Equal sets meet by digest (a partial aggregate, so a huge group of copies costs little); the smallest id stands
    for them from here on.
 3. Representatives with a band key in common are candidates.  Inside a bucket links are sought by pivots: first
    each member against one pivot, then against the pivots of all its buckets, and last the pairs that are still in
    different components.  Nothing is skipped: a pair is left untested only once both sides are known to be in
    one component, or when shingles that no partner has rule the link out.
-4. Every link is confirmed on the full shingle sets; components follow by alternating large-star and small-star.
+4. Candidates are verified by their signatures, whose agreement estimates the similarity, and what passes is confirmed
+   on the full shingle sets; components follow by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, slices
+from .common import LOWER_TABLE, Scratch, slices, spread_join
 from .components import connected_components
 
 ROWS = 4
-#: bands are chosen so that a pair at the threshold is missed with at most this probability
+#: bands, and the agreement asked of signatures, are chosen so that a pair at the threshold is missed with at most this
+#: probability by either
 MISS = 1e-10
 SEED = 20240501
 #: pivots of a bucket that its members are tested against before the pairs that are left
@@ -38,6 +41,16 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
 
 
+def least_agreement(threshold: float, n: int, miss: float = MISS) -> int:
+    """The most equal minima of ``n`` that a pair at the threshold has fewer of with at most the probability ``miss``."""
+    below = 0.0
+    for k in range(n + 1):
+        below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(threshold) + (n - k) * math.log1p(-threshold)) if threshold < 1 else float(k == n)
+        if below > miss:
+            return k
+    return n
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -66,8 +79,8 @@ def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw() | np.uint64(1), draw()
 
 
-def band_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
-    """One key per band of ``rows`` minima of a*x+b."""
+def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading 32 bits of the minima of a*x+b, one key per band of ``rows`` of them)."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
         part = a[:, None] * shingles[None, at : at + 2048]
@@ -76,51 +89,61 @@ def band_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) ->
     key = np.arange(len(a) // rows, dtype=np.uint64)
     for column in (least >> np.uint64(20)).reshape(-1, rows).T:
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32), key.view(np.int64)
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) per row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, digest, minima, bands) per row of ``docs`` (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
 
         a, b = _universal(bands * rows)
         for batch in slices(batches):
-            n, digest, keys = [], [], []
+            n, digest, least, keys = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text or b"", size)
                 n.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                keys.append(band_keys(found, a, b, rows) if len(found) else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+                one, other = signature(found, a, b, rows) if len(found) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+                least.append(one)
+                keys.append(other)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(least, np.int32), _lists(keys, np.int64)],
+                names=["doc_id", "n_shingles", "digest", "minima", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, minima array<int>, bands array<long>")
+
+
+def _lists(arrays: list, kind):
+    """Arrow lists of numpy arrays."""
+    import pyarrow as pa
+
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, kind), *arrays])))
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, minima, shingles) of ``docs`` (doc_id, minima, text)."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
-            sets = [shingle_set(t or b"", size).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+            sets = [shingle_set(t or b"", size).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(sets, np.int64)], names=["id", "minima", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("doc_id", "minima", "text").mapInArrow(run, "id long, minima array<int>, shingles array<long>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("of_a").alias("na"), F.size("of_b").alias("nb"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, agreement: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in ``agreement`` places or more, and whose full sets reach the threshold."""
+    left = sets.select(F.col("id").alias("a"), F.col("minima").alias("signed_a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("minima").alias("signed_b"), F.col("shingles").alias("of_b"))
+    equal = F.aggregate(F.zip_with("signed_a", "signed_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(left, "a").join(right, "b").where(equal >= agreement)
+    both = both.select("a", "b", F.size("of_a").alias("na"), F.size("of_b").alias("nb"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -131,7 +154,7 @@ def _labelled(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
     else:
         known = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "shared", "dense", F.coalesce("component", "id").alias("comp"))
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return known.join(open_keys.select("key"), "key")
+    return spread_join(known, open_keys.select("key"), "key", F.xxhash64("id"))
 
 
 def _pivot_pairs(open_: DataFrame, pivots: int, percent: int) -> DataFrame:
@@ -139,7 +162,7 @@ def _pivot_pairs(open_: DataFrame, pivots: int, percent: int) -> DataFrame:
     central = W.partitionBy("key").orderBy((F.col("n") - F.col("shared")) / F.col("n"), "id")
     at = open_.withColumn("nth", F.row_number().over(central)).where(F.col("nth") <= pivots)
     at = at.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("shared").alias("pivot_shared"))
-    near = open_.join(at, "key").where((F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & _can_link("n", "shared", "pivot_n", "pivot_shared", percent))
+    near = spread_join(open_, at, "key", F.xxhash64("id")).where((F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & _can_link("n", "shared", "pivot_n", "pivot_shared", percent))
     return near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
 
 
@@ -192,22 +215,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     doc_id).  Repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
-    marks = scratch.put(signatures(docs, shingle, bands_for(percent / 100, rows), rows), "marks")
+    bands = bands_for(percent / 100, rows)
+    agreement = least_agreement(percent / 100, bands * rows)
+    marks = scratch.put(signatures(docs, shingle, bands, rows), "marks")
     full = marks.where("n_shingles > 0 and doc_id is not null")
-    reps = scratch.put(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "reps")
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("minima", "minima"), ("bands", "bands"))]
+    reps = scratch.put(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), *first), "reps")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     buckets = scratch.put(keyed.join(shared, "key").withColumns({"shared": F.col("n"), "dense": F.col("n")}), "buckets")
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch.put(_full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+    done = [buckets]
+    wanted = reps.select(F.col("rep").alias("doc_id"), "minima").join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = scratch.put(_full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), shingle).dropDuplicates(["id"]), "sets")
+    done.append(sets)
 
     components, tested, rare = None, None, None
     for step, pivots in enumerate((1, PIVOTS, 0)):
-        open_ = _labelled(buckets, components)
+        open_ = scratch.put(_labelled(buckets, components), "open")
+        done.append(open_)
         if step == 1:
             rare = scratch.put(_rare_shingles(open_, sets), "rare")
-            buckets = scratch.put(_with_shared(open_, rare, percent), "open")
-            open_ = _labelled(buckets, components)
+            buckets = scratch.put(_with_shared(open_, rare, percent), "bounded")
+            open_ = scratch.put(_labelled(buckets, components), "open")
+            done += [rare, buckets, open_]
         pairs = _pivot_pairs(open_, pivots, percent) if pivots else _rest_pairs(open_, rare, reps, percent)
         if step == 0:
             pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
@@ -215,11 +245,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, "pairs")
+        done.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = _confirm(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = _confirm(pairs, sets, percent, agreement).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if components is not None:
             links = links.unionByName(components.select(F.col("node").alias("u"), F.col("component").alias("v")))
         components = connected_components(links, scratch)
+    for table in done:
+        scratch.drop(table)
 
     found = reps.join(components, reps["rep"] == components["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     alone = marks.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
