@@ -80,6 +80,26 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, mark: Column, how: st
     return dealt.join(copies, [key, "__part"], how).drop("__part")
 
 
+#: rows of one key from which it is a hub, and hubs at most
+HUB, HUBS = 1000, 50_000
+
+
+def hub_join(rows: DataFrame, few: DataFrame, key: str, n: str, total: int, mark: Column) -> DataFrame:
+    """``rows`` joined by ``key`` with ``few``, which has few rows per key and says in ``n`` how many the key has in ``rows``.
+
+    Keys with more rows than HUB, and than one HUBS-th of the ``total`` rows, are hubs: of these there are HUBS at most,
+    so their rows of ``few`` are broadcast, and their rows in ``rows`` are dealt to SPREAD parts by ``mark``.  All other
+    keys are shuffled as in any join.
+    """
+    limit, values = max(HUB, total // HUBS), [c for c in few.columns if c not in (key, n)]
+    hubs = few.where(F.col(n) > limit).select(key, F.struct(*values).alias("__hub"))
+    others = few.where(F.col(n) <= limit).select(key, F.lit(0).alias("__part"), F.struct(*values).alias("__other"))
+    told = rows.join(F.broadcast(hubs), key, "left").withColumn("__part", F.when(F.col("__hub").isNull(), 0).otherwise(1 + F.pmod(mark, F.lit(SPREAD)).cast("int")))
+    found = F.coalesce("__hub", "__other")
+    both = told.join(others, [key, "__part"], "left").where(found.isNotNull())
+    return both.select(*rows.columns, *[found[c].alias(c) for c in values])
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut into parts of at most ``rows`` rows, which bounds what a task holds besides its input."""
     for batch in batches:

@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_join
+from .common import Scratch, hub_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.where("v > u"), least, "u", F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return hub_join(both.where("v > u"), least, "u", "n", 2 * n, F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them (edges come as u > v)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(edges, least, "u", F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = hub_join(edges, least, "u", "n", n, F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if tuple(sums) == mark or sums[0] == 0:
             break
         mark = tuple(sums)
-        after = scratch.put(_small_star(_large_star(now)).distinct(), "star")
+        after = scratch.put(_small_star(_large_star(now, sums[0]), sums[0]).distinct(), "star")
         scratch.drop(now)
         now = after
     else:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, slices, spread_join
+from .common import LOWER_TABLE, Scratch, hub_join, slices
 from .components import connected_components
 
 ROWS = 4
@@ -148,21 +148,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, agreement: int) ->
 
 
 def _labelled(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Buckets that still hold members of several components: key, id, n, shared, comp."""
+    """Buckets that still hold members of several components: key, id, n, shared, dense, comp, members (rows of the key)."""
     if components is None:
         known = buckets.withColumn("comp", F.col("id"))
     else:
         known = buckets.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "shared", "dense", F.coalesce("component", "id").alias("comp"))
-    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return spread_join(known, open_keys.select("key"), "key", F.xxhash64("id"))
+    open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
+    return hub_join(known, open_keys.select("key", F.col("rows").alias("members"), "rows"), "key", "rows", buckets.count(), F.xxhash64("id"))
 
 
 def _pivot_pairs(open_: DataFrame, pivots: int, percent: int) -> DataFrame:
     """(a, b): members against their bucket's pivots, those with the smallest share of shingles of their own."""
     central = W.partitionBy("key").orderBy((F.col("n") - F.col("shared")) / F.col("n"), "id")
     at = open_.withColumn("nth", F.row_number().over(central)).where(F.col("nth") <= pivots)
-    at = at.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("shared").alias("pivot_shared"))
-    near = spread_join(open_, at, "key", F.xxhash64("id")).where((F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & _can_link("n", "shared", "pivot_n", "pivot_shared", percent))
+    at = at.select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("shared").alias("pivot_shared"), F.col("members").alias("rows"))
+    near = hub_join(open_, at, "key", "rows", open_.count(), F.xxhash64("id"))
+    near = near.where((F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & _can_link("n", "shared", "pivot_n", "pivot_shared", percent))
     return near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
 
 
