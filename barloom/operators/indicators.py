@@ -194,76 +194,172 @@ def adx_of(h, low, c, p: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return wilder_of(np.where(np.isnan(pdi), np.nan, np.nan_to_num(dx)), p), pdi, mdi
 
 
+def _lagged(x: np.ndarray, k: int) -> np.ndarray:
+    """``x`` k bars ago, 0 before the series starts."""
+    return np.concatenate([np.zeros(min(k, len(x))), x[: max(len(x) - k, 0)]])
+
+
+def _filtered(drive: np.ndarray, first: float, second: float) -> np.ndarray:
+    """y[i] = drive[i] + first * y[i-1] + second * y[i-2], from zero."""
+    out = np.zeros(len(drive))
+    one = two = 0.0
+    for i, x in enumerate(drive.tolist()):
+        one, two = x + first * one + second * two, one
+        out[i] = one
+    return out
+
+
 def kama_of(c: np.ndarray, p: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
+    """Adaptive mean: seeded at bar p (from 0) by the mean of bars 1 to p, then moved by the squared efficiency weight."""
     out = np.full(len(c), np.nan)
     if len(c) <= p:
         return out
-    moved = np.abs(np.diff(c, prepend=c[0]))
-    total = np.convolve(moved, np.ones(p))[: len(c)]
-    now = out[p - 1] = c[:p].mean()
-    for i in range(p, len(c)):
-        e = abs(c[i] - c[i - p]) / total[i] if total[i] > 0 else 0.0
-        k = (e * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2
-        now += k * (c[i] - now)
+    path = np.cumsum(np.abs(np.diff(c, prepend=c[0])))
+    total, net = path[p:] - path[:-p], np.abs(c[p:] - c[:-p])
+    er = np.divide(net, total, out=np.zeros_like(net), where=total > 0)
+    low = 2 / (slow + 1)
+    weight = (er * (2 / (fast + 1) - low) + low) ** 2
+    now = out[p] = c[1 : p + 1].mean()
+    for i in range(p + 1, len(c)):
+        now += weight[i - p] * (c[i] - now)
         out[i] = now
     return out
 
 
 def fisher_of(h, low, p: int = 10) -> np.ndarray:
+    """Fisher transform of the median price's place in its range, half of the last value added."""
     mid = (h + low) / 2
     out = np.full(len(mid), np.nan)
-    v = f = 0.0
-    for i in range(p - 1, len(mid)):
-        part = mid[i - p + 1 : i + 1]
-        span = part.max() - part.min()
-        v = float(np.clip(0.66 * ((mid[i] - part.min()) / span - 0.5 if span else 0.0) + 0.67 * v, -0.999, 0.999))
-        f = 0.5 * np.log((1 + v) / (1 - v)) + 0.5 * f
-        out[i] = f
-    return out
-
-
-def cyber_of(x: np.ndarray, alpha: float = 0.07) -> np.ndarray:
-    """Two-pole high pass of a four-bar smooth."""
-    s = x.copy()
-    s[3:] = (x[3:] + 2 * x[2:-1] + 2 * x[1:-2] + x[:-3]) / 6
-    out = np.zeros(len(x))
-    for i in range(2, len(x)):
-        bend = s[i] - 2 * s[i - 1] + s[i - 2]
-        out[i] = (1 - alpha / 2) ** 2 * bend + 2 * (1 - alpha) * out[i - 1] - (1 - alpha) ** 2 * out[i - 2] if i >= 6 else (x[i] - 2 * x[i - 1] + x[i - 2]) / 4
+    if len(mid) < p:
+        return out
+    frames = np.lib.stride_tricks.sliding_window_view(mid, p)
+    bottom, span = frames.min(1), np.ptp(frames, axis=1)
+    place = np.divide(mid[p - 1 :] - bottom, span, out=np.full(len(span), 0.5), where=span > 0)
+    v = np.clip(2 * place - 1, -0.999, 0.999)
+    out[p - 1 :] = _filtered(np.arctanh(v), 0.5, 0.0)
     return out
 
 
-def itrend_of(x: np.ndarray, alpha: float = 0.07) -> np.ndarray:
-    """Instantaneous trend line of Ehlers' filter."""
-    out = x.astype(float).copy()
-    for i in range(2, len(x)):
-        if i < 7:
-            out[i] = (x[i] + 2 * x[i - 1] + x[i - 2]) / 4
-        else:
-            out[i] = (alpha - alpha**2 / 4) * x[i] + alpha**2 / 2 * x[i - 1] - (alpha - 0.75 * alpha**2) * x[i - 2] + 2 * (1 - alpha) * out[i - 1] - (1 - alpha) ** 2 * out[i - 2]
+def cyber_of(c: np.ndarray, alpha: float = 0.07) -> np.ndarray:
+    """Two-pole high pass of a four-bar smooth, from zeros; the first seven bars are warm-up."""
+    smooth = (c + 2 * _lagged(c, 1) + 2 * _lagged(c, 2) + _lagged(c, 3)) / 6
+    bend = smooth - 2 * _lagged(smooth, 1) + _lagged(smooth, 2)
+    out = _filtered((1 - alpha / 2) ** 2 * bend, 2 * (1 - alpha), -((1 - alpha) ** 2))
+    out[:7] = np.nan
     return out
 
 
-def gap_bias_of(h, low, c, age: int = 50) -> np.ndarray:
-    """Side of the last tapped fair-value gap: gaps live until filled or ``age`` bars old."""
-    zones: list[tuple[int, float, float, int]] = []  # born, bottom, top, side
-    out = np.zeros(len(c))
-    now = 0
-    for i in range(2, len(c)):
-        if low[i] > h[i - 2]:
-            zones.append((i, h[i - 2], low[i], 1))
-        elif h[i] < low[i - 2]:
-            zones.append((i, h[i], low[i - 2], -1))
-        live = []
-        for born, bottom, top, side in zones:
-            if i > born and low[i] <= top and h[i] >= bottom:
-                now = side
-                if (side > 0 and c[i] < bottom) or (side < 0 and c[i] > top):
-                    continue
-            if i - born < age:
-                live.append((born, bottom, top, side))
-        zones = live
-        out[i] = now
+# Coefficients of the published filters.
+SMOOTH_A = np.exp(-1.414 * 3.14159 / 10)
+SMOOTH_B = 2 * SMOOTH_A * np.cos(1.414 * 3.14159 / 10)
+HILBERT = (0.0962, 0.5769)
+PERIODS = (6.0, 50.0)
+GROWTH = (0.67, 1.5)
+
+
+def itrend_of(c: np.ndarray, alpha: float = 0.07) -> tuple[np.ndarray, np.ndarray]:
+    """(trend, trigger): a high pass, smoothed twice and averaged over four bars; the trigger is the trend a bar ago."""
+    first, second = 2 * (1 - alpha), (1 - alpha) ** 2
+    bend = np.zeros(len(c))
+    bend[2:] = c[2:] - 2 * c[1:-1] + c[:-2]
+    high = _filtered((1 + (1 - alpha / 2) ** 2 - first - second) / 4 * bend, first, -second)
+    drive = (1 + SMOOTH_B + SMOOTH_A**2) / 4 * (high + _lagged(high, 1))
+    drive[:2] = 0.0
+    smooth = _filtered(drive, SMOOTH_B, -(SMOOTH_A**2))
+    trend = (smooth + 2 * _lagged(smooth, 1) + _lagged(smooth, 2)) / 4
+    trigger = _lagged(trend, 1)
+    trend[:3] = trigger[:3] = np.nan
+    return trend, trigger
+
+
+def _quadrature(x: np.ndarray) -> np.ndarray:
+    a, b = HILBERT
+    return a * x + b * _lagged(x, 2) - b * _lagged(x, 4) - a * _lagged(x, 6)
+
+
+def hilbert_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dominant cycle in bars, 1 where it is steady): homodyne of a Hilbert transformer, its rate of change limited."""
+    smooth = np.concatenate([c[:3], (c[3:] + 2 * c[2:-1] + 2 * c[1:-2] + c[:-3]) / 6]) if len(c) > 3 else c.copy()
+    settled = np.arange(len(c)) >= 6
+    detrended = np.where(settled, _quadrature(smooth), 0.0)
+    quad = np.where(settled, _quadrature(detrended), 0.0)
+    phase = np.where(settled, _lagged(detrended, 3), 0.0)
+    turned, crossed = np.where(settled, _quadrature(phase), 0.0), np.where(settled, _quadrature(quad), 0.0)
+    i2, q2 = _filtered(0.2 * np.where(settled, phase - crossed, 0.0), 0.8, 0.0), _filtered(0.2 * np.where(settled, quad + turned, 0.0), 0.8, 0.0)
+    before_i, before_q = _lagged(i2, 1), _lagged(q2, 1)
+    real = _filtered(0.2 * np.where(settled, i2 * before_i + q2 * before_q, 0.0), 0.8, 0.0)
+    imag = _filtered(0.2 * np.where(settled, i2 * before_q - q2 * before_i, 0.0), 0.8, 0.0)
+    period, steady = np.full(len(c), np.nan), np.zeros(len(c))
+    last = 0.0
+    for i in np.flatnonzero((real != 0) & (imag != 0)):
+        raw = 6.2831853 / np.arctan(imag[i] / real[i])
+        if last:
+            raw = max(min(raw, GROWTH[1] * last), GROWTH[0] * last)
+        raw = min(max(raw, PERIODS[0]), PERIODS[1])
+        now = 0.25 * raw + 0.75 * (last or raw)
+        steady[i] = abs(now - (period[i - 1] if not np.isnan(period[i - 1]) else now)) < 2
+        period[i] = last = now
+    return period, steady
+
+
+def adaptive_length(cycle: np.ndarray, base: int, least: int, most: int, part: float = 0.5) -> np.ndarray:
+    """Bars to look back: a part of the cycle, rounded half up and held between bounds; ``base`` without a cycle."""
+    whole = np.floor(np.nan_to_num(cycle) * part + 0.5)
+    return np.where(np.isnan(cycle), base, np.clip(whole, least, most)).astype(int)
+
+
+def _over(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sum of the last ``length[i]`` values at i."""
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    at = np.arange(len(x))
+    return sums[at + 1] - sums[np.maximum(at + 1 - length, 0)]
+
+
+def adaptive_of(c: np.ndarray, settle: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cycle, steady, RSI of half a cycle by plain sums, place in bands of a cycle); null until the cycle has settled."""
+    cycle, steady = hilbert_of(c)
+    at = np.arange(len(c))
+    change = np.diff(c, prepend=c[:1])
+    short, full = adaptive_length(cycle, 14, 2, 50), adaptive_length(cycle, 20, 10, 50, 1.0)
+    up, down = _over(np.maximum(change, 0), short), _over(np.maximum(-change, 0), short)
+    rs = np.where(down <= 1e-12, 100.0, up / np.maximum(down, 1e-12))
+    mean = _over(c, full) / full
+    sd = np.sqrt(np.maximum(_over(c * c, full) / full - mean**2, 0))
+    place = (c - (mean - 2 * sd)) / np.maximum(4 * sd, 1e-12)
+    ready = at >= settle
+    return cycle, steady, np.where(ready & (at >= short), 100 - 100 / (1 + rs), np.nan), np.where(ready & (at >= full), place, np.nan)
+
+
+def streak_of(c: np.ndarray) -> np.ndarray:
+    """Bars in a row that closed up (positive) or down (negative)."""
+    way = np.sign(np.diff(c, prepend=c[:1]))
+    at = np.arange(len(c))
+    turn = np.concatenate([[True], way[1:] != way[:-1]])
+    start = np.maximum.accumulate(np.where(turn, at, 0))
+    return way * (at - start + 1) * (way != 0)
+
+
+def connors_of(c: np.ndarray, p: int = 3, streak: int = 2, rank: int = 100) -> np.ndarray:
+    """Mean of the RSI, the RSI of the streak and the percent rank of the last difference."""
+    d = np.diff(c, prepend=np.nan)
+    place = np.full(len(c), np.nan)
+    if len(c) > rank:
+        frames = np.lib.stride_tricks.sliding_window_view(d[1:], rank)
+        place[rank:] = (frames < d[rank:, None]).mean(1) * 100
+    return (rsi_of(c, p) + rsi_of(streak_of(c), streak) + place) / 3
+
+
+def gap_bias_of(h, low, c, most: int = 5, age: int = 60) -> np.ndarray:
+    """Side of the youngest live fair-value gap that the bar touches, else 0; a gap dies when closed through or old."""
+    up = np.flatnonzero(low[2:] > h[:-2]) + 2
+    down = np.flatnonzero((h[2:] < low[:-2]) & ~(low[2:] > h[:-2])) + 2
+    born = {int(i): (1, h[i - 2], low[i]) for i in up} | {int(i): (-1, h[i], low[i - 2]) for i in down}
+    out, live = np.zeros(len(c)), []
+    for i in range(len(c)):
+        live = (live + [(i, *born[i])] if i in born else live)[-most:]
+        live = [z for z in live if i - z[0] <= age and not (z[1] > 0 and c[i] < z[2]) and not (z[1] < 0 and c[i] > z[3])]
+        edge = [z[1] for z in live if z[2] <= (low[i] if z[1] > 0 else h[i]) <= z[3]]
+        out[i] = edge[-1] if edge else 0
     return out
 
 
@@ -275,7 +371,11 @@ def _macd(c, fast=12, slow=26, signal=9):
 #: name: function of (open, high, low, close, volume) arrays; each makes the columns named
 KERNELS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "ema": (("ema_20", "ema_50"), lambda o, h, low, c, v: (ema_of(c, 20), ema_of(c, 50))),
-    "dema": (("dema",), lambda o, h, low, c, v: (2 * ema_of(c, 20) - ema_of(ema_of(c, 20), 20),)),
+    "ema_30": (("ema_30",), lambda o, h, low, c, v: (ema_of(c, 30),)),
+    "ribbon": (("ema_5", "ema_13", "ema_34"), lambda o, h, low, c, v: tuple(ema_of(c, p) for p in (5, 13, 34))),
+    "slow_ribbon": (("ema_8", "ema_21", "ema_55"), lambda o, h, low, c, v: tuple(ema_of(c, p) for p in (8, 21, 55))),
+    # the inner mean starts from zeros where the outer one is not there yet
+    "dema": (("dema",), lambda o, h, low, c, v: (2 * ema_of(c, 20) - ema_of(np.nan_to_num(ema_of(c, 20)), 20),)),
     "rsi": (("rsi",), lambda o, h, low, c, v: (rsi_of(c),)),
     "atr": (("atr",), lambda o, h, low, c, v: (wilder_of(true_range_of(h, low, c), 14),)),
     "macd": (("macd", "macd_signal"), lambda o, h, low, c, v: _macd(c)),
@@ -284,8 +384,12 @@ KERNELS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "adx": (("adx", "plus_di", "minus_di"), lambda o, h, low, c, v: adx_of(h, low, c)),
     "kama": (("kama",), lambda o, h, low, c, v: (kama_of(c),)),
     "fisher": (("fisher",), lambda o, h, low, c, v: (fisher_of(h, low),)),
-    "cyber": (("cyber",), lambda o, h, low, c, v: (cyber_of((h + low) / 2),)),
-    "itrend": (("itrend",), lambda o, h, low, c, v: (itrend_of((h + low) / 2),)),
+    "cyber": (("cyber",), lambda o, h, low, c, v: (cyber_of(c),)),
+    "itrend": (("itrend", "itrend_trigger"), lambda o, h, low, c, v: itrend_of(c)),
+    "adaptive": (("cycle", "cycle_steady", "adaptive_rsi", "adaptive_place"), lambda o, h, low, c, v: adaptive_of(c)),
+    "connors": (("connors_rsi",), lambda o, h, low, c, v: (connors_of(c),)),
+    "squeeze": (("squeeze_low", "squeeze_high"), lambda o, h, low, c, v: tuple(ema_of(c, 20) + k * 1.5 * wilder_of(true_range_of(h, low, c), 20) for k in (-1, 1))),
+    "atr_10": (("atr_10",), lambda o, h, low, c, v: (wilder_of(true_range_of(h, low, c), 10),)),
     "fvg": (("fvg_bias",), lambda o, h, low, c, v: (gap_bias_of(h, low, c),)),
 }
 
@@ -329,7 +433,13 @@ def follow(x: Column, level: float) -> Column:
 
 
 def prepare(bars: DataFrame) -> DataFrame:
-    """Helper columns that rules read: change, true_range, bar, realized_vol."""
+    """Helper columns that rules read: change, true_range, bar, inside (as its number in a run; the run's mother bar is 1), setups, realized_vol."""
+    inside = F.coalesce((F.col("high") <= F.lag("high").over(series())) & (F.col("low") >= F.lag("low").over(series())), F.lit(False))
+    span = F.col("high") - F.col("low")
+    narrow = (span <= F.min(span).over(series().rowsBetween(-6, 0)) + 1e-12) & (F.count(span).over(series().rowsBetween(-6, 0)) == 7)
+    bars = bars.withColumns({"_mother": F.count_if(~inside).over(series()), "_setups": F.count_if(narrow).over(series()), "_setup": narrow})
+    run = Window.partitionBy("symbol", "_mother").orderBy("ts")
+    bars = bars.withColumns({"run": F.row_number().over(run), "mother_high": F.first("high").over(run), "mother_low": F.first("low").over(run)})
     before = F.lag("close").over(series())
     out = bars.withColumns(
         {
@@ -354,31 +464,159 @@ def _band(low: Column, high: Column) -> Column:
     return hold(F.when(c < low, 1).when(c > high, -1), low.isNotNull())
 
 
-def _opening_range(minutes: int = 240) -> Column:
-    """Break of the session's first ``minutes``."""
+def _opening_range(minutes: int = 240, volume: float = 2.0) -> Column:
+    """Break of the session's first ``minutes`` on high volume."""
     day = Window.partitionBy("symbol", day_key(F.col("ts")))
     start = F.min("ts").over(day)
     early = F.col("ts") < start + F.expr(f"INTERVAL {minutes} MINUTES")
     high, low = F.max(F.when(early, F.col("high"))).over(day), F.min(F.when(early, F.col("low"))).over(day)
-    return hold(F.when(~early & (F.col("close") > high), 1).when(~early & (F.col("close") < low), -1), F.lit(True))
+    sure = ~early & (F.col("volume") > volume * _volume_mean())
+    return hold(F.when(sure & (F.col("high") > high), 1).when(sure & (F.col("low") < low), -1), _volume_mean().isNotNull())
+
+
+def _inside_bar(least: int = 1) -> Column:
+    """The first bar that is not inside after ``least`` or more inside bars breaks the range of the bar before them."""
+    was = lambda c: F.lag(c).over(series())
+    high, low, c = was("mother_high"), was("mother_low"), F.col("close")
+    ready = (F.col("run") == 1) & (was("run") > least) & (high > low)
+    return hold(F.when(ready & (c > high), 1).when(ready & (c < low), -1), F.lit(True))
+
+
+def _narrow_range(within: int = 3) -> Column:
+    """After the narrowest bar of seven, the first close beyond it, within some bars."""
+    armed = Window.partitionBy("symbol", "_setups").orderBy("ts")
+    high, low, nth, c = F.first("high").over(armed), F.first("low").over(armed), F.row_number().over(armed), F.col("close")
+    breaks = (F.col("_setups") > 0) & ~F.col("_setup") & (nth <= within + 1) & ((c > high) | (c < low))
+    first = breaks & (F.count_if(breaks).over(armed) == 1)
+    return hold(F.when(first & (c > high), 1).when(first & (c < low), -1), F.lit(True))
+
+
+def _volume_mean(p: int = 20) -> Column:
+    return _mean(F.col("volume"), p, series())
+
+
+def _volume_spike(m: float = 2.0) -> Column:
+    spike = F.col("volume") >= m * _volume_mean()
+    return hold(F.when(spike, F.when(F.col("close") >= F.col("open"), 1).otherwise(-1)), _volume_mean().isNotNull())
+
+
+def _bias(mean: str) -> Column:
+    return F.when(F.col("close") > F.col(mean), 1).otherwise(-1)
+
+
+def _width() -> Column:
+    low, mid, high = bollinger()
+    return F.when(F.col("bar") > 20, (high - low) / F.greatest(F.abs(mid), F.lit(1e-12)))
+
+
+def _band_width(m: float = 1.5, lookback: int = 100) -> Column:
+    least = F.min(_width()).over(series().rowsBetween(-(lookback - 1), 0))
+    mid = bollinger()[1]
+    return hold(F.when(_width() > m * least, F.when(F.col("close") > mid, 1).otherwise(-1)), mid.isNotNull())
+
+
+def _volatility_gate(gate: float = 40, lookback: int = 100, least: int = 20) -> Column:
+    """Flat while the band's width is low in its own trailing rank, else with the mean; held while the rank is thin."""
+    frame = F.collect_list(_width()).over(series().rowsBetween(-(lookback - 1), 0))
+    rank = F.size(F.filter(frame, lambda x: x <= _width())) * 100.0 / F.size(frame)
+    say = F.when(F.size(frame) >= least, F.when(rank < gate, 0).otherwise(_bias("ema_30")))
+    return hold(say, F.col("ema_30").isNotNull() & bollinger()[1].isNotNull())
+
+
+def _volume_divergence(lookback: int = 40) -> Column:
+    """Price beyond its trailing extreme while the volume delta is on the other side of its value there."""
+    w = series().rowsBetween(-(lookback - 1), -1)
+    flow, c, last = cvd(), F.col("close"), F.lag("close").over(series())
+
+    def then(extreme: Column, price: Column) -> Column:
+        # of equal extremes the last bar counts, else the oldest
+        return F.when(last == price, F.lag(flow).over(series())).otherwise(extreme["flow"])
+
+    lows, highs = F.min(F.struct(c.alias("c"), F.col("bar"), flow.alias("flow"))).over(w), F.max(F.struct(c.alias("c"), (-F.col("bar")).alias("bar"), flow.alias("flow"))).over(w)
+    up = (c < lows["c"]) & (flow > then(lows, lows["c"]))
+    down = (c > highs["c"]) & (flow < then(highs, highs["c"]))
+    return hold(F.when(up, 1).when(down, -1), F.col("bar") > lookback)
 
 
-def _inside_bar() -> Column:
-    h1, l1, h2, l2 = F.lag("high").over(series()), F.lag("low").over(series()), F.lag("high", 2).over(series()), F.lag("low", 2).over(series())
-    inside = (h1 < h2) & (l1 > l2)
-    return hold(F.when(inside & (F.col("close") > h1), 1).when(inside & (F.col("close") < l1), -1), h2.isNotNull())
+def _stochastic_cross(low: float = 20, high: float = 80, p: int = 3) -> Column:
+    """%K against %D, its mean with 50 for the bars of the warm-up."""
+    k = stochastic()
+    d = _mean(F.coalesce(k, F.lit(50.0)), p, series())
+    return hold(F.when((k < low) & (k > d), 1).when((k > high) & (k < d), -1), k.isNotNull())
 
 
-def _narrow_range(n: int = 7) -> Column:
-    span = F.lag(F.col("high") - F.col("low")).over(series())
-    least = F.min(F.col("high") - F.col("low")).over(series().rowsBetween(-n, -1))
-    armed = span == least
-    return hold(F.when(armed & (F.col("close") > F.lag("high").over(series())), 1).when(armed & (F.col("close") < F.lag("low").over(series())), -1), F.count("close").over(series().rowsBetween(-n, -1)) >= n)
+def _releases() -> tuple[Column, Column]:
+    """(momentum, whether a squeeze of the bands inside the channel ends at the bar)."""
+    low, _, high = bollinger()
+    on = (low > F.col("squeeze_low")) & (high < F.col("squeeze_high"))
+    momentum = F.col("close") - _mean((F.col("high") + F.col("low")) / 2, 20, series())
+    return F.when(F.col("squeeze_low").isNotNull() & low.isNotNull(), momentum), ~on & F.coalesce(F.lag(on).over(series()), F.lit(False))
 
 
-def _volume_spike(m: float = 1.5, p: int = 20) -> Column:
-    spike = F.col("volume") > m * _mean(F.col("volume"), p, series())
-    return hold(F.when(spike, F.signum(F.col("close") - F.col("open")).cast("int")), F.count("volume").over(series().rowsBetween(-(p - 1), 0)) >= p)
+def _squeeze(volume: float | None = None) -> Column:
+    """Side of the momentum at the last release; with ``volume`` only releases on high volume count, if there is any."""
+    momentum, fired = _releases()
+    if volume is not None:
+        none = F.max("volume").over(Window.partitionBy("symbol")) <= 0
+        fired = fired & (none | (F.col("volume") > volume * _volume_mean()))
+    warm = momentum.isNotNull() if volume is None else momentum.isNotNull() & _volume_mean().isNotNull()
+    return hold(F.when(fired, F.when(momentum > 0, 1).otherwise(-1)), warm)
+
+
+def _trend_regime(gate: float = 55) -> Column:
+    hist, calm = F.col("macd") - F.col("macd_signal"), choppiness() < gate
+    up, down = (F.col("supertrend_dir") > 0) & (hist > 0), (F.col("supertrend_dir") < 0) & (hist < 0)
+    ready = choppiness().isNotNull() & F.col("supertrend").isNotNull() & hist.isNotNull()
+    return F.when(ready & calm & up, 1).when(ready & calm & down, -1).otherwise(0)
+
+
+def _vwap_reversion(sd: float = 1.5, far: float = 2.0, level: float = 50) -> Column:
+    (lo, hi), (lower, higher), c, tired = vwap_bands(sd), vwap_bands(far), F.col("close"), cmo(5)
+    return hold(F.when((c < lo) & (c > lower) & (tired < -level), 1).when((c > hi) & (c < higher) & (tired > level), -1), tired.isNotNull() & lo.isNotNull())
+
+
+def _vwap_confirmed(low: float = 30, high: float = 70) -> Column:
+    (lo, hi), c = vwap_bands(), F.col("close")
+    return hold(F.when((c < lo) & (F.col("rsi") < low), 1).when((c > hi) & (F.col("rsi") > high), -1), F.col("rsi").isNotNull() & lo.isNotNull())
+
+
+def _signed(x: Column) -> Column:
+    return F.when(x > 0, 1).when(x < 0, -1)
+
+
+def _vwap_slope(p: int = 5) -> Column:
+    return hold(_signed(vwap() - F.lag(vwap(), p).over(series())), F.col("bar") > p)
+
+
+def _macd_slope(p: int = 3) -> Column:
+    hist = F.col("macd") - F.col("macd_signal")
+    moved = hist - F.lag(hist, p).over(series())
+    return hold(F.when((hist > 0) & (moved > 0), 1).when((hist < 0) & (moved < 0), -1), hist.isNotNull())
+
+
+def _stops(p: int = 10, m: float = 3.0) -> Column:
+    """Below the stop of longs short, above the stop of shorts long."""
+    w = series().rowsBetween(-(p - 1), 0)
+    long, short, c = F.max("high").over(w) - m * F.col("atr_10"), F.min("low").over(w) + m * F.col("atr_10"), F.col("close")
+    return hold(F.when(c < long, -1).when(c > short, 1), F.col("atr_10").isNotNull())
+
+
+def _stack(fast: str, middle: str, slow: str, more_up=None, more_down=None, close: bool = True) -> Column:
+    up, down = (F.col(fast) > F.col(middle)) & (F.col(middle) > F.col(slow)), (F.col(fast) < F.col(middle)) & (F.col(middle) < F.col(slow))
+    if close:
+        up, down = up & (F.col("close") > F.col(fast)), down & (F.col("close") < F.col(fast))
+    up, down = up if more_up is None else up & more_up, down if more_down is None else down & more_down
+    return F.when(up, 1).when(down, -1)
+
+
+def _atr_expansion(m: float = 1.5, p: int = 14) -> Column:
+    part = F.when(F.col("close") > 0, 100 * F.col("atr") / F.col("close"))
+    usual = _mean(F.coalesce(part, F.lit(0.0)), p, series())
+    return hold(F.when(part > m * usual, _bias("ema_20")), part.isNotNull() & F.col("ema_20").isNotNull())
+
+
+def _gated(gate: float = 61.8) -> Column:
+    return F.when(choppiness() < gate, above(F.col("close"), F.col("ema_30"))).otherwise(0)
 
 
 def _percent_b(low: float = 0.2, high: float = 0.8) -> Column:
@@ -396,25 +634,26 @@ RULES: dict[str, Callable[[], Column]] = {
     "SMA": lambda: above(F.col("close"), sma(20)),
     "HMA": _hull,
     "Bollinger": lambda: _band(bollinger()[0], bollinger()[2]),
-    "Stochastic": lambda: fade(stochastic(), 20, 80),
+    "Stochastic": _stochastic_cross,
     "VWAP": lambda: above(F.col("close"), vwap()),
     "VWAPBands": lambda: _band(*vwap_bands()),
     "VWAPDev": lambda: fade((ratio(F.col("close"), vwap()) - 1) * 100, -1, 1),
     "VWMA": lambda: above(F.col("close"), vwma()),
     "CMO": lambda: fade(cmo(), -50, 50),
-    "Aroon": lambda: follow(aroon(), 50),
+    "Aroon": lambda: follow(aroon(), 0),
     "POC": lambda: above(F.col("close"), poc()),
     "PctB": _percent_b,
     "LRSlope": lambda: hold(F.nullif(F.signum(slope()).cast("int"), F.lit(0)), slope().isNotNull()),
-    "DecaySlope": lambda: follow(slope(log=True) * 100, 0.1),
-    "KaufER": lambda: hold(F.when(efficiency() > 0.3, F.signum(F.col("close") - F.lag("close", 10).over(series())).cast("int")).when(efficiency() < 0.1, 0), efficiency().isNotNull()),
-    "CVD": lambda: F.signum(cvd()).cast("int"),
+    "DecaySlope": lambda: follow(slope(log=True) * 100, 0.05),
+    "CVD": _volume_divergence,
+    "VWAPRev": _vwap_reversion,
+    "VWAPSlope": _vwap_slope,
+    "BBWidth": _band_width,
     "Breakout": lambda: _breakout(20),
     "ORB": _opening_range,
     "InsideBar": _inside_bar,
     "NR7": _narrow_range,
     "VolSpike": _volume_spike,
-    "Chop": lambda: F.when(choppiness() < 61.8, above(F.col("close"), sma(20))).otherwise(0),
     "IVRank": lambda: F.when(F.coalesce(iv_rank() <= 50, F.lit(True)), above(F.col("close"), sma(20))).otherwise(0),
 }
 
@@ -422,20 +661,35 @@ RULES: dict[str, Callable[[], Column]] = {
 KERNEL_RULES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "EMA": (("ema",), lambda: above(F.col("close"), F.col("ema_20"))),
     "DEMA": (("dema",), lambda: above(F.col("close"), F.col("dema"))),
-    "Ribbon": (("ema",), lambda: hold(F.when((F.col("close") > F.col("ema_20")) & (F.col("ema_20") > F.col("ema_50")), 1).when((F.col("close") < F.col("ema_20")) & (F.col("ema_20") < F.col("ema_50")), -1), F.col("ema_50").isNotNull())),
+    "Ribbon": (("ribbon",), lambda: hold(_stack("ema_5", "ema_13", "ema_34"), F.col("ema_34").isNotNull())),
+    "ChandeKroll": (("atr_10",), _stops),
+    "Squeeze": (("squeeze",), _squeeze),
+    "SqueezeBreak": (("squeeze",), lambda: _squeeze(2.0)),
+    "CRSI": (("connors",), lambda: fade(F.col("connors_rsi"), 30, 70)),
+    "HilbertDC": (("adaptive",), lambda: F.when(F.col("cycle").isNull(), 0).otherwise(0)),
+    "AdaptRSI": (("adaptive",), lambda: hold(F.when(F.col("cycle_steady") > 0, F.when(F.col("adaptive_rsi") < 30, 1).when(F.col("adaptive_rsi") > 70, -1)), F.col("adaptive_rsi").isNotNull())),
+    "AdaptBB": (("adaptive",), lambda: hold(F.when((F.col("cycle_steady") > 0) | F.col("cycle").isNull(), F.when(F.col("adaptive_place") > 0.8, -1).when(F.col("adaptive_place") < 0.2, 1)), F.col("adaptive_place").isNotNull())),
+    "Regime": (("ema_30",), _gated),
+    "Chop": (("ema_30",), _gated),
+    "TrendRegime": (("supertrend", "macd"), _trend_regime),
+    "MACDSlope": (("macd",), _macd_slope),
+    "VWAPMR": (("rsi",), _vwap_confirmed),
+    "VolRate": (("ema",), lambda: hold(F.when(F.col("volume") >= 1.5 * _volume_mean(), _bias("ema_20")), _volume_mean().isNotNull() & F.col("ema_20").isNotNull())),
+    "VolReg": (("ema_30",), _volatility_gate),
+    "KaufER": (("ema",), lambda: hold(F.when(F.coalesce(efficiency(), F.lit(0.0)) > 0.3, _bias("ema_20")).when(F.coalesce(efficiency(), F.lit(0.0)) < 0.15, 0), F.col("ema_20").isNotNull())),
     "RSI": (("rsi",), lambda: fade(F.col("rsi"), 30, 70)),
     "MACD": (("macd",), lambda: above(F.col("macd"), F.col("macd_signal"))),
     "Keltner": (("keltner",), lambda: _band(F.col("keltner_low"), F.col("keltner_high"))),
     "SuperTrend": (("supertrend",), lambda: F.col("supertrend_dir").cast("int")),
     "ADX": (("adx", "ema"), lambda: hold(F.when(F.col("adx") >= 20, above(F.col("close"), F.col("ema_20"))), F.col("adx").isNotNull() & F.col("ema_20").isNotNull())),
     "ADXDI": (("adx",), lambda: hold(F.when(F.col("adx") >= 20, F.when(F.col("plus_di") > F.col("minus_di"), 1).otherwise(-1)), F.col("adx").isNotNull())),
-    "ATRPct": (("atr", "ema"), lambda: hold(F.when(ratio(F.col("atr"), F.col("close")) > 0.01, above(F.col("close"), F.col("ema_20"))), F.col("ema_20").isNotNull())),
+    "ATRPct": (("atr", "ema"), _atr_expansion),
     "KAMA": (("kama",), lambda: above(F.col("close"), F.col("kama"))),
-    "Fisher": (("fisher",), lambda: F.coalesce(F.signum("fisher").cast("int"), F.lit(0))),
-    "Cyber": (("cyber",), lambda: F.signum("cyber").cast("int")),
-    "ITrend": (("itrend",), lambda: above(F.col("itrend"), F.lag("itrend").over(series()))),
+    "Fisher": (("fisher",), lambda: above(F.col("fisher"), F.lit(0.0))),
+    "Cyber": (("cyber",), lambda: above(F.col("cyber"), F.lit(0.0))),
+    "ITrend": (("itrend",), lambda: above(F.col("itrend"), F.col("itrend_trigger"))),
     "FVG": (("fvg",), lambda: F.col("fvg_bias").cast("int")),
-    "TrendFollow": (("ema", "supertrend", "adx"), lambda: hold(F.when((F.col("ema_20") > F.col("ema_50")) & (F.col("supertrend_dir") > 0) & (F.col("adx") > 20), 1).when((F.col("ema_20") < F.col("ema_50")) & (F.col("supertrend_dir") < 0) & (F.col("adx") > 20), -1), F.col("ema_50").isNotNull() & F.col("adx").isNotNull())),
+    "TrendFollow": (("slow_ribbon", "supertrend", "adx"), lambda: hold(_stack("ema_8", "ema_21", "ema_55", (F.col("supertrend_dir") > 0) & (F.col("adx") > 25), (F.col("supertrend_dir") < 0) & (F.col("adx") > 25), close=False), F.col("ema_55").isNotNull() & F.col("adx").isNotNull())),
 }
 
 
@@ -457,10 +711,52 @@ def pair(signalled: DataFrame, one: str, other: str) -> DataFrame:
     return w.select("symbol", "ts", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0).alias("position"))
 
 
-def regimes(bars: DataFrame) -> DataFrame:
-    """0 and 1: trend up and down; 2 and 3: volatile and quiet, by ADX, two EMAs and the rank of volatility."""
-    base = prepare(recurrences(bars, "adx", "ema"))
-    rank = iv_rank(history=100, least=50)
-    trend = F.col("adx") >= 20
-    kind = F.when(trend & (F.col("ema_20") >= F.col("ema_50")), 0).when(trend & (F.col("ema_20") < F.col("ema_50")), 1).when(rank >= 60, 2).otherwise(3)
+def regimes(bars: DataFrame, gate: float = 20, high: float = 0.6) -> DataFrame:
+    """0 and 1: trend up and down, by ADX and two EMAs; 2 and 3: volatile and quiet, by the rank of ATR in 100 bars before."""
+    base = prepare(recurrences(bars, "adx", "ema", "atr")).withColumn("vol", F.when(F.col("close") > 0, F.col("atr") / F.col("close")))
+    frame = F.collect_list(F.coalesce("vol", F.lit(float("inf")))).over(series().rowsBetween(-100, -1))
+    rank = F.when(F.size(frame) > 0, F.size(F.filter(frame, lambda x: x < F.col("vol"))) / F.size(frame)).otherwise(0.5)
+    up = F.coalesce(F.col("ema_20") >= F.col("ema_50"), F.lit(False))
+    kind = F.when(choppiness().isNull() | F.col("adx").isNull() | F.col("vol").isNull(), 3).when(F.col("adx") >= gate, F.when(up, 0).otherwise(1)).when(rank >= high, 2).otherwise(3)
     return base.select("symbol", "ts", "close", kind.alias("regime"))
+
+
+def regime_features(bars: DataFrame) -> DataFrame:
+    """(symbol, ts, f0 to f9): scale-free inputs of a regime model, neutral values where an indicator is not warm."""
+    base = prepare(recurrences(bars, "adx", "atr", "ema", "macd", "rsi"))
+    low, mid, high = bollinger()
+    unit = F.coalesce("atr", F.lit(1e-9))
+    minutes = F.hour("ts") * 60 + F.minute("ts")
+    made = [
+        F.coalesce(choppiness(), F.lit(62.0)) / 100,
+        F.coalesce("adx", F.lit(20.0)) / 100,
+        F.least(F.lit(2.0), F.coalesce(ratio(high - low, F.abs(mid)), F.lit(0.0)) * 10),
+        F.least(F.lit(0.05), unit / F.coalesce(F.nullif("close", F.lit(0.0)), F.lit(1.0))) * 20,
+        F.coalesce("rsi", F.lit(50.0)) / 100,
+        F.coalesce(F.col("macd") - F.col("macd_signal"), F.lit(0.0)) / unit,
+        F.coalesce(F.col("ema_20") - F.col("ema_50"), F.lit(0.0)) / unit,
+        F.when(_volume_mean(50) > 0, F.least(F.lit(3.0), F.col("volume") / _volume_mean(50))).otherwise(1.0),
+        (minutes - 555) / 375,
+        F.lit(1.0),
+    ]
+    return base.select("symbol", "ts", *[c.alias(f"f{k}") for k, c in enumerate(made)])
+
+
+def smooth_regimes(labelled: DataFrame, persist: int = 5, hysteresis: int = 2) -> DataFrame:
+    """``labelled`` (symbol, ts, regime) with ``smoothed``: a new regime counts once it has lasted ``persist`` bars, and
+    after the first change ``hysteresis`` bars more."""
+
+    def run(frame):
+        frame = frame.sort_values("ts").reset_index(drop=True)
+        raw = frame["regime"].to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]]))
+        out, now, need = raw.copy(), raw[0], persist
+        for a, b in zip(start, np.append(start[1:], len(raw)), strict=True):
+            out[a:b] = now
+            if raw[a] != now and b - a >= need:
+                out[a + need - 1 : b] = now = raw[a]
+                need = persist + hysteresis
+        frame["smoothed"] = out
+        return frame
+
+    return labelled.select("symbol", "ts", "regime").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, regime int, smoothed int")
