@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import buyonly as buy
+from ..operators import gates as gat
 from ..operators import indicators as ind
 from ..operators import inference as inf
 from ..operators import relations as rel
@@ -461,12 +463,13 @@ def rule_backtest(spark, sf_dir):
 
 
 @query(
-    "SELECT cfg, count(*) AS n, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret < 0) AS losses, round(avg(ret), 5) AS expectancy, round(avg(ret) FILTER (ret > 0), 5) AS avg_win, round(avg(ret) FILTER (ret < 0), 5) AS avg_loss, round(sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0), 5) AS profit_factor, round(avg(ret) / stddev_samp(ret) * sqrt(count(*)), 5) AS trade_sharpe, round(avg(ret) / stddev_samp(ret) FILTER (ret < 0), 5) AS sortino, round(max(greatest(top, 0) - e), 3) AS max_drawdown, max(ret) AS best, min(ret) AS worst FROM (SELECT *, max(e) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT *, sum(ret) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS e FROM trades)) GROUP BY cfg",
+    "SELECT cfg, count(*) AS n, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret < 0) AS losses, round(avg(ret), 5) AS expectancy, round(avg(ret) FILTER (ret > 0), 5) AS avg_win, round(avg(ret) FILTER (ret < 0), 5) AS avg_loss, round(sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0), 5) AS profit_factor, round(avg(ret) / stddev_samp(ret) * sqrt(count(*)), 5) AS trade_sharpe, round(avg(ret) / stddev_samp(ret) FILTER (ret < 0), 5) AS sortino, round(max(greatest(top, 0) - e), 4) AS max_drawdown, max(ret) AS best, min(ret) AS worst FROM (SELECT *, max(e) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT *, sum(ret) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS e FROM trades)) GROUP BY cfg",
     TRADES_SQL,
 )
 def trade_metrics(spark, sf_dir):
-    m = rounded(trd.trade_metrics(trades(spark, sf_dir), "cfg", "ret", "seq"))
-    return m.withColumn("max_drawdown", F.round("max_drawdown", 3))
+    m = trd.trade_metrics(trades(spark, sf_dir), "cfg", "ret", "seq")
+    # returns have four digits, so at four a sum has no tie to round
+    return rounded(m.withColumn("max_drawdown", F.round("max_drawdown", 4)))
 
 
 @query("SELECT cfg, count(*) AS days, round(avg(d) / stddev_samp(d) * sqrt(252), 5) AS daily_sharpe FROM (SELECT cfg, day, sum(ret) AS d FROM trades GROUP BY ALL) GROUP BY cfg", TRADES_SQL)
@@ -617,3 +620,227 @@ def hypothesis_round(spark, sf_dir):
 @query("SELECT a.x AS timeframe, b.x AS sl, c.x AS tp, 'timeframe=' || a.x || '|sl=' || b.x || '|tp=' || c.x AS cfg FROM (SELECT unnest([1, 5, 15]) AS x) a, (SELECT unnest([1, 2]) AS x) b, (SELECT unnest([1, 2, 3]) AS x) c")
 def parameter_grid(spark, sf_dir):
     return inf.grid(spark, {"timeframe": [1, 5, 15], "sl": [1, 2], "tp": [1, 2, 3]})
+
+
+# --- long-premium rules ----------------------------------------------------------------------------------------------
+
+_MINUTES_SQL = BARS_SQL.replace("'hour'", "'minute'")
+_SESSION = "PARTITION BY symbol, day ORDER BY ts"
+_FEATURES_SQL = (
+    "f1 AS (SELECT *, CAST(ts AS DATE) AS day, (high + low + close) / 3 AS tp FROM bars)",
+    f"f2 AS (SELECT *, coalesce(sum(tp * volume) OVER s / nullif(sum(volume) OVER s, 0), tp) AS vwap, greatest(abs(high - low), abs(high - lag(close) OVER d), abs(low - lag(close) OVER d)) AS true_range, abs(close - lag(close) OVER d) AS moved, lag(close, 30) OVER d AS earlier FROM f1 WINDOW s AS ({_SESSION} ROWS UNBOUNDED PRECEDING), d AS ({_SESSION}))",
+    f"f3 AS (SELECT *, abs(close - vwap) AS vwap_dev, CASE WHEN close > 0 AND count(high) OVER w >= 5 THEN (max(high) OVER w - min(low) OVER w) / close * 100 END AS range_pct FROM f2 WINDOW w AS ({_SESSION} ROWS 19 PRECEDING))",
+    f"f4 AS (SELECT *, CASE WHEN count(vwap_dev) OVER w60 >= 20 THEN stddev_samp(vwap_dev) OVER w60 END AS vwap_sigma, CASE WHEN count(volume) OVER w20 >= 5 THEN quantile_cont(volume, 0.5) OVER w20 END AS vol_med, CASE WHEN count(true_range) OVER w20 >= 5 AND close > 0 THEN avg(true_range) OVER w20 / close * 100 END AS atr_pct, list(range_pct) OVER w120 AS ranges, list(volume) OVER w120 AS volumes, CASE WHEN count(moved) OVER w30 >= 5 THEN sum(moved) OVER w30 END AS path, CASE WHEN count(high) OVER ago >= 10 THEN max(high) OVER ago END AS swing_high, CASE WHEN count(low) OVER ago >= 10 THEN min(low) OVER ago END AS swing_low FROM f3 WINDOW w20 AS ({_SESSION} ROWS 19 PRECEDING), w30 AS ({_SESSION} ROWS 29 PRECEDING), w60 AS ({_SESSION} ROWS 59 PRECEDING), w120 AS ({_SESSION} ROWS 119 PRECEDING), ago AS ({_SESSION} ROWS BETWEEN 31 PRECEDING AND 2 PRECEDING))",
+    "f5 AS (SELECT *, CASE WHEN vwap_sigma > 0 THEN vwap_dev / vwap_sigma END AS vwap_z, CASE WHEN len(list_filter(ranges, lambda x: x IS NOT NULL)) >= 30 THEN len(list_filter(ranges, lambda x: x <= range_pct)) * CAST(100 AS DOUBLE) / len(list_filter(ranges, lambda x: x IS NOT NULL)) END AS range_pctile, CASE WHEN vol_med > 0 THEN volume / vol_med END AS vol_ratio, CASE WHEN len(volumes) >= 20 THEN len(list_filter(volumes, lambda x: x <= volume)) * CAST(100 AS DOUBLE) / len(volumes) END AS vol_pctile, abs(close - earlier) / nullif(path, 0) AS eff_ratio FROM f4)",
+    "f6 AS (SELECT *, CASE WHEN eff_ratio IS NULL OR range_pctile IS NULL THEN 'UNKNOWN' WHEN eff_ratio >= CAST(0.45 AS DOUBLE) THEN 'TRENDING' WHEN range_pctile >= 70 THEN 'CHOPPY' ELSE 'COMPRESSING' END AS regime FROM f5)",
+)
+_MEANS = ("vwap", "vwap_dev", "range_pct", "atr_pct")
+_SHOWN = ("true_range", "vwap_sigma", "vwap_z", "range_pctile", "vol_med", "vol_ratio", "vol_pctile", "eff_ratio", "swing_high", "swing_low")
+
+
+@query(f"SELECT symbol, ts, {r(*_MEANS, digits=9)}, {r(*_SHOWN, digits=4)} FROM f5", _MINUTES_SQL, *_FEATURES_SQL[:5])
+def buyonly_features(spark, sf_dir):
+    f = buy.session_features(bars(spark, sf_dir, "minute"))
+    # means of two-digit prices are often half a fourth digit
+    return f.select("symbol", "ts", *[(F.round(c, 9) + 0.0).alias(c) for c in _MEANS], *[(F.round(c, 4) + 0.0).alias(c) for c in _SHOWN])
+
+
+@query("SELECT symbol, regime, count(*) AS n FROM f6 GROUP BY ALL", _MINUTES_SQL, *_FEATURES_SQL)
+def buyonly_regimes(spark, sf_dir):
+    return buy.regimes(buy.session_features(bars(spark, sf_dir, "minute"))).groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT symbol, ts, hypothesis, direction, high, low, close FROM ("
+    "SELECT *, 'VOLATILITY_COIL' AS hypothesis, CASE WHEN armed AND close > ch1 THEN 'CE' WHEN armed AND close < cl1 THEN 'PE' END AS direction FROM g2 UNION ALL "
+    "SELECT *, 'LIQUIDITY_FLUSH', CASE WHEN low < swing_low AND close > sl1 AND bull AND vol_ratio >= CAST(1.8 AS DOUBLE) THEN 'CE' WHEN high > swing_high AND close < sh1 AND bear AND vol_ratio >= CAST(1.8 AS DOUBLE) THEN 'PE' END FROM g2 UNION ALL "
+    "SELECT *, 'VWAP_SNAP_BACK', CASE WHEN vwap_z >= 2 AND close < vwap AND bull THEN 'CE' WHEN vwap_z >= 2 AND close > vwap AND bear THEN 'PE' END FROM g2) WHERE direction IS NOT NULL",
+    _MINUTES_SQL,
+    *_FEATURES_SQL,
+    f"g1 AS (SELECT *, CASE WHEN count(high) OVER w >= 5 THEN max(high) OVER w END AS coil_high, CASE WHEN count(low) OVER w >= 5 THEN min(low) OVER w END AS coil_low, lag(swing_low) OVER d AS sl1, lag(swing_high) OVER d AS sh1, low < lag(low) OVER d AND close > greatest(open, (high + low) / 2, lag(close) OVER d) AS bull, high > lag(high) OVER d AND close < least(open, (high + low) / 2, lag(close) OVER d) AS bear FROM f6 WINDOW w AS ({_SESSION} ROWS 19 PRECEDING), d AS ({_SESSION}))",
+    f"g2 AS (SELECT *, lag(coil_high) OVER d AS ch1, lag(coil_low) OVER d AS cl1, range_pctile <= 30 AND vol_ratio >= 2 AND lag(coil_high) OVER d - lag(coil_low) OVER d < lag(coil_high, 4) OVER d - lag(coil_low, 4) OVER d AS armed FROM g1 WINDOW d AS ({_SESSION}))",
+)
+def buyonly_signals(spark, sf_dir):
+    return buy.detect(buy.session_features(bars(spark, sf_dir, "minute")))
+
+
+@query(
+    "SELECT symbol, ts, entry, arg_min(bar_ts, nth) AS exit_ts, round(arg_min(price, nth), 6) AS exit, arg_min(reason, nth) AS exit_reason, CAST(min(nth) - any_value(a) AS INT) AS held, round(arg_min(price, nth) - entry, 6) AS points FROM (SELECT *, CASE reason WHEN 'STOP_GAP' THEN open WHEN 'STOP' THEN stop WHEN 'TARGET' THEN goal ELSE close END AS price FROM (SELECT *, CASE WHEN open < stop THEN 'STOP_GAP' WHEN low <= stop THEN 'STOP' WHEN high >= goal THEN 'TARGET' WHEN nth = a + 45 THEN 'TIME' WHEN nth = last THEN 'END_OF_DAY' END AS reason FROM p4) WHERE reason IS NOT NULL) GROUP BY symbol, ts, entry",
+    _MINUTES_SQL,
+    "p1 AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS nth, count(*) OVER (PARTITION BY symbol, CAST(ts AS DATE)) AS last FROM bars)",
+    "p2 AS (SELECT a.symbol, a.ts, a.low AS trigger_low, a.nth AS a, b.ts AS bar_ts, b.nth, b.last, b.open, b.high, b.low, b.close, first(b.open) OVER (PARTITION BY a.symbol, a.ts ORDER BY b.nth) AS entry FROM p1 a JOIN p1 b ON a.symbol = b.symbol AND a.day = b.day AND b.nth > a.nth AND b.nth <= a.nth + 45 WHERE minute(a.ts) % 7 = 0)",
+    "p3 AS (SELECT *, greatest(entry - trigger_low + 1, 30) AS risk, coalesce(max(high) OVER (PARTITION BY symbol, ts ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry) - entry AS seen FROM p2)",
+    "p4 AS (SELECT *, CASE WHEN seen >= risk THEN entry + CAST(0.5 AS DOUBLE) * risk WHEN seen >= CAST(2.5 AS DOUBLE) THEN entry ELSE entry - risk END AS stop, entry + 2 * risk AS goal FROM p3)",
+)
+def buyonly_exits(spark, sf_dir):
+    b = bars(spark, sf_dir, "minute")
+    x = buy.exits(b.where(F.minute("ts") % 7 == 0), b)
+    return x.select("symbol", "ts", "entry", "exit_ts", F.round("exit", 6).alias("exit"), "exit_reason", "held", F.round("points", 6).alias("points"))
+
+
+_WALLS_SQL = (
+    "spot AS (SELECT ts, sum(strike * volume) / sum(volume) AS close FROM chain GROUP BY ts)",
+    "held AS (SELECT option_type, ts, strike, CASE WHEN count(oi) OVER w >= 5 THEN max(oi) OVER w END AS held FROM (SELECT option_type, ts, strike, sum(oi) AS oi FROM chain GROUP BY ALL) WINDOW w AS (PARTITION BY option_type, strike ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))",
+    "walls AS (SELECT option_type, ts, arg_max(strike, (held, -strike)) FILTER (held IS NOT NULL) AS wall, max(held) AS wall_oi FROM held GROUP BY ALL)",
+    "moves AS (SELECT *, lag(wall) OVER l AS last_wall, lag(wall_oi, 5) OVER l AS earlier FROM walls WINDOW l AS (PARTITION BY option_type ORDER BY ts))",
+)
+
+
+@query(
+    "SELECT direction, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, CASE WHEN option_type = 'CE' AND close + 50 > last_wall THEN 'CE' WHEN option_type = 'PE' AND close - 50 < last_wall THEN 'PE' END AS direction FROM moves JOIN spot USING (ts) WHERE wall <> last_wall AND (earlier - wall_oi) / earlier * 100 >= 8) WHERE direction IS NOT NULL GROUP BY direction",
+    CHAIN_SQL,
+    *_WALLS_SQL,
+)
+def buyonly_oi_walls(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    spot = c.groupBy("ts").agg((F.sum(F.col("strike") * F.col("volume")) / F.sum("volume")).alias("close"))
+    spot = spot.select(F.lit("SPOT").alias("symbol"), "ts", (F.col("close") + 50).alias("high"), (F.col("close") - 50).alias("low"), "close")
+    s = buy.oi_velocity(spot, c)
+    return s.groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+# --- validation ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT cfg, count(*) AS folds, count(*) FILTER (n >= 50) AS live_folds, count(*) FILTER (n >= 50 AND e > 0) AS win_folds, round(count(*) FILTER (n >= 50 AND e > 0) / nullif(count(*) FILTER (n >= 50), 0), 6) AS fold_win_rate, count(*) - count(*) FILTER (n >= 50) AS thin_folds FROM (SELECT cfg, year(day) AS y, count(*) AS n, avg(ret) AS e FROM trades GROUP BY ALL) GROUP BY cfg",
+    TRADES_SQL,
+)
+def fold_stability(spark, sf_dir):
+    folds = trades(spark, sf_dir).groupBy("cfg", F.year("day").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("expectancy"))
+    return rounded(gat.fold_stability(folds, "cfg", 50), 6)
+
+
+_PVALUES_SQL = "pv AS (SELECT cfg AS name, left(cfg, 1) AS family, round(1 / (1 + n * abs(e)), 6) AS p FROM m)"
+_BH = "least(1, min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+@query(
+    "SELECT name, family, p, round(a, 6) AS p_adj, round(fa, 6) AS family_p_adj, fa < CAST(0.1 AS DOUBLE) AND a < CAST(0.1 AS DOUBLE) AS passed FROM adj JOIN fam USING (family)",
+    TRADES_SQL,
+    _YEARS_SQL,
+    _PVALUES_SQL,
+    f"adj AS (SELECT name, family, p, {_BH} AS a FROM (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS n FROM pv))",
+    f"fam AS (SELECT family, {_BH} AS fa FROM (SELECT *, row_number() OVER (ORDER BY p, family) AS k, count(*) OVER () AS n FROM (SELECT family, min(p) AS p FROM pv GROUP BY family)))",
+)
+def hierarchical_fdr(spark, sf_dir):
+    p = _years(spark, sf_dir).select(F.col("cfg").alias("name"), F.substring("cfg", 1, 1).alias("family"), F.round(1 / (1 + F.col("n") * F.abs("expectancy")), 6).alias("p"))
+    return rounded(gat.hierarchical_fdr(p), 6)
+
+
+#: one candidate for each priority and year, with stand-ins for what earlier stages would have measured
+_CANDIDATES_SQL = "cand AS (SELECT cfg, n AS events, CAST(n % 9 AS INT) AS days, round(e, 6) AS FWD_expectancy, round(e - CAST(0.02 AS DOUBLE), 6) AS FWD_IS_expectancy, round(e + CAST(0.01 AS DOUBLE), 6) AS IS_expectancy, n % 5 = 0 AS exit_cap_dominated, CAST(n % 11 AS DOUBLE) AS robustness_score, CASE WHEN n % 3 > 0 THEN 'OOS_TRADING_RULE_PASS' ELSE 'OOS_FAIL' END AS OOS_trading_result, CASE WHEN n % 2 = 0 THEN 'EXECUTABLE_PRICE_MODEL' ELSE 'MID' END AS execution_model, n % 4 > 0 AS mt_pass, n % 2 = 0 AS paper_eligible, round(CAST(n % 20 AS DOUBLE) / 100, 6) AS p_adj, round(CAST(n % 13 AS DOUBLE) / 20, 6) AS top5, CASE WHEN n % 17 < 3 THEN 'THIN_OOS' ELSE 'OOS_OK' END AS oos_gate FROM m)"
+
+
+def _candidates(spark, sf_dir):
+    n, e = F.col("n"), F.col("expectancy")
+    return _years(spark, sf_dir).select(
+        "cfg",
+        n.alias("events"),
+        (n % 9).cast("int").alias("days"),
+        F.round(e, 6).alias("FWD_expectancy"),
+        F.round(e - 0.02, 6).alias("FWD_IS_expectancy"),
+        F.round(e + 0.01, 6).alias("IS_expectancy"),
+        (n % 5 == 0).alias("exit_cap_dominated"),
+        (n % 11).cast("double").alias("robustness_score"),
+        F.when(n % 3 > 0, "OOS_TRADING_RULE_PASS").otherwise("OOS_FAIL").alias("OOS_trading_result"),
+        F.when(n % 2 == 0, "EXECUTABLE_PRICE_MODEL").otherwise("MID").alias("execution_model"),
+        (n % 4 > 0).alias("mt_pass"),
+        (n % 2 == 0).alias("paper_eligible"),
+        F.round((n % 20).cast("double") / 100, 6).alias("p_adj"),
+        F.round((n % 13).cast("double") / 20, 6).alias("top5"),
+        F.when(n % 17 < 3, "THIN_OOS").otherwise("OOS_OK").alias("oos_gate"),
+    )
+
+
+@query(
+    "SELECT cfg, fails_at, CASE WHEN k = 9 THEN 'EXECUTABLE_EDGE' WHEN k = 8 THEN 'VALIDATED_OOS_EDGE' WHEN k = 7 THEN 'ROBUST_EDGE_FOUND' WHEN k = 6 THEN 'TRADING_EDGE_FOUND' WHEN k = 5 THEN 'PREDICTIVE_INFORMATION_ONLY' WHEN k > 1 THEN 'PREDICTIVE_INFORMATION_FOUND' ELSE 'NO_INFORMATION' END AS edge_kind FROM (SELECT cfg, k, ['L1_FEATURE_INFORMATION', 'L2_EVENT_INFORMATION', 'L3_COMBINATION_INFORMATION', 'L4_RETURN_PREDICTION', 'L5_TRADING_RULE', 'L6_ROBUSTNESS', 'L7_OOS', 'L8_EXECUTION', 'NONE_ALL_PASS'][k] AS fails_at FROM (SELECT cfg, CASE WHEN NOT FWD_expectancy > 0 THEN 1 WHEN events < 50 THEN 2 WHEN NOT FWD_IS_expectancy > 0 THEN 4 WHEN exit_cap_dominated OR NOT IS_expectancy > 0 THEN 5 WHEN robustness_score < 4 THEN 6 WHEN OOS_trading_result = 'OOS_FAIL' THEN 7 WHEN execution_model = 'MID' THEN 8 ELSE 9 END AS k FROM cand))",
+    TRADES_SQL,
+    _YEARS_SQL,
+    _CANDIDATES_SQL,
+)
+def edge_ladder(spark, sf_dir):
+    return gat.edge_ladder(_candidates(spark, sf_dir)).select("cfg", "fails_at", "edge_kind")
+
+
+@query(
+    "SELECT cfg, category, CASE WHEN category = 'VALIDATED_EDGE' THEN category WHEN category = 'OOS_DISCOVERY' THEN 'PROMISING_OOS' WHEN category = 'ROBUST_DISCOVERY' THEN 'ROBUST_CANDIDATE' WHEN category = 'NO_DISCOVERY' THEN 'NO_FRONTIER' ELSE 'PROMISING_ENTRY' END AS bucket, CASE WHEN NOT FWD_expectancy > 0 THEN 'OOS_FAIL' WHEN events < 50 THEN 'OOS_RAW_POSITIVE' WHEN robustness_score < 4 THEN 'OOS_THRESHOLD_PASS' WHEN NOT mt_pass THEN 'OOS_ROBUST_PASS' WHEN paper_eligible THEN 'OOS_FINAL_SURVIVOR' ELSE 'OOS_MULTIPLE_TEST_PASS' END AS stage, CASE WHEN NOT FWD_expectancy > 0 THEN 'NO_SIGNAL_FOUND' WHEN NOT IS_expectancy > 0 THEN 'NO_SIGNAL_FOUND' WHEN OOS_trading_result = 'OOS_FAIL' THEN 'OOS_FAILED' WHEN robustness_score < 4 THEN 'ROBUSTNESS_FAILED' WHEN NOT mt_pass THEN 'MULTIPLE_TESTING_FAILED' WHEN execution_model = 'MID' THEN 'EXECUTION_FAILED' ELSE 'VALIDATED_EDGE' END AS state FROM (SELECT *, CASE WHEN NOT FWD_expectancy > 0 THEN 'NO_DISCOVERY' WHEN NOT FWD_IS_expectancy > 0 THEN 'INFORMATION_DISCOVERY' WHEN NOT IS_expectancy > 0 THEN 'PREDICTIVE_DISCOVERY' WHEN robustness_score < 4 THEN 'TRADING_RULE_DISCOVERY' WHEN OOS_trading_result = 'OOS_FAIL' THEN 'ROBUST_DISCOVERY' WHEN mt_pass AND execution_model <> 'MID' AND paper_eligible THEN 'VALIDATED_EDGE' ELSE 'OOS_DISCOVERY' END AS category FROM cand)",
+    TRADES_SQL,
+    _YEARS_SQL,
+    _CANDIDATES_SQL,
+)
+def research_states(spark, sf_dir):
+    c = _candidates(spark, sf_dir).withColumn("category", gat.discovery_category())
+    robust, oos = F.col("robustness_score") >= 4, F.col("OOS_trading_result") == "OOS_TRADING_RULE_PASS"
+    stage = gat.oos_stage(F.col("FWD_expectancy"), F.col("events"), 50, F.col("mt_pass"), robust, F.col("paper_eligible"))
+    state = gat.candidate_state(F.col("FWD_expectancy") > 0, F.col("IS_expectancy") > 0, oos, robust, F.col("mt_pass"), F.col("execution_model") == "EXECUTABLE_PRICE_MODEL", F.lit(False))
+    return c.select("cfg", "category", gat.frontier_bucket(F.col("category"), F.lit("")).alias("bucket"), stage.alias("stage"), state.alias("state"))
+
+
+@query(
+    "SELECT cfg, CASE WHEN events < 50 OR days < 3 OR oos_gate = 'THIN_OOS' THEN 'THIN_SAMPLE' WHEN FWD_IS_expectancy <= 0 THEN 'OOS_REJECTED' WHEN NOT IS_expectancy > 0 THEN 'REJECTED' WHEN p_adj >= CAST(0.1 AS DOUBLE) THEN 'SURROGATE_REJECTED' WHEN exit_cap_dominated THEN 'CAP_DOMINATED' WHEN top5 >= CAST(0.5 AS DOUBLE) THEN 'CONCENTRATED' WHEN days < 5 THEN 'THIN_SAMPLE' WHEN p_adj < CAST(0.05 AS DOUBLE) THEN 'OOS_SURVIVED' ELSE 'ROBUST' END AS status FROM cand",
+    TRADES_SQL,
+    _YEARS_SQL,
+    _CANDIDATES_SQL,
+)
+def candidate_status(spark, sf_dir):
+    s = gat.status(oos="FWD_IS_expectancy", train="IS_expectancy", capped="exit_cap_dominated")
+    return _candidates(spark, sf_dir).select("cfg", s.alias("status"))
+
+
+@query(
+    "SELECT cfg, CASE WHEN d AND f AND o AND events >= 50 THEN CASE WHEN paper_eligible THEN 'PAPER' ELSE 'VALIDATED' END WHEN events >= 50 THEN 'LEAD' ELSE 'REJECTED' END AS tier, CAST(events < 50 AS INT) + CAST(NOT d AS INT) + CAST(NOT f AS INT) + CAST(NOT o AS INT) AS n_reasons FROM (SELECT *, 1 - p_adj >= CAST(0.95 AS DOUBLE) AS d, 1 - top5 >= CAST(0.6 AS DOUBLE) AS f, FWD_IS_expectancy > 0 AS o FROM cand)",
+    TRADES_SQL,
+    _YEARS_SQL,
+    _CANDIDATES_SQL,
+)
+def discovery_tiers(spark, sf_dir):
+    tier, reasons = gat.discovery_tier(1 - F.col("p_adj"), 1 - F.col("top5"), F.col("FWD_IS_expectancy"), F.col("events"), F.col("paper_eligible"))
+    return _candidates(spark, sf_dir).select("cfg", tier.alias("tier"), F.size(reasons).alias("n_reasons"))
+
+
+@query(
+    "SELECT dimension, groups, positive, round(CASE WHEN groups >= 2 THEN positive / groups END, 6) AS positive_share, positive = 0 OR positive = groups AS sign_agreement, CASE WHEN groups < 2 THEN 'UNTESTABLE' WHEN 2 * positive >= groups THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT dimension, count(*) AS groups, count(*) FILTER (n >= 5 AND m > 0) AS positive FROM (SELECT dimension, value, count(y) AS n, avg(y) AS m FROM (SELECT 'symbol' AS dimension, symbol AS value, y FROM ev UNION ALL SELECT 'hour', CAST(hour(ts) AS VARCHAR), y FROM ev UNION ALL SELECT 'day', CAST(CAST(ts AS DATE) AS VARCHAR), y FROM ev) GROUP BY ALL) GROUP BY dimension)",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+    "ev AS (SELECT symbol, ts, fwd_ret_5 AS y FROM lab WHERE return_1 > 0)",
+)
+def generalization(spark, sf_dir):
+    e = ser.labels(ser.returns(bars(spark, sf_dir)), (5,)).where("return_1 > 0").withColumns({"hour": F.hour("ts"), "day": F.to_date("ts")})
+    return rounded(gat.generalization(e, ["symbol", "hour", "day"], "fwd_ret_5"), 6)
+
+
+@query(
+    "SELECT CAST(w AS INT) AS \"window\", CAST(a AS BIGINT) AS from_minute, CAST(b AS BIGINT) AS to_minute, count(y) AS n, round(avg(y), 4) AS mean, count(y) >= 5 AND avg(y) > 0 AS positive FROM ev, (SELECT w, floor(q[w]) AS a, floor(q[w + 1]) AS b FROM (SELECT quantile_cont(mi, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM ev), (SELECT unnest([1, 2, 3, 4]) AS w)) WHERE floor(mi) BETWEEN a AND b GROUP BY ALL",
+    _MINUTES_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+    "ev AS (SELECT ts, fwd_ret_5 AS y, hour(ts) * 60 + minute(ts) + second(ts) / CAST(60 AS DOUBLE) AS mi FROM lab WHERE return_1 > 0)",
+)
+def session_windows(spark, sf_dir):
+    e = ser.labels(ser.returns(bars(spark, sf_dir, "minute")), (5,)).where("return_1 > 0")
+    return rounded(gat.session_windows(e, "fwd_ret_5"), 4)
+
+
+@query(
+    "SELECT round(avg(y), 4) AS base, round(avg(b), 4) AS shifted FROM (SELECT return_1, fwd_ret_5 AS y, lag(fwd_ret_5) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM lab) WHERE return_1 > 0",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+)
+def entry_perturbation(spark, sf_dir):
+    return rounded(gat.entry_perturbation(ser.labels(ser.returns(bars(spark, sf_dir)), (5,)), F.col("return_1") > 0, "fwd_ret_5"), 4)
+
+
+_BAR_DAYS_SQL = "bd AS (SELECT day, CASE WHEN pos < floor(n * CAST(0.5 AS DOUBLE)) THEN 'train' WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS part FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM bars)))"
+
+
+@query(
+    "SELECT CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(v AS BIGINT) AS violations, c AS checked FROM (SELECT count(*) FILTER (o.part = 'train' AND l.part IN ('validation', 'test')) AS v, count(*) AS c FROM bars LEFT JOIN bd o ON o.day = CAST(ts AS DATE) LEFT JOIN bd l ON l.day = CAST(ts + INTERVAL 5 HOUR AS DATE))",
+    BARS_SQL,
+    _BAR_DAYS_SQL,
+)
+def split_integrity(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return gat.split_integrity(b, inf.splits(b.select(F.to_date("ts").alias("day")).distinct(), embargo=0), "5 hours")
