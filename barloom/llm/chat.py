@@ -15,6 +15,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 NEWLINE_IN_ROLE = "<|nl|>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 256
+#: placeholders of parts that are no text; escaped text never holds ``<|``, so no text looks like one
+HOLDER = r"<\|(image|audio|document)\|>"
 
 
 def escape(text: Column) -> Column:
@@ -72,7 +74,8 @@ def format_conversations(messages: DataFrame, parts: str = "parts") -> DataFrame
     """Render (conv_id, turn, role, parts) rows: conv_id, formatted, attachments, expanded_tokens.
 
     Turns are ordered by turn, role, content, so repeated turns have one defined order; a null turn comes first,
-    a null role or text is empty.  One conversation is one output string, as any chat template needs.
+    a null role or text is empty.  One conversation is one output string, as any chat template needs.  Rows with a null
+    conv_id are one conversation; other columns are ignored; an empty table gives an empty result.
     """
     content, attachments, tokens = flatten_parts(F.col(parts))
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(NEWLINE_IN_ROLE))
@@ -90,9 +93,10 @@ def format_conversations(messages: DataFrame, parts: str = "parts") -> DataFrame
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse ``formatted`` strings: conv_id, turns array<struct<role, content, text, loss>>.
+    """Parse ``formatted`` strings: conv_id, formatted, turns array<struct<role, content, text, kinds, loss>>, other columns.
 
-    ``content`` is the escaped text between the marks, ``text`` the original, ``loss`` marks assistant turns.
+    ``content`` is what stands between the marks, ``text`` the original text without placeholders, ``kinds`` those of the
+    placeholders in order, ``loss`` marks assistant turns (of which the text alone is trained on).
     """
     pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda x: x != "")
 
@@ -101,13 +105,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
         name = F.substring_index(body, "\n", 1)
         content = body.substr(F.length(name) + 2, F.lit(2**31 - 1))
         role = unescape(F.replace(name, F.lit(NEWLINE_IN_ROLE), F.lit("\n")))
-        return F.struct(role.alias("role"), content.alias("content"), unescape(content).alias("text"), (role == "assistant").alias("loss"))
+        text = unescape(F.regexp_replace(content, HOLDER, ""))
+        kinds = F.regexp_extract_all(content, F.lit(HOLDER), F.lit(1))
+        return F.struct(role.alias("role"), content.alias("content"), text.alias("text"), kinds.alias("kinds"), (role == "assistant").alias("loss"))
 
-    return formatted.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"))
+    return formatted.withColumn("turns", F.transform(pieces, turn))
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Digests of what the output says when it is read back (see :func:`read_back`)."""
+    """Digests of what the output says when it is read back (see :func:`read_back`), with attachments and expanded_tokens."""
     back = read_back(formatted)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
@@ -118,4 +124,6 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "attachments",
+        "expanded_tokens",
     )

@@ -35,7 +35,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(forged).alias("text"),
     )
     messages = rows.unionByName(more).withColumn("parts", chat.text_parts(F.col("text")))
-    return chat.conversation_digests(chat.format_conversations(messages))
+    read = chat.conversation_digests(chat.format_conversations(messages))
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 OP2_SQL = r"""
