@@ -42,11 +42,10 @@ def expected_max_sharpe(trials: int, variance: float = 1.0) -> float:
 
 
 def moments(trades: DataFrame, key: str, value: str) -> DataFrame:
-    """n, Sharpe per trade, skewness and raw kurtosis about the sample deviation."""
-    one = trades.groupBy(key).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
-    z = ratio(F.col(value) - F.col("m"), F.col("sd"))
-    both = trades.join(one, key)
-    return both.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(ratio(F.col("m"), F.col("sd"))).alias("sr"), F.avg(z * z * z).alias("skew"), F.avg(z * z * z * z).alias("kurt"))
+    """n, Sharpe per trade, skewness and raw kurtosis about the sample deviation, in one aggregate."""
+    n, part = F.count(value), (F.count(value) - 1) / F.count(value)
+    skew, kurt = F.skewness(value) * F.pow(part, 1.5), (F.kurtosis(value) + 3) * F.pow(part, 2.0)
+    return trades.groupBy(key).agg(n.alias("n"), ratio(F.avg(value), F.stddev_samp(value)).alias("sr"), skew.alias("skew"), kurt.alias("kurt"))
 
 
 def probabilistic_sharpe(sr: Column, n: Column, skew: Column, kurt: Column, benchmark: float = 0.0) -> Column:
@@ -134,7 +133,7 @@ def bootstrap_ci(trades: DataFrame, key: str, value: str, reps: int = 200, block
         import pandas as pd
 
         frame = frame.sort_values("b")
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng([seed, *str(frame[key].iloc[0]).encode()])
         s, n = frame["s"].to_numpy(float), frame["n"].to_numpy(float)
         means = [s[pick].sum() / n[pick].sum() for pick in (rng.integers(0, len(s), len(s)) for _ in range(reps))]
         low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])

@@ -1,7 +1,7 @@
 """Joins across contracts: as-of, option types, strikes, breadth, lead and lag, contract selection.
 
 Self joins are on time and one more key with few values per time (strikes of an expiry), or between neighbours by rank;
-as-of joins are one union, one shuffle and a running last value, whatever the sizes.
+as-of joins are one union and a running last value inside each day, with what earlier days end with carried in.
 """
 
 from __future__ import annotations
@@ -16,16 +16,21 @@ def asof(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] =
     """``left`` with the ``value`` of the latest ``right`` row at or before its ts (with ``forward``: the next at or after).
 
     Rows without a partner get null; a right row at the same ts counts; of several there the greatest value counts.
+    Rows meet inside a day, so one long series is many tasks; a day begins with the last value of the days before it,
+    which are one row each.
     """
-    a = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)})
-    b = right.groupBy(*keys, "ts").agg(F.max(value).alias("_value")).withColumn("_side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    if forward:
-        w = Window.partitionBy(*keys).orderBy(F.desc("ts"), "_side")
-    else:
-        w = Window.partitionBy(*keys).orderBy("ts", "_side")
+    day, kind = F.to_date("ts").alias("_day"), right.schema[value].dataType
+    way, edge = (F.desc, F.min_by) if forward else (F.asc, F.max_by)
+    a = left.withColumns({"_side": F.lit(2), "_value": F.lit(None).cast(kind)}).withColumn("_day", day)
+    b = right.where(F.col(value).isNotNull()).groupBy(*keys, "ts").agg(F.max(value).alias("_value")).select("*", F.lit(1).alias("_side"), day)
+    ends = b.groupBy(*keys, "_day").agg(edge("_value", "ts").alias("_value"))
+    days = left.select(*keys, day, F.lit(None).cast(kind).alias("_value")).distinct().unionByName(ends).groupBy(*keys, "_day").agg(F.max("_value").alias("_value"))
+    carried = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(way("_day")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = days.withColumn("_value", carried).withColumn("_side", F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_day").orderBy(F.least("_side", F.lit(1)), way("ts"), "_side")
     found = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(value, found).where("_side = 1").drop("_side", "_value")
+    return both.withColumn(value, found).where("_side = 2").drop("_side", "_value", "_day")
 
 
 def type_pairs(chain: DataFrame) -> DataFrame:

@@ -210,12 +210,11 @@ def clustering(trades: DataFrame, key: str, value: str, order: str) -> DataFrame
 
 def distribution(trades: DataFrame, key: str, value: str) -> DataFrame:
     """Moments by explicit sums (population skewness, raw kurtosis) and percentiles."""
-    r = F.col(value)
-    mean = trades.groupBy(key).agg(F.avg(r).alias("m"), F.stddev_samp(r).alias("sd"))
-    one = trades.join(mean, key)
-    z = ratio(F.col(value) - F.col("m"), F.col("sd"))
-    return one.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"), F.avg(z * z * z).alias("skew"), F.avg(z * z * z * z).alias("kurtosis"), *[F.expr(f"percentile({value}, {q})").alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
+    r, n = F.col(value), F.count(value)
+    # about the sample deviation, as the built-in moments are about the population's
+    skew, kurt = F.skewness(r) * F.pow((n - 1) / n, 1.5), (F.kurtosis(r) + 3) * F.pow((n - 1) / n, 2.0)
+    return trades.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"), skew.alias("skew"), kurt.alias("kurtosis"), *[F.expr(f"percentile({value}, {q})").alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
     )
 
 
@@ -258,8 +257,25 @@ def board(metrics: DataFrame, objective: str = "expectancy") -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(w))
 
 
+#: configurations that one task thins out
+PART = 5000
+
+
 def pareto(metrics: DataFrame, up: list[str], down: list[str]) -> DataFrame:
-    """Configurations that no other is at least as good as in everything and better in something."""
+    """Configurations that no other is at least as good as in everything and better in something.
+
+    Parts of about PART rows are thinned out first, each by itself; only what is best in its part is compared with all.
+    """
+    parts = max(1, -(-metrics.count() // PART))
+    if parts > 1:
+        dealt = metrics.withColumn("_part", F.pmod(F.xxhash64(*metrics.columns), F.lit(parts)).cast("int"))
+
+        def thin(frame):
+            x = np.concatenate([frame[up].to_numpy(float), -frame[down].to_numpy(float)], axis=1)
+            keep = [not ((x >= row).all(1) & (x > row).any(1)).any() for row in x]
+            return frame[keep].drop(columns="_part")
+
+        metrics = dealt.groupBy("_part").applyInPandas(thin, metrics.schema)
     a, b = metrics.alias("a"), metrics.alias("b")
     as_good, better = F.lit(True), F.lit(False)
     for c in up:
