@@ -14,6 +14,7 @@ from ..operators import buyonly as buy
 from ..operators import gates as gat
 from ..operators import indicators as ind
 from ..operators import inference as inf
+from ..operators import premium as prm
 from ..operators import relations as rel
 from ..operators import series as ser
 from ..operators import trading as trd
@@ -699,6 +700,69 @@ def buyonly_oi_walls(spark, sf_dir):
     return s.groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+# --- premium and events ----------------------------------------------------------------------------------------------
+
+_FLAGS = ("premium_shock", "premium_mean_reversion", "alternating", "premium_breakout", "premium_expansion", "volume_persistence")
+_PREMIUM_SQL = (
+    f"q1 AS (SELECT *, return_1 - return_3 AS accel_1_3, abs(return_1) AS size, lag(return_1) {_W}) AS b1, lag(return_1, 2) {_W}) AS b2, (high - low) / nullif(lag(high - low) {_W}), 0) AS range_ratio FROM ret)",
+    f"q2 AS (SELECT *, accel_1_3 - lag(accel_1_3) {_W}) AS premium_accel, count(size) OVER p AS k, list(size) OVER p AS sizes, avg(size) OVER p AS m, stddev_pop(size) OVER p AS sd, CASE WHEN count(volume) OVER p >= 20 THEN volume / nullif(quantile_cont(volume, 0.5) OVER p, 0) END AS volume_ratio FROM q1 WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING))",
+    f"q3 AS (SELECT *, count(*) FILTER (NOT coalesce(volume_ratio > CAST(1.2 AS DOUBLE), false)) {_W}) AS island FROM q2)",
+)
+
+
+@query(
+    "SELECT symbol, ts, round(volume_ratio, 4) AS volume_ratio, round(premium_accel, 4) + 0.0 AS premium_accel, round(CASE WHEN k >= 20 AND size IS NOT NULL THEN len(list_filter(sizes, lambda x: x <= size)) * CAST(100 AS DOUBLE) / k END, 4) AS premium_percentile, round(CASE WHEN k >= 20 THEN (size - m) / nullif(sd, 0) END, 4) + 0.0 AS premium_zscore, CAST(coalesce(size > 3, false) AS INT) AS premium_shock, CAST(coalesce(return_1 * b1 < 0 AND abs(b1) > 1, false) AS INT) AS premium_mean_reversion, CAST(coalesce((return_1 > 0) <> (b1 > 0) AND (b1 > 0) <> (b2 > 0), false) AS INT) AS alternating, CAST(coalesce(range_ratio > 2 AND abs(return_5) > CAST(1.5 AS DOUBLE), false) AS INT) AS premium_breakout, CAST(coalesce(range_ratio > 2, false) AS INT) AS premium_expansion, CASE WHEN volume_ratio > CAST(1.2 AS DOUBLE) THEN count(*) FILTER (volume_ratio > CAST(1.2 AS DOUBLE)) OVER (PARTITION BY symbol, island ORDER BY ts) ELSE 0 END AS volume_persistence FROM q3",
+    BARS_SQL,
+    RETURNS_SQL,
+    *_PREMIUM_SQL,
+)
+def premium_features(spark, sf_dir):
+    f = prm.premium_features(ser.returns(bars(spark, sf_dir)))
+    return rounded(f.select("symbol", "ts", "volume_ratio", "premium_accel", "premium_percentile", "premium_zscore", *_FLAGS), 4)
+
+
+@query(
+    "SELECT symbol, CAST(sum(CAST(coalesce(b > 50 AND abs(s) < b, false) AS INT)) AS BIGINT) AS converged, CAST(sum(CAST(coalesce(abs(s) >= 50, false) AS INT)) AS BIGINT) AS setups FROM (SELECT symbol, return_1 - return_3 AS s, abs(lag(return_1 - return_3) OVER (PARTITION BY symbol ORDER BY ts)) AS b FROM ret) GROUP BY symbol",
+    BARS_SQL,
+    RETURNS_SQL,
+)
+def convergence_events(spark, sf_dir):
+    f = prm.catchup(prm.convergence(ser.returns(bars(spark, sf_dir)), ["accel_1_3"], 50.0), ["accel_1_3"], 50.0)
+    return f.groupBy("symbol").agg(F.sum(F.col("ev_convergence").cast("long")).alias("converged"), F.sum(F.col("ev_catchup_setup").cast("long")).alias("setups"))
+
+
+@query(
+    "SELECT count(*) AS n, round(avg(CASE WHEN y > CAST(0.5 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS catch_up, round(avg(CASE WHEN abs(y) <= CAST(0.5 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS keeps_lagging, round(avg(CASE WHEN y < CAST(-0.5 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS reversal FROM (SELECT fwd_ret_5 AS y FROM lab WHERE return_1 > 50 AND fwd_ret_5 IS NOT NULL)",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+)
+def catchup_outcomes(spark, sf_dir):
+    return rounded(prm.catchup_outcomes(ser.labels(ser.returns(bars(spark, sf_dir)), (5,)), F.col("return_1") > 50, "fwd_ret_5"), 6)
+
+
+@query(
+    "SELECT option_type, count(*) AS n, CAST(sum(CAST(coalesce(pct >= 95, false) AS INT)) AS BIGINT) AS shocks, round(avg(pct), 6) AS mean_rank FROM (SELECT option_type, CASE WHEN k >= 20 AND b IS NOT NULL THEN len(list_filter(l, lambda x: x <= b)) * CAST(100 AS DOUBLE) / k END AS pct FROM (SELECT option_type, lag(oi) OVER s AS b, list(oi) OVER p AS l, count(oi) OVER p AS k FROM chain WINDOW s AS (PARTITION BY symbol ORDER BY ts), p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING))) GROUP BY option_type",
+    CHAIN_SQL,
+)
+def oi_shocks(spark, sf_dir):
+    f = prm.oi_shocks(chain(spark, sf_dir))
+    return rounded(f.groupBy("option_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e_oi_shock").cast("long")).alias("shocks"), F.avg("oi_percentile").alias("mean_rank")), 6)
+
+
+@query(
+    "SELECT cfg, " + ", ".join(f"round(sum(abs(ret)) FILTER (k <= greatest(1, ceil(n * CAST({s} AS DOUBLE)))) / sum(abs(ret)), 6) AS top{round(s * 100)}pct" for s in (0.01, 0.05, 0.1)) + " FROM (SELECT *, row_number() OVER (PARTITION BY cfg ORDER BY abs(ret) DESC, seq) AS k, count(*) OVER (PARTITION BY cfg) AS n FROM trades) GROUP BY cfg",
+    TRADES_SQL,
+)
+def trade_top_share(spark, sf_dir):
+    return rounded(prm.top_share(trades(spark, sf_dir), "cfg", "ret"), 6)
+
+
+@query()
+def sign_flip_test(spark, sf_dir):
+    return rounded(prm.sign_flip_test(trades(spark, sf_dir), "cfg", "ret", "seq"), 6)
+
+
 # --- validation ------------------------------------------------------------------------------------------------------
 
 

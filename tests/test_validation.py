@@ -119,3 +119,26 @@ def test_status_chain_covers_every_name(spark):
     frame = spark.createDataFrame(grid, "events int, days int, oos_mean double, train_mean double, p_adj double, top5 double, oos_gate string, capped boolean")
     names = {r.s for r in frame.select(gates.status().alias("s")).distinct().collect()}
     assert names == {"THIN_SAMPLE", "REJECTED", "OOS_REJECTED", "SURROGATE_REJECTED", "CAP_DOMINATED", "CONCENTRATED", "OOS_SURVIVED", "ROBUST"}
+
+
+def test_sign_flips(spark):
+    from barloom.operators import premium
+
+    rng = np.random.default_rng(6)
+    rows = [("edge", k, float(abs(x))) for k, x in enumerate(rng.normal(size=80))] + [("none", k, float(x - y)) for k, (x, y) in enumerate(rng.normal(size=(80, 2)))]
+    rows += [("none", 1000 + k, -r[2]) for k, r in enumerate(rows) if r[0] == "none"]  # a mean of zero
+    got = {r.cfg: (r.observed, r.p) for r in premium.sign_flip_test(spark.createDataFrame(rows, "cfg string, seq long, ret double"), "cfg", "ret", "seq").collect()}
+    assert got["edge"][1] == pytest.approx(1 / 201) and 0.2 < got["none"][1] < 0.8
+
+
+def test_combo_events(spark):
+    flags = ["e_large_ret", "e_vol_shock", "e_compression", "e_expansion", "e_type_accel", "e_atm_move", "a_leads_b"]
+    rows = [(s, datetime(2024, 1, 1, k), *(int(b) for b in f"{k * 37 % 128:07b}")) for s in "AB" for k in range(20)]
+    frame = spark.createDataFrame(rows, ", ".join(["symbol string", "ts timestamp_ntz", *[f"{f} int" for f in flags]]))
+    from barloom.operators import premium
+
+    last: dict = {}
+    for r in premium.combo_events(frame, ["a_leads_b"]).orderBy("symbol", "ts").collect():
+        want = (r.e_large_ret & r.e_vol_shock, last.get(r.symbol, 0) & r.e_expansion, r.e_type_accel & (1 - r.a_leads_b), r.e_atm_move, r.e_large_ret & r.e_vol_shock & r.e_expansion)
+        assert (r.ev_largeRet_volShock, r.ev_compress_expand, r.ev_typeAccel_otherStall, r.ev_atm_neighbor, r.ev_ret_vol_expand) == want
+        last[r.symbol] = r.e_compression
