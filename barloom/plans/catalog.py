@@ -463,6 +463,18 @@ def rule_backtest(spark, sf_dir):
     return rounded(t.groupBy("symbol", "rule", "exit_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("net")), 6)
 
 
+@query()
+def rule_exits(spark, sf_dir):
+    """Trailing stops, bar limits, fills at the signal's close and costs, over rules of every kind."""
+    s = ind.signals(bars(spark, sf_dir), "SMA", "Breakout", "NR7", "Ribbon", "CRSI", "Squeeze")
+    variants = {"trail": {"trail": 30.0}, "limit": {"max_bars": 5}, "close": {"fill_next": False}, "cost": {"sl": 40.0, "tp": 80.0, "cost": 0.1}}
+    made = [trd.backtest(s, **v).withColumn("variant", F.lit(n)) for n, v in variants.items()]
+    t = made[0]
+    for m in made[1:]:
+        t = t.unionByName(m)
+    return rounded(t.groupBy("variant", "rule", "exit_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("net")), 6)
+
+
 @query(
     "SELECT cfg, count(*) AS n, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret < 0) AS losses, round(avg(ret), 5) AS expectancy, round(avg(ret) FILTER (ret > 0), 5) AS avg_win, round(avg(ret) FILTER (ret < 0), 5) AS avg_loss, round(sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0), 5) AS profit_factor, round(avg(ret) / stddev_samp(ret) * sqrt(count(*)), 5) AS trade_sharpe, round(avg(ret) / stddev_samp(ret) FILTER (ret < 0), 5) AS sortino, round(max(greatest(top, 0) - e), 4) AS max_drawdown, max(ret) AS best, min(ret) AS worst FROM (SELECT *, max(e) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT *, sum(ret) OVER (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS e FROM trades)) GROUP BY cfg",
     TRADES_SQL,
