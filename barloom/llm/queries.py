@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
+from . import ann, chat, decontam, digest_index, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -146,6 +146,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by the digest index: the row with the largest doc_id of equal texts stays."""
+    return digest_index.judge_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY t)
+"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE rules(rule_host, rule_path, says) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -199,8 +213,9 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_token_counts": op10_token_counts,
+        "op11_exact_dedup": op11_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
+    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_exact_dedup": OP11_SQL}
