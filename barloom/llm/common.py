@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -107,6 +108,21 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, size: int = 1 << 20):
+    """A text cut at white space into parts of about ``size`` bytes, so that only one part's words are held as a list."""
+    at = 0
+    while len(text) - at > size:
+        cut = _WHITE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def text_bytes(column) -> list:
     """An Arrow string column as a list of UTF-8 byte strings; null is empty."""
     import pyarrow as pa

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, digest_index, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
+from . import ann, chat, decontam, digest_index, filteraudit, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -160,6 +160,42 @@ FROM texts WINDOW same AS (PARTITION BY t)
 """
 
 
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, in all orders, by source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts),
+judged AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM worded),
+marked AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+steps AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INT) AS step FROM orders),
+ordered AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    contains(fails, filter_order[step]) AS hit, len(translate(fails, filter_order[1:step - 1], '')) < len(fails) AS gone
+  FROM judged LEFT JOIN marked USING (doc_id), steps),
+counted AS (
+  SELECT part, filter_order, step, f, count(*) FILTER (NOT hit AND NOT gone) AS kept, count(*) FILTER (hit AND NOT gone) AS removed,
+    count(*) FILTER (hit AND gone) AS redundant, count(*) FILTER (fails = f) AS unique_fails,
+    count(*) FILTER (hit AND NOT gone AND good = 1) AS good_lost, count(*) FILTER (hit AND NOT gone AND toxic = 1) AS toxic_lost
+  FROM ordered GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE rules(rule_host, rule_path, says) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -214,8 +250,9 @@ def queries() -> dict:
         "op9_url_filters": op9_url_filters,
         "op10_token_counts": op10_token_counts,
         "op11_exact_dedup": op11_exact_dedup,
+        "op12_filter_interaction": op12_filter_interaction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_exact_dedup": OP11_SQL}
+    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_filter_interaction": OP12_SQL}
