@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, digest_index, filteraudit, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
+from . import ann, chat, decontam, digest_index, divergence, filteraudit, html_extract, lm, neardup, spm, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -196,6 +196,36 @@ FROM counted
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source differ from the other sources of its language and from the language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+said AS (SELECT id, lang, source, unnest(w) AS term FROM texts),
+kept AS (SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+counts AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v,
+  sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_total FROM cells),
+scored AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 2)) // (total + 2 * v) AS BIGINT) AS p,
+  CAST(1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v) AS BIGINT) AS q FROM sized),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM scored a JOIN scored b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM scored WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM items)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE rules(rule_host, rule_path, says) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
@@ -251,8 +281,9 @@ def queries() -> dict:
         "op10_token_counts": op10_token_counts,
         "op11_exact_dedup": op11_exact_dedup,
         "op12_filter_interaction": op12_filter_interaction,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_filter_interaction": OP12_SQL}
+    return {"op1_html_extraction": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_filter_interaction": OP12_SQL, "op13_source_divergence": OP13_SQL}
