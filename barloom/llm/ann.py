@@ -195,6 +195,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SH
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
     top = float(size["m"] or 0.0)
+    if size["n"] == 0:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     n = max(1, min(MAX_CENTRES, -(-size["n"] * OVERLAP // shard_rows))) if size["n"] > shard_rows else 1
     mark = F.xxhash64("v")

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, pieces, slices, spread_join, text_bytes
 
 #: bytes of text that a task counts at once, and rows after which it sums up or hands on what it holds
-CHUNK_BYTES, HELD_ROWS = 24 << 20, 2_000_000
+CHUNK_BYTES, HELD_ROWS = 12 << 20, 2_000_000
 
 #: groups (lang, source) up to which their totals, about 100 bytes each, are broadcast
 BROADCAST_GROUPS = 200_000

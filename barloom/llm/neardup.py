@@ -2,8 +2,8 @@
 
 1. One pass hashes each text's word shingles and keeps a digest of the set, the signature (the minima) and one key per
    band of it.  Shingles are 64-bit hashes; a collision inside a set is as unlikely as one pair in 2^64.
-2. Equal sets meet by digest (a partial aggregate, so a huge group of copies costs little); the smallest id stands
-   for them from here on.
+2. Equal sets meet by digest (a partial aggregate, so a huge group of copies costs little); a 64-bit hash of the digest,
+   tested to be unique, stands for them from here on, and doc_ids come back only when components are named.
 3. Representatives with a band key in common are candidates.  Inside a bucket links are sought by pivots: first
    each member against one pivot, then against the pivots of all its buckets, and last the pairs that are still in
    different components.  Nothing is skipped: a pair is left untested only once both sides are known to be in
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, Scratch, hub_join, slices
+from .common import HUB, HUBS, LOWER_TABLE, Scratch, hub_join, slices
 from .components import connected_components
 
 ROWS = 4
@@ -92,8 +92,12 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) ->
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32), key.view(np.int64)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, minima, bands) per row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, digest, minima, bands) per row of ``docs`` (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -101,19 +105,20 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         a, b = _universal(bands * rows)
         for batch in slices(batches):
             n, digest, least, keys = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingle_set(text or b"", size)
                 n.append(len(found))
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                digest.append(set_digest(found))
                 one, other = signature(found, a, b, rows) if len(found) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
                 least.append(one)
                 keys.append(other)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(least, np.int32), _lists(keys, np.int64)],
-                names=["doc_id", "n_shingles", "digest", "minima", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(least, np.int32), _lists(keys, np.int64)],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "minima", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, minima array<int>, bands array<long>")
+    schema = "doc_id long, text_hash long, n_shingles long, digest binary, minima array<int>, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def _lists(arrays: list, kind):
@@ -125,16 +130,29 @@ def _lists(arrays: list, kind):
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, minima, shingles) of ``docs`` (doc_id, minima, text)."""
+    """(id, minima, shingles) of ``docs`` (id, digest, minima, text) whose text has the set of that digest."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
-            sets = [shingle_set(t or b"", size).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(sets, np.int64)], names=["id", "minima", "shingles"])
+            texts, digests = batch.column(3).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
+            sets = [shingle_set(t or b"", size) for t in texts]
+            mine = pa.array([set_digest(x) == d for x, d in zip(sets, digests, strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists([x.view(np.int64) for x in sets], np.int64)], names=["id", "minima", "shingles"])
+            yield out.filter(mine)
+
+    return docs.select("id", "digest", "minima", "text").mapInArrow(run, "id long, minima array<int>, shingles array<long>")
 
-    return docs.select("doc_id", "minima", "text").mapInArrow(run, "id long, minima array<int>, shingles array<long>")
+
+def _with_ids(reps: DataFrame) -> DataFrame:
+    """``reps`` with a 64-bit id for each digest; another seed is taken should two digests ever share one."""
+    seed = 0
+    while True:
+        named = reps.withColumn("id", F.xxhash64("digest", F.lit(seed)))
+        if named.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+            return named
+        seed += 1
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, agreement: int) -> DataFrame:
@@ -176,7 +194,7 @@ def _rest_pairs(open_: DataFrame, rare: DataFrame, reps: DataFrame, percent: int
     apart = (F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     held = rare.where("c > 1").join(open_.select("id", "n", "shared", "comp").distinct(), "id")
     by_rare = held.alias("x").join(held.alias("y"), (F.col("x.s") == F.col("y.s")) & apart & _can_link("x.n", "x.shared", "y.n", "y.shared", percent))
-    told = open_.join(reps.select(F.col("rep").alias("id"), "bands"), "id")
+    told = open_.where(100 * F.col("dense") >= percent * F.col("n")).join(reps.select("id", "bands"), "id")  # what _can_link asks of either side
     first = F.try_element_at(F.array_intersect("x.bands", "y.bands"), F.lit(1)) == F.col("x.key")
     by_key = told.alias("x").join(told.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _can_link("x.n", "x.dense", "y.n", "y.dense", percent) & first)
     ends = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
@@ -184,10 +202,16 @@ def _rest_pairs(open_: DataFrame, rare: DataFrame, reps: DataFrame, percent: int
 
 
 def _rare_shingles(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(s, id, c): shingles that at most RARE members of open buckets have, with how many have them."""
-    members = sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
-    few = members.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
-    return members.join(few, "s").select("s", "id", "c")
+    """(s, id, c): shingles that at most RARE members of open buckets have, with how many have them.
+
+    Shingles of very many members, of which there are HUBS at most, are dropped before the join.
+    """
+    held = sets.join(open_.select("id").distinct(), "id", "left_semi")
+    total = held.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    members = held.select("id", F.explode("shingles").alias("s"))
+    counts = members.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    hubs = counts.where(F.col("c") > max(HUB, total // HUBS)).select("s")
+    return members.join(F.broadcast(hubs), "s", "left_anti").join(counts.where(F.col("c") <= RARE), "s").select("s", "id", "c")
 
 
 def _with_shared(open_: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
@@ -207,38 +231,32 @@ def _can_link(n: str, shared: str, m: str, other: str, percent: int):
     return 100 * most >= percent * (F.col(n) + F.col(m) - most)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
-    """Group the texts of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word shingles.
-    A text without words (or null) has an empty set and is linked with nothing, as is a row with a null doc_id.
-    ``component_id`` is the smallest doc_id reachable; ``kept`` marks the row whose id it is (true for a null
-    doc_id).  Repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, shingle: int, percent: int, rows: int = ROWS) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, component_id) of every row; ``component`` is null for texts linked with nothing by rule."""
     scratch = Scratch(docs.sparkSession, "neardup")
     bands = bands_for(percent / 100, rows)
     agreement = least_agreement(percent / 100, bands * rows)
     marks = scratch.put(signatures(docs, shingle, bands, rows), "marks")
     full = marks.where("n_shingles > 0 and doc_id is not null")
     first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("minima", "minima"), ("bands", "bands"))]
-    reps = scratch.put(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), *first), "reps")
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
+    reps = scratch.put(_with_ids(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *first)), "reps")
+    keyed = reps.select(F.explode("bands").alias("key"), "id", "n")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     buckets = scratch.put(keyed.join(shared, "key").withColumns({"shared": F.col("n"), "dense": F.col("n")}), "buckets")
     done = [buckets]
-    wanted = reps.select(F.col("rep").alias("doc_id"), "minima").join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = reps.select(F.col("rep").alias("doc_id"), "id", "digest", "minima").join(buckets.select("id").distinct(), "id", "left_semi")
     sets = scratch.put(_full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), shingle).dropDuplicates(["id"]), "sets")
     done.append(sets)
 
     components, tested, rare = None, None, None
     for step, pivots in enumerate((1, PIVOTS, 0)):
         open_ = scratch.put(_labelled(buckets, components), "open")
-        done.append(open_)
         if step == 1:
             rare = scratch.put(_rare_shingles(open_, sets), "rare")
             buckets = scratch.put(_with_shared(open_, rare, percent), "bounded")
+            scratch.drop(open_)
             open_ = scratch.put(_labelled(buckets, components), "open")
-            done += [rare, buckets, open_]
+            done += [rare, buckets]
         pairs = _pivot_pairs(open_, pivots, percent) if pivots else _rest_pairs(open_, rare, reps, percent)
         if step == 0:
             pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
@@ -246,6 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, "pairs")
+        scratch.drop(open_)
         done.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _confirm(pairs, sets, percent, agreement).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -255,17 +274,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     for table in done:
         scratch.drop(table)
 
-    found = reps.join(components, reps["rep"] == components["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    alone = marks.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = full.select("doc_id", "n_shingles", "digest").join(found, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = reps.join(components, reps["id"] == components["node"], "left").select("digest", "copies", "rep", F.coalesce("component", "id").alias("component"))
+    names = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    placed = scratch.put(placed, "placed")
+    found = hub_join(placed, names, "component", "members", reps.count(), F.xxhash64("digest"))
+    kinds = ["doc_id", "text_hash", "n_shingles"]
+    grouped = hub_join(full.select(*kinds, "digest"), found.select("digest", "copies", "component", "component_id"), "digest", "copies", marks.count(), F.xxhash64("doc_id"))
+    alone = marks.where("n_shingles = 0 or doc_id is null").select(*kinds, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return grouped.select(*alone.columns).unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
+    """Group the texts of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word shingles.
+    A text without words (or null) has an empty set and is linked with nothing, as is a row with a null doc_id.
+    ``component_id`` is the smallest doc_id reachable; ``kept`` marks the row whose id it is (true for a null
+    doc_id).  Repeated rows give repeated results, and a doc_id with two texts has a row for each, grouped by its own
+    text; other columns are ignored; an empty table gives an empty result.
+    """
+    rows_ = _grouped(docs, shingle, percent, rows).select("doc_id", "n_shingles", "component_id")
+    return rows_.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest doc_id (rows with a null doc_id all stay).
 
-    Of rows that repeat the doc_id of the row that stays, any one stays.
+    Of rows that repeat doc_id and text, and of texts of one group under one doc_id, one stays; texts of different groups
+    under one doc_id both stay.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    single = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return single.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = _grouped(docs, shingle, percent).where("doc_id is not null")
+    best = found.where("component is not null and doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    alone = found.where("component is null").select(F.struct("doc_id", "text_hash").alias("row"))
+    kept = best.select("row").unionByName(alone).select("row.*").distinct()
+    marked = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    single = marked.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    return single.unionByName(docs.where("doc_id is null"))

@@ -152,3 +152,16 @@ def test_pipeline_keeps_columns_and_drops_copies(spark, small):
     assert out.count() == out.select("text").distinct().count() and 0 < out.count() < docs.count()
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     assert decontam.contamination(out.select("doc_id", "text"), items).where("contaminated").count() == 0
+
+
+def test_two_texts_under_one_id_lose_no_links(spark):
+    words = lambda mark, n: " ".join(f"{mark}{k}" for k in range(n))
+    a, b = words("a", 40), words("b", 40)
+    rows = [(5, a), (5, b), (7, a + " one"), (9, b + " one"), (9, b + " one"), (11, "few"), (11, "other"), (12, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string").repartition(4)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 85).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 5, False), (11, 11, True), (11, 11, True), (12, 12, True)]
+    left = sorted((r.doc_id, r.text or "") for r in neardup.drop_near_duplicates(docs, 3, 85).collect())
+    assert left == [(5, a), (5, b), (11, "few"), (11, "other"), (12, "")]
+    near = spark.createDataFrame([(5, a), (5, a + " one"), (3, a + " two"), (3, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(near, 3, 85).collect()) == [(3, a + " two"), (3, b)]
