@@ -86,10 +86,14 @@ def breadth(chain: DataFrame) -> DataFrame:
 
 
 def cross_section(chain: DataFrame) -> DataFrame:
-    """Per time: dispersion, concentration of volume, share of risers, and the mean's change against the time before."""
-    share = ratio(F.col("volume"), F.sum("volume").over(Window.partitionBy("ts")))
-    out = chain.withColumn("_share", share).groupBy("ts").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("_share") * F.col("_share")).alias("concentration"), F.stddev_samp("return_1").alias("dispersion"), F.avg("return_1").alias("chain_momentum"), F.avg((F.col("return_1") > 0).cast("double")).alias("up_frac")
+    """Per time: dispersion, concentration of volume, share of risers, and the mean's change against the time before.
+
+    Concentration is the sum of squared shares of the volume, in whole hundredths: sums of whole numbers don't hang on their order.
+    """
+    whole = F.round(F.col("volume") * 100).cast("long")
+    concentration = ratio(F.sum((whole * whole).cast("decimal(38,0)")).cast("double"), F.pow(F.sum(whole).cast("double"), F.lit(2.0)))
+    out = chain.groupBy("ts").agg(
+        F.count(F.lit(1)).alias("n"), concentration.alias("concentration"), F.stddev_samp("return_1").alias("dispersion"), F.avg("return_1").alias("chain_momentum"), F.avg((F.col("return_1") > 0).cast("double")).alias("up_frac")
     )
     return out
 

@@ -328,13 +328,13 @@ def chain_breadth(spark, sf_dir):
 
 
 @query(
-    "SELECT ts, count(*) AS n, round(sum(s * s), 6) + 0.0 AS concentration, round(avg(return_1), 5) + 0.0 AS chain_momentum FROM (SELECT *, volume / sum(volume) OVER (PARTITION BY ts) AS s FROM cret) GROUP BY ts",
+    "SELECT ts, count(*) AS n, CAST(sum(v * v) AS DOUBLE) / pow(CAST(sum(v) AS DOUBLE), 2) AS concentration, round(avg(return_1), 5) + 0.0 AS chain_momentum FROM (SELECT *, CAST(round(volume * 100) AS BIGINT) AS v FROM cret) GROUP BY ts",
     CHAIN_SQL,
     CRET_SQL,
 )
 def chain_cross_section(spark, sf_dir):
     x = rel.cross_section(_chain_returns(spark, sf_dir))
-    return x.select("ts", "n", (F.round("concentration", 6) + 0.0).alias("concentration"), (F.round("chain_momentum", 5) + 0.0).alias("chain_momentum"))
+    return x.select("ts", "n", "concentration", (F.round("chain_momentum", 5) + 0.0).alias("chain_momentum"))
 
 
 @query("SELECT ts, arg_min(strike, struct_pack(d := d, s := strike)) AS atm FROM (SELECT a.ts, a.strike, abs(a.close - b.close) AS d FROM chain a JOIN chain b USING (ts, strike) WHERE a.option_type = 'CE' AND b.option_type = 'PE') GROUP BY ts", CHAIN_SQL)
