@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
 from .series import bucket15, ratio, series
 
 # --- event backtest --------------------------------------------------------------------------------------------------
@@ -155,14 +156,13 @@ def size_lots(equity: Column, atr: Column, risk: float = 0.01) -> Column:
 def trade_metrics(trades: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Per ``key``: counts, means, profit factor (null without losers), Sharpe and Sortino per trade, drawdown.
 
-    The drawdown is of the added returns; a key's trades are ordered once.
+    The drawdown is of the added returns in ``order``, a number; it comes from runs of trades that merge, so no window holds
+    a whole ledger.
     """
     r = F.col(value)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    path = trades.withColumn("_equity", F.sum(r).over(w))
-    path = path.withColumn("_drawdown", F.greatest(F.max("_equity").over(w), F.lit(0.0)) - F.col("_equity"))
+    falls = paths.paths(trades, key, value, order).select(F.col(key).alias("_key"), "max_drawdown")
     gain, loss = F.sum(F.when(r > 0, r)), F.sum(F.when(r < 0, -r))
-    return path.groupBy(key).agg(
+    told = trades.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(r > 0).alias("wins"),
         F.count_if(r < 0).alias("losses"),
@@ -172,10 +172,11 @@ def trade_metrics(trades: DataFrame, key: str, value: str, order: str) -> DataFr
         ratio(gain, loss).alias("profit_factor"),
         (ratio(F.avg(r), F.stddev_samp(r)) * F.sqrt(F.count(F.lit(1)))).alias("trade_sharpe"),
         ratio(F.avg(r), F.stddev_samp(F.when(r < 0, r))).alias("sortino"),
-        F.max("_drawdown").alias("max_drawdown"),
         F.max(r).alias("best"),
         F.min(r).alias("worst"),
     )
+    joined = told.join(falls, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return joined.select(*told.columns[:-2], "max_drawdown", "best", "worst")
 
 
 def daily_sharpe(trades: DataFrame, key: str, value: str, day: str) -> DataFrame:
@@ -194,12 +195,8 @@ def concentration(trades: DataFrame, key: str, value: str, tie: str) -> DataFram
 
 
 def streak_stats(trades: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Longest runs of winners and losers."""
-    w = Window.partitionBy(key).orderBy(order)
-    sign = F.signum(value)
-    runs = trades.select(key, order, sign.alias("_s"), F.coalesce((sign != F.lag(sign).over(w)).cast("int"), F.lit(1)).alias("_c"))
-    runs = runs.withColumn("_run", F.sum("_c").over(w)).groupBy(key, "_run", "_s").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(key).agg(F.max(F.when(F.col("_s") > 0, F.col("n"))).alias("max_wins"), F.max(F.when(F.col("_s") < 0, F.col("n"))).alias("max_losses"))
+    """Longest runs of winners and losers, in ``order``, a number."""
+    return paths.paths(trades, key, value, order).select(key, "max_wins", "max_losses")
 
 
 def clustering(trades: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -14,6 +14,8 @@ from ..operators import buyonly as buy
 from ..operators import gates as gat
 from ..operators import indicators as ind
 from ..operators import inference as inf
+from ..operators import paths as pth
+from ..operators import predicates as prd
 from ..operators import premium as prm
 from ..operators import relations as rel
 from ..operators import series as ser
@@ -920,3 +922,92 @@ _BAR_DAYS_SQL = "bd AS (SELECT day, CASE WHEN pos < floor(n * CAST(0.5 AS DOUBLE
 def split_integrity(spark, sf_dir):
     b = bars(spark, sf_dir)
     return gat.split_integrity(b, inf.splits(b.select(F.to_date("ts").alias("day")).distinct(), embargo=0), "5 hours")
+
+
+# --- paths of trades -------------------------------------------------------------------------------------------------
+
+_WALKED = "max(top - e) AS dd, max(CASE WHEN ret < 0 THEN k - stop END) AS streak"
+_MONTE_SQL = (
+    TRADES_SQL,
+    "mixed AS (SELECT cfg, rep, ret, md5('42:' || rep || ':' || seq) AS m FROM trades, (SELECT unnest(range(1, 51)) AS rep))",
+    "walk1 AS (SELECT cfg, rep, ret, m, sum(ret) OVER w AS e, row_number() OVER w AS k, CASE WHEN ret >= 0 THEN row_number() OVER w END AS own FROM mixed WINDOW w AS (PARTITION BY cfg, rep ORDER BY m ROWS UNBOUNDED PRECEDING))",
+    "walk2 AS (SELECT *, greatest(max(e) OVER w, 0) AS top, coalesce(max(own) OVER w, 0) AS stop FROM walk1 WINDOW w AS (PARTITION BY cfg, rep ORDER BY m ROWS UNBOUNDED PRECEDING))",
+    f"each AS (SELECT cfg, rep, count(*) AS n, {_WALKED} FROM walk2 GROUP BY cfg, rep)",
+    "sorted AS (SELECT cfg, count(*) AS reps, any_value(n) AS n, avg(dd) AS mean, list_sort(list(dd)) AS d, list_sort(list(coalesce(streak, 0))) AS s FROM each GROUP BY cfg)",
+)
+
+
+@query(
+    "SELECT cfg, reps, n, round(mean, 5) AS mean, round(d[3], 4) AS p5, round(d[26], 4) AS p50, round(d[48], 4) AS p95, round(d[50], 4) AS worst, CAST(s[26] AS INT) AS streak_p50, CAST(s[48] AS INT) AS streak_p95 FROM sorted",
+    *_MONTE_SQL,
+)
+def monte_carlo_drawdown(spark, sf_dir):
+    """Drawdowns and losing streaks of 50 random orders of each ledger."""
+    m = pth.monte_carlo(trades(spark, sf_dir), "cfg", "ret", "seq", reps=50)
+    four = {c: F.round(c, 4) for c in ("p5", "p50", "p95", "worst")}
+    return m.withColumns({**four, "mean": F.round("mean", 5), **{c: F.col(c).cast("int") for c in ("streak_p50", "streak_p95")}})
+
+
+@query(
+    "SELECT cfg, round(sum(ret), 4) AS total, round(min((e - top) / top) * 100, 4) AS max_drawdown_pct, count(*) FILTER (e < top) AS trades_under FROM (SELECT *, greatest(max(e) OVER w, 1000) AS top FROM (SELECT cfg, seq, ret, 1000 + sum(ret) OVER w AS e FROM trades WINDOW w AS (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING)) GROUP BY cfg",
+    TRADES_SQL.replace("round((o_totalprice", "floor((o_totalprice").replace("CAST(4.9 AS DOUBLE), 4)", "CAST(4.9 AS DOUBLE))"),
+)
+def capital_drawdown(spark, sf_dir):
+    """Deepest fall in percent of the peak, of whole-number returns on a capital of 1000."""
+    return rounded(pth.capital_drawdown(_whole_returns(spark, sf_dir), "cfg", "ret", "seq", 1000.0), 4)
+
+
+def _whole_returns(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("cfg"), F.col("o_orderkey").alias("seq"), F.floor((F.col("o_totalprice") % 1000.0) / 100.0 - 4.9).cast("double").alias("ret"))
+
+
+# --- combinations of predicates --------------------------------------------------------------------------------------
+
+#: predicates over bars with returns, momentum and candles; the numbers are the rounds' fixed thresholds
+PREDICATES = {
+    "mom5_up": "momentum_5 > 1", "mom5_dn": "momentum_5 < -1", "gap_up": "gap > 0.5", "gap_dn": "gap < -0.5", "pullback": "pullback > 2",
+    "pos_high": "close_location > 0.8", "pos_low": "close_location < 0.2", "ret_up": "return_1 > 0", "ret_dn": "return_1 < 0", "five_dn": "return_5 < 0",
+}
+_PART_SQL = "CASE WHEN day(ts) <= 15 THEN 'train' WHEN day(ts) <= 22 THEN 'check' ELSE 'test' END"
+_COMBO_SQL = (
+    BARS_SQL,
+    RETURNS_SQL,
+    f"wide AS (SELECT symbol, ts, return_1, return_5, CASE WHEN count(return_1) {_prior(5)} >= 5 THEN avg(return_1) {_prior(5)} END AS momentum_5, (open / nullif(lag(close) {_W}), 0) - 1) * 100 AS gap, (max(high) {_W} ROWS 5 PRECEDING) - close) / nullif(max(high) {_W} ROWS 5 PRECEDING), 0) * 100 AS pullback, (close - low) / nullif(high - low, 0) AS close_location, (lead(close, 1) {_W}) / nullif(close, 0) - 1) * 100 AS y FROM ret)",
+    f"flagged AS (SELECT symbol, ts, {_PART_SQL} AS part, CAST(floor(y * 1000000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS y, list_filter([" + ", ".join(f"CASE WHEN {test} THEN {k} END" for k, test in enumerate(PREDICATES.values())) + "], lambda x: x IS NOT NULL) AS held FROM wide WHERE y IS NOT NULL)",
+    "one AS (SELECT *, unnest(held) AS a FROM flagged)",
+    "one_lag AS (SELECT *, lag(ts) OVER (PARTITION BY a, part, symbol ORDER BY ts) AS before FROM one)",
+    "one_sum AS (SELECT a, part, count(*) AS n, sum(y) AS total, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 3 HOURS) AS clusters FROM one_lag GROUP BY a, part)",
+    "pool AS (SELECT a FROM one_sum WHERE part = 'train' AND n >= 50 AND total > 0 AND clusters >= 10)",
+    "two AS (SELECT x.symbol, x.ts, x.part, x.y, x.a, z.a AS b, x.held FROM one x JOIN one z ON x.symbol = z.symbol AND x.ts = z.ts AND x.a < z.a WHERE x.a IN (FROM pool) AND z.a IN (FROM pool))",
+    "two_lag AS (SELECT *, lag(ts) OVER (PARTITION BY a, b, part, symbol ORDER BY ts) AS before FROM two)",
+    "two_sum AS (SELECT a, b, part, count(*) AS n, sum(y) AS total, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 3 HOURS) AS clusters FROM two_lag GROUP BY a, b, part)",
+    "held_pairs AS (SELECT a, b FROM two_sum WHERE part = 'train' AND n >= 50)",
+    "good_pairs AS (SELECT a, b FROM two_sum JOIN held_pairs USING (a, b) GROUP BY a, b HAVING count(*) FILTER (part = 'train' AND total > 0) > 0 AND count(*) FILTER (part = 'check' AND total > 0) > 0)",
+    "tried AS (SELECT DISTINCT list_sort([g.a, g.b, p.a]) AS t FROM good_pairs g JOIN pool p ON p.a NOT IN (g.a, g.b))",
+    "able AS (SELECT t FROM tried WHERE (t[1], t[2]) IN (SELECT (a, b) FROM held_pairs) AND (t[1], t[3]) IN (SELECT (a, b) FROM held_pairs) AND (t[2], t[3]) IN (SELECT (a, b) FROM held_pairs))",
+    "three AS (SELECT w.*, t, lag(ts) OVER (PARTITION BY t, part, symbol ORDER BY ts) AS before FROM flagged w JOIN able ON list_has_all(w.held, t))",
+    "three_sum AS (SELECT t, part, count(*) AS n, sum(y) AS total, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 3 HOURS) AS clusters FROM three GROUP BY t, part)",
+    f"names AS (SELECT {list(PREDICATES)} AS l)",
+)
+
+
+def _combinations(spark, sf_dir, depth):
+    frame = ser.labels(ser.candles(ser.momentum(ser.returns(bars(spark, sf_dir)))), (1,))
+    part = F.expr(_PART_SQL)
+    return prd.search(frame, {n: F.expr(t) for n, t in PREDICATES.items()}, "fwd_ret_1", part, depth=depth).where(F.col("depth") == depth)
+
+
+@query("SELECT l[a + 1] AS first, l[b + 1] AS second, part, n, total / n / 1000000 AS mean, clusters FROM two_sum JOIN held_pairs USING (a, b), names", *_COMBO_SQL)
+def predicate_pairs(spark, sf_dir):
+    """ANDs of two predicates with support in train: events, mean label and clusters per part."""
+    return _combinations(spark, sf_dir, 2).select(F.col("names")[0].alias("first"), F.col("names")[1].alias("second"), "part", "n", "mean", "clusters")
+
+
+@query(
+    "SELECT l[t[1] + 1] AS first, l[t[2] + 1] AS second, l[t[3] + 1] AS third, part, n, total / n / 1000000 AS mean, clusters FROM three_sum JOIN (SELECT t FROM three_sum WHERE part = 'train' AND n >= 50) USING (t), names",
+    *_COMBO_SQL,
+)
+def predicate_triples(spark, sf_dir):
+    """ANDs of three under the pairs that gain in train and check."""
+    return _combinations(spark, sf_dir, 3).select(*[F.col("names")[k].alias(c) for k, c in enumerate(("first", "second", "third"))], "part", "n", "mean", "clusters")
