@@ -18,6 +18,7 @@ from ..operators import paths as pth
 from ..operators import predicates as prd
 from ..operators import premium as prm
 from ..operators import relations as rel
+from ..operators import scans as scn
 from ..operators import series as ser
 from ..operators import trading as trd
 from ..sources.tables import BARS_SQL, CHAIN_SQL, TRADES_SQL, bars, chain, trades
@@ -1011,3 +1012,43 @@ def predicate_pairs(spark, sf_dir):
 def predicate_triples(spark, sf_dir):
     """ANDs of three under the pairs that gain in train and check."""
     return _combinations(spark, sf_dir, 3).select(*[F.col("names")[k].alias(c) for k, c in enumerate(("first", "second", "third"))], "part", "n", "mean", "clusters")
+
+
+# --- recurrences by composition --------------------------------------------------------------------------------------
+
+
+def _seeded_sql(value: str, p: int, weight: str) -> tuple[str, ...]:
+    """Bars numbered per symbol, and the exponential mean of ``value`` walked by a recursive query."""
+    return (
+        "RECURSIVE dummy AS (SELECT 1)",
+        BARS_SQL,
+        f"valued AS (SELECT symbol, ts, {value} AS x FROM bars)",
+        f"numbered AS (SELECT symbol, ts, x, row_number() {_W}) AS k, avg(x) {_W} ROWS {p - 1} PRECEDING) AS m FROM valued)",
+        f"seeded AS (SELECT symbol, ts, k, CASE WHEN k = {p} THEN m END AS e FROM numbered WHERE k <= {p} UNION ALL SELECT n.symbol, n.ts, n.k, s.e + {weight} * (n.x - s.e) FROM seeded s JOIN numbered n ON n.symbol = s.symbol AND n.k = s.k + 1 WHERE s.k >= {p})",
+    )
+
+
+@query("SELECT symbol, ts, round(e, 5) AS ema_50 FROM seeded", *_seeded_sql("close", 50, "CAST(2 AS DOUBLE) / 51"))
+def ema_scan(spark, sf_dir):
+    """The 50-bar exponential mean, composed over weeks."""
+    return rounded(scn.ema(bars(spark, sf_dir), 50, "ema_50", span="week"))
+
+
+@query("SELECT symbol, ts, round(e, 5) AS atr_14 FROM seeded", *_seeded_sql(f"greatest(high - low, abs(high - lag(close) {_W})), abs(low - lag(close) {_W})))", 14, "CAST(1 AS DOUBLE) / 14"))
+def wilder_scan(spark, sf_dir):
+    """Average true range by Wilder's mean, composed over weeks."""
+    return rounded(scn.wilder(bars(spark, sf_dir), 14, "atr_14", scn.true_range(), span="week"))
+
+
+@query(
+    "SELECT symbol, ts, label, now AS smoothed FROM walked",
+    "RECURSIVE dummy AS (SELECT 1)",
+    BARS_SQL,
+    RETURNS_SQL,
+    f"labelled AS (SELECT symbol, ts, CAST(CASE WHEN return_1 > 0 THEN 0 WHEN return_1 < 0 THEN 1 ELSE 2 END AS INT) AS label, row_number() {_W}) AS k FROM ret)",
+    "walked AS (SELECT symbol, ts, label, k, label AS now, 2 AS need, -1 AS contender, 0 AS run FROM labelled WHERE k = 1 UNION ALL SELECT symbol, ts, label, k, CASE WHEN hit THEN label ELSE now END, CASE WHEN hit THEN 3 ELSE need END, CASE WHEN hit OR label = now THEN -1 ELSE label END, CASE WHEN hit OR label = now THEN 0 ELSE lasted END FROM (SELECT *, label <> now AND lasted >= need AS hit FROM (SELECT n.symbol, n.ts, n.label, n.k, w.now, w.need, CASE WHEN n.label = w.contender THEN w.run + 1 ELSE 1 END AS lasted FROM walked w JOIN labelled n ON n.symbol = w.symbol AND n.k = w.k + 1)))",
+)
+def smoothed_states(spark, sf_dir):
+    """Direction of each bar, smoothed by a machine of few states that is composed over weeks."""
+    kind = F.when(F.col("return_1") > 0, 0).when(F.col("return_1") < 0, 1).otherwise(2)
+    return scn.smoothed(ser.returns(bars(spark, sf_dir)).withColumn("label", kind), "label", "smoothed", 3, 2, 1, span="week")
