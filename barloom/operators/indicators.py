@@ -554,10 +554,10 @@ def _releases() -> tuple[Column, Column]:
 
 
 def _squeeze(volume: float | None = None) -> Column:
-    """Side of the momentum at the last release; with ``volume`` only releases on high volume count, if there is any."""
+    """Side of the momentum at the last release; with ``volume`` only releases on high volume count, once there has been any."""
     momentum, fired = _releases()
     if volume is not None:
-        none = F.max("volume").over(Window.partitionBy("symbol")) <= 0
+        none = F.max("volume").over(series().rowsBetween(Window.unboundedPreceding, 0)) <= 0
         fired = fired & (none | (F.col("volume") > volume * _volume_mean()))
     warm = momentum.isNotNull() if volume is None else momentum.isNotNull() & _volume_mean().isNotNull()
     return hold(F.when(fired, F.when(momentum > 0, 1).otherwise(-1)), warm)

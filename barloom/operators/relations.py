@@ -106,6 +106,13 @@ def volume_rank(chain: DataFrame) -> DataFrame:
     return out.withColumn("volume_rank", F.when(F.col("trailing_volume").isNotNull(), F.rank().over(Window.partitionBy("ts").orderBy(F.desc_nulls_last("trailing_volume")))))
 
 
+def momentum_rank(chain: DataFrame, span: int = 30) -> DataFrame:
+    """Contracts of one time ranked by their change over ``span`` bars, ties share the best rank; null without that many."""
+    out = chain.withColumn("_moved", ratio(F.col("close"), F.lag("close", span).over(series())) - 1)
+    rank = F.rank().over(Window.partitionBy("ts").orderBy(F.desc_nulls_last("_moved")))
+    return out.withColumn("momentum_rank", F.when(F.col("_moved").isNotNull(), rank)).drop("_moved")
+
+
 def average_rank(frame: DataFrame, column: str, into: str, keys: tuple[str, ...]) -> DataFrame:
     """Rank from 1 with ties at their mean rank."""
     w, same = Window.partitionBy(*keys).orderBy(column), Window.partitionBy(*keys, column)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audits as aud
 from ..operators import buyonly as buy
 from ..operators import gates as gat
 from ..operators import indicators as ind
@@ -17,6 +18,7 @@ from ..operators import inference as inf
 from ..operators import paths as pth
 from ..operators import predicates as prd
 from ..operators import premium as prm
+from ..operators import regime_model as reg
 from ..operators import relations as rel
 from ..operators import scans as scn
 from ..operators import series as ser
@@ -455,9 +457,14 @@ def event_backtest(spark, sf_dir):
     return rounded(t.groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("net")), 4)
 
 
-@query()
+@query(
+    "SELECT hold, sl, tp, count(*) AS n, round(avg(net), 5) + 0.0 AS expectancy, round(avg(CAST(net > 0 AS DOUBLE)), 5) AS win_rate FROM (SELECT symbol, k, hold, sl, tp, arg_min(CASE WHEN hit_sl THEN -sl WHEN hit_tp THEN tp ELSE (c2 / c1 - 1) * 100 END, CASE WHEN hit_sl OR hit_tp THEN j ELSE 99 - j END) AS net FROM (SELECT a.symbol, a.k, b.k - a.k AS j, hold, sl, tp, a.close AS c1, b.close AS c2, b.low <= a.close * (1 - sl / 100) AS hit_sl, b.high >= a.close * (1 + tp / 100) AS hit_tp FROM n a JOIN n b ON a.symbol = b.symbol AND b.k BETWEEN a.k + 1 AND a.k + 5 JOIN grid ON b.k <= a.k + hold WHERE a.close > 0) GROUP BY ALL) GROUP BY hold, sl, tp",
+    BARS_SQL,
+    f"n AS (SELECT *, row_number() {_W}) AS k FROM bars)",
+    "grid AS (SELECT CAST(h AS INT) AS hold, CAST(s AS DOUBLE) AS sl, CAST(t AS DOUBLE) AS tp FROM (SELECT unnest([3, 5]) AS h), (SELECT unnest([25, 50]) AS s), (SELECT unnest([25, 50, 100]) AS t))",
+)
 def exit_grid(spark, sf_dir):
-    return rounded(trd.exit_grid(bars(spark, sf_dir), F.lit(True), [(h, s, t) for h in (3, 5) for s in (25, 50) for t in (25, 50, 100)]), 6)
+    return rounded(trd.exit_grid(bars(spark, sf_dir), F.lit(True), [(h, s, t) for h in (3, 5) for s in (25, 50) for t in (25, 50, 100)]), 5)
 
 
 @query()
@@ -1052,3 +1059,121 @@ def smoothed_states(spark, sf_dir):
     """Direction of each bar, smoothed by a machine of few states that is composed over weeks."""
     kind = F.when(F.col("return_1") > 0, 0).when(F.col("return_1") < 0, 1).otherwise(2)
     return scn.smoothed(ser.returns(bars(spark, sf_dir)).withColumn("label", kind), "label", "smoothed", 3, 2, 1, span="week")
+
+
+# --- regime models ---------------------------------------------------------------------------------------------------
+
+_MEANS = {"atr": ("tr0", 14, 14, "14"), "trs": ("tr", 15, 14, "14"), "pls": ("plus", 15, 14, "14"), "mis": ("minus", 15, 14, "14"), "e20": ("close", 20, 20, "10.5"), "e50": ("close", 50, 50, "25.5")}
+_DX = "coalesce(CASE WHEN pls + mis > 0 AND trs > 0 THEN 100 * abs(pls - mis) / (pls + mis) END, 0)"
+_REGIME_SQL = (
+    "RECURSIVE dummy AS (SELECT 1)",
+    BARS_SQL,
+    f"lagged AS (SELECT *, row_number() {_W}) AS k, lag(high) {_W}) AS h1, lag(low) {_W}) AS l1, lag(close) {_W}) AS c1 FROM bars)",
+    "moved AS (SELECT *, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr0, CASE WHEN k > 1 THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr, CASE WHEN k > 1 THEN CASE WHEN high - h1 > l1 - low AND high - h1 > 0 THEN high - h1 ELSE 0 END END AS plus, CASE WHEN k > 1 THEN CASE WHEN l1 - low > high - h1 AND l1 - low > 0 THEN l1 - low ELSE 0 END END AS minus FROM lagged)",
+    "means AS (SELECT *, " + ", ".join(f"avg({x}) {_W} ROWS {n - 1} PRECEDING) AS m_{name}" for name, (x, _, n, _) in _MEANS.items()) + f", CASE WHEN count(tr0) {_W} ROWS 13 PRECEDING) >= 14 THEN log10(nullif(avg(tr0) {_W} ROWS 13 PRECEDING) / nullif(max(high) {_W} ROWS 13 PRECEDING) - min(low) {_W} ROWS 13 PRECEDING), 0), 0)) / log10(14) * 100 END AS chop FROM moved)",
+    "walked AS (SELECT symbol, k, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in _MEANS) + ", CAST(0 AS DOUBLE) AS dxs, CAST(NULL AS DOUBLE) AS adx FROM means WHERE k = 1 UNION ALL SELECT symbol, k, " + ", ".join(_MEANS)
+    + f", CASE WHEN k BETWEEN 15 AND 28 THEN dxs + {_DX} ELSE dxs END, CASE WHEN k = 28 THEN (dxs + {_DX}) / 14 WHEN k > 28 THEN adx + ({_DX} - adx) / 14 END FROM (SELECT n.symbol, n.k, w.dxs, w.adx, "
+    + ", ".join(f"CASE WHEN n.k = {first} THEN n.m_{name} WHEN n.k > {first} THEN w.{name} + (n.{x} - w.{name}) / {by} END AS {name}" for name, (x, first, _, by) in _MEANS.items())
+    + " FROM walked w JOIN means n ON n.symbol = w.symbol AND n.k = w.k + 1))",
+    "valued AS (SELECT m.*, w.atr, w.adx, w.e20, w.e50, CASE WHEN close > 0 THEN w.atr / close END AS vol FROM means m JOIN walked w USING (symbol, k))",
+    f"ranked AS (SELECT *, list(vol) {_W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS past FROM valued)",
+    "ruled AS (SELECT symbol, ts, open, high, low, close, volume, chop, CAST(ts + INTERVAL 330 MINUTES AS DATE) AS day, CASE WHEN chop IS NULL OR adx IS NULL OR vol IS NULL THEN 3 WHEN adx >= 20 THEN CASE WHEN coalesce(e20 >= e50, false) THEN 0 ELSE 1 END WHEN coalesce(CAST(len(list_filter(past, lambda x: x < vol)) AS DOUBLE) / nullif(len(past), 0), CAST(0.5 AS DOUBLE)) >= CAST(0.6 AS DOUBLE) THEN 2 ELSE 3 END AS regime FROM ranked)",
+    "counted AS (SELECT symbol, day, count(*) AS n, " + ", ".join(f"count(*) FILTER (regime = {c}) AS n{c}" for c in range(4)) + " FROM ruled GROUP BY symbol, day)",
+    "day_labels AS (SELECT symbol, day, CAST(CASE WHEN n3 >= greatest(n0, n1, n2) THEN 3 WHEN n0 >= greatest(n1, n2) THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS INT) AS label FROM counted)",
+)
+
+
+@query("SELECT symbol, day, label FROM day_labels", *_REGIME_SQL)
+def day_rule_labels(spark, sf_dir):
+    """The rule regime that most bars of each session have."""
+    return reg.day_rule_labels(ind.regimes(bars(spark, sf_dir)))
+
+
+@query(
+    "SELECT symbol, day, round(d0, 5) AS d0, round(d3, 5) AS d3, round(coalesce((o - lag(c) OVER w) / nullif(lag(c) OVER w, 0), 0), 5) AS d4, round(d6, 5) AS d6, round(d7, 5) AS d7 FROM (SELECT symbol, day, coalesce(arg_max_null(chop, ts), 62) / 100 AS d0, (max(high) - min(low)) / arg_max(close, ts) AS d3, arg_min(open, ts) AS o, arg_max(close, ts) AS c, (arg_max(close, ts) - arg_min(open, ts)) / nullif(arg_min(open, ts), 0) AS d6, least(3, sum(volume) / (count(*) * 20000)) AS d7 FROM ruled GROUP BY symbol, day) WINDOW w AS (PARTITION BY symbol ORDER BY day)",
+    *_REGIME_SQL,
+)
+def day_features(spark, sf_dir):
+    """What a session tells the day model; the columns that SQL can say."""
+    return rounded(reg.day_features(bars(spark, sf_dir)).select("symbol", "day", "d0", "d3", "d4", "d6", "d7"))
+
+
+_ROUTED = {rule: reg.ROUTER[rule] for rule in ("EMA", "RSI", "Squeeze", "Chop")}
+
+
+@query(
+    "SELECT rule, symbol, count(*) FILTER (contains(allow, CAST(label AS VARCHAR))) AS trade, count(*) AS n FROM ruled JOIN day_labels USING (symbol, day), (VALUES " + ", ".join(f"('{rule}', '{''.join(map(str, of))}')" for rule, of in _ROUTED.items()) + ") AS t(rule, allow) GROUP BY rule, symbol",
+    *_REGIME_SQL,
+)
+def day_routed_bars(spark, sf_dir):
+    """Bars that each rule may trade when sessions are routed by their rule regime."""
+    b = bars(spark, sf_dir)
+    days = reg.day_routing(b).persist()
+    out = None
+    for rule in _ROUTED:
+        one = reg.day_mask(b, days, rule).groupBy("symbol").agg(F.count_if("trade").alias("trade"), F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "symbol", "trade", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def regime_model(spark, sf_dir):
+    """The softmax model of the regime ahead: bars by target, prediction and part."""
+    return reg.regime_model(bars(spark, sf_dir), iterations=60).groupBy("trained", "target", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def day_model(spark, sf_dir):
+    """Sessions routed by the softmax day model."""
+    return reg.day_routing(bars(spark, sf_dir), "ml", iterations=60)
+
+
+# --- audits ----------------------------------------------------------------------------------------------------------
+
+_CUT = "hour(ts) = 13 AND day(ts) % 4 = 1"
+_AUDITED = ("return_1", "return_5", "momentum_5", "gap", "pullback", "close_location", "rolling_high", "volume_zscore")
+
+
+def _audited(frame):
+    return ser.trailing(ser.candles(ser.momentum(ser.returns(frame))))
+
+
+@query(
+    "SELECT f AS feature, count(v) AS checked, CAST(0 AS BIGINT) AS deviations FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {c} AS v FROM told WHERE {_CUT}" for c in _AUDITED) + ") GROUP BY f",
+    BARS_SQL,
+    RETURNS_SQL,
+    f"told AS (SELECT *, CASE WHEN count(return_1) {_prior(5)} >= 5 THEN avg(return_1) {_prior(5)} END AS momentum_5, (open / nullif(lag(close) {_W}), 0) - 1) * 100 AS gap, (max(high) {_W} ROWS 5 PRECEDING) - close) / nullif(max(high) {_W} ROWS 5 PRECEDING), 0) * 100 AS pullback, (close - low) / nullif(high - low, 0) AS close_location, CASE WHEN count(*) {_F120} >= 20 THEN max(high) {_F120} END AS rolling_high, CASE WHEN count(*) {_F120} >= 20 THEN (volume - avg(volume) {_F120}) / nullif(stddev_samp(volume) {_F120}, 0) END AS volume_zscore FROM ret)",
+)
+def lookahead_audit(spark, sf_dir):
+    """Features at sampled bars, computed again without the future: none may change."""
+    return aud.lookahead(bars(spark, sf_dir), _audited, _AUDITED, F.expr(_CUT), tolerance=1e-7).select("feature", "checked", "deviations")
+
+
+@query()
+def lookahead_rules(spark, sf_dir):
+    """Positions of rules with memory at sampled bars, computed again without the future."""
+    rules = ("EMA", "RSI", "SuperTrend", "SqueezeBreak", "TrendFollow", "ORB")
+
+    def positions(frame):
+        told = ind.signals(frame, *rules)
+        return told.groupBy("symbol", "ts").agg(*[F.max(F.when(F.col("rule") == r_, F.col("position"))).alias(r_) for r_ in rules])
+
+    return aud.lookahead(bars(spark, sf_dir), positions, rules, F.expr("hour(ts) = 13 AND day(ts) % 7 = 1"))
+
+
+@query("SELECT ts, count(*) AS contracts, CAST(0 AS BIGINT) AS volume_mismatches, CAST(0 AS BIGINT) AS momentum_mismatches FROM chain WHERE day(ts) = 17 AND month(ts) % 3 = 1 GROUP BY ts", CHAIN_SQL)
+def selector_audit(spark, sf_dir):
+    """Selector ranks at sampled times against ranks made another way."""
+    c = chain(spark, sf_dir).drop("symbol").withColumn("symbol", F.concat_ws("/", F.col("strike").cast("int"), "option_type"))
+    ranked = rel.momentum_rank(rel.volume_rank(c))
+    return aud.selectors(c, ranked, F.expr("day(ts) = 17 AND month(ts) % 3 = 1"))
+
+
+@query(
+    "SELECT count(*) AS trades, CAST(0 AS BIGINT) AS no_identity, CAST(0 AS BIGINT) AS bad_time, CAST(0 AS BIGINT) AS outsiders, CAST(0 AS BIGINT) AS off_bar, 'PASS' AS status FROM (SELECT close, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM bars) WHERE later IS NOT NULL AND close > 0",
+    BARS_SQL,
+)
+def ledger_audit(spark, sf_dir):
+    """The event backtest's ledger: identities, times and entry prices."""
+    b = bars(spark, sf_dir)
+    return aud.ledger(trd.event_trades(b, F.lit(True), 5, 50.0, 50.0), b)

@@ -206,7 +206,7 @@ def test_every_rule_is_causal_and_in_range(bars):
     cut = bars.where("ts < timestamp_ntz'2024-01-10 00:00:00'")
     part = {(r.rule, r.ts): r.position for r in ind.signals(cut, *rules).collect()}
     assert set(whole.values()) <= {-1, 0, 1} and len(part) == len(rules) * cut.count()
-    assert all(whole[k] == p for k, p in part.items() if k[0] != "SqueezeBreak")
+    assert all(whole[k] == p for k, p in part.items())
     assert all(p == 0 for (rule, _), p in whole.items() if rule == "HilbertDC")
 
 
