@@ -141,3 +141,35 @@ def capital_drawdown(trades: DataFrame, key: str, value: str, order: str, capita
     walked = walked.withColumn("_peak", F.greatest(F.max("_equity").over(path), F.col("top")))
     share = (F.col("_equity") - F.col("_peak")) / (F.lit(float(capital)) + F.col("_peak")) * 100
     return walked.groupBy(key).agg(F.sum("_value").alias("total"), F.min(share).alias("max_drawdown_pct"), F.count_if(F.col("_equity") < F.col("_peak")).alias("trades_under"))
+
+
+def capital_metrics(trades: DataFrame, calendar: DataFrame, key: str, value: str, order: str, day: str, capital: float, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Per ``key`` the figures of a ledger on an initial capital: net, win_rate, profit_factor, max_drawdown_pct, days,
+    trades_per_day, sharpe, sortino, expectancy, final_capital.
+
+    ``calendar`` holds all session days in its column ``day``; Sharpe and Sortino are of each day's result over the initial capital,
+    days without a trade count 0.  A profit factor without losses is 99.99 (0 without gains too), as is a Sortino without
+    a deviation of the losing days and a mean above 0.  The drawdown is of the realised equity.
+    """
+    falls = capital_drawdown(trades, key, value, order, capital, run_rows).select(F.col(key).alias("_k"), "max_drawdown_pct")
+    r, zero = F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)
+    told = trades.groupBy(key).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum(r).alias("net"), F.count_if(r > 0).alias("_wins"),
+        F.coalesce(F.sum(F.when(r > 0, r)), zero).alias("_gain"), F.coalesce(F.sum(F.when(r <= 0, -r)), zero).alias("_loss"),
+    )
+    n_days = calendar.select(F.col(day).alias("_day")).distinct().agg(F.count(F.lit(1)).alias("days"))
+    by_day = trades.groupBy(key, day).agg((F.sum(r) / capital).alias("_d"))
+    # days without a trade add nothing to the sums; the mean and deviation are over all days
+    sums = by_day.groupBy(F.col(key).alias("_key")).agg(F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q"), F.stddev_samp(F.when(F.col("_d") < 0, F.col("_d"))).alias("_down"))
+    out = told.join(sums, F.col(key).eqNullSafe(F.col("_key"))).join(falls, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_one", F.lit(1)).join(n_days.withColumn("_one", F.lit(1)), "_one")
+    mean = F.col("_s") / F.col("days")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("days") * mean * mean) / F.greatest(F.col("days") - 1, F.lit(1)))
+    year = float(252**0.5)
+    return out.select(
+        key, "trades", "net", (F.col("_wins") / F.col("trades") * 100).alias("win_rate"),
+        F.when(F.col("_loss") > 0, F.col("_gain") / F.nullif("_loss", zero)).when(F.col("_gain") > 0, 99.99).otherwise(0.0).alias("profit_factor"),
+        "max_drawdown_pct", "days", (F.col("trades") / F.col("days")).alias("trades_per_day"),
+        F.when(spread > 0, mean / F.nullif(spread, zero) * year).otherwise(0.0).alias("sharpe"),
+        F.when(F.col("_down") > 0, mean / F.nullif("_down", zero) * year).when(mean > 0, 99.99).otherwise(0.0).alias("sortino"),
+        (F.col("net") / F.col("trades")).alias("expectancy"), (F.col("net") + capital).alias("final_capital"),
+    )

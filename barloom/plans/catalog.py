@@ -15,6 +15,7 @@ from ..operators import buyonly as buy
 from ..operators import gates as gat
 from ..operators import indicators as ind
 from ..operators import inference as inf
+from ..operators import lattice as lat
 from ..operators import paths as pth
 from ..operators import predicates as prd
 from ..operators import premium as prm
@@ -22,6 +23,7 @@ from ..operators import regime_model as reg
 from ..operators import relations as rel
 from ..operators import scans as scn
 from ..operators import series as ser
+from ..operators import states as sta
 from ..operators import trading as trd
 from ..sources.tables import BARS_SQL, CHAIN_SQL, TRADES_SQL, bars, chain, trades
 
@@ -967,7 +969,8 @@ def capital_drawdown(spark, sf_dir):
 
 def _whole_returns(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select(F.col("o_orderpriority").alias("cfg"), F.col("o_orderkey").alias("seq"), F.floor((F.col("o_totalprice") % 1000.0) / 100.0 - 4.9).cast("double").alias("ret"))
+    day = F.to_date("o_orderdate").alias("day")
+    return o.select(F.col("o_orderpriority").alias("cfg"), F.col("o_orderkey").alias("seq"), day, F.floor((F.col("o_totalprice") % 1000.0) / 100.0 - 4.9).cast("double").alias("ret"))
 
 
 # --- combinations of predicates --------------------------------------------------------------------------------------
@@ -1177,3 +1180,68 @@ def ledger_audit(spark, sf_dir):
     """The event backtest's ledger: identities, times and entry prices."""
     b = bars(spark, sf_dir)
     return aud.ledger(trd.event_trades(b, F.lit(True), 5, 50.0, 50.0), b)
+
+
+# --- configurations on a lattice -------------------------------------------------------------------------------------
+
+_GRID = ("number", "size", "month")
+_GRID_SQL = (
+    "res AS (SELECT l_linenumber AS number, CAST(floor(l_quantity / 10) AS INT) AS size, CAST(month(l_shipdate) AS INT) AS month, count(*) AS trades, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT) % 2001 - 1000) AS DOUBLE) / count(*) / 100 AS score FROM lineitem GROUP BY ALL)",
+    "placed AS (SELECT *, dense_rank() OVER (ORDER BY number) AS x, dense_rank() OVER (ORDER BY size) AS y, dense_rank() OVER (ORDER BY month) AS z FROM res)",
+)
+
+
+def _grid_results(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", "l_quantity", "l_shipdate", "l_extendedprice")
+    whole = F.floor("l_extendedprice").cast("long") % 2001 - 1000
+    keys = [F.col("l_linenumber").alias("number"), F.floor(F.col("l_quantity") / 10).cast("int").alias("size"), F.month("l_shipdate").alias("month")]
+    return line.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), (F.sum(whole).cast("double") / F.count(F.lit(1)) / 100).alias("score"))
+
+
+@query(
+    "SELECT a.number, a.size, a.month, round(any_value(a.score), 6) + 0.0 AS score, count(*) AS neighbours, round(avg(CAST(b.score > 0 AS DOUBLE)), 6) AS positive_density, round(median(b.score), 6) + 0.0 AS median, round(min(b.score), 6) + 0.0 AS worst, round(max(b.score), 6) + 0.0 AS best, round(stddev_samp(b.score), 6) AS deviation, avg(CAST(b.score > 0 AS DOUBLE)) < CAST(0.4 AS DOUBLE) AS knife_edge FROM placed a JOIN placed b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY a.number, a.size, a.month",
+    *_GRID_SQL,
+)
+def parameter_neighbourhoods(spark, sf_dir):
+    """Each configuration among those one step away on every axis."""
+    x = lat.neighbourhoods(_grid_results(spark, sf_dir), _GRID, "score")
+    return rounded(x.select(*_GRID, "score", "neighbours", "positive_density", "median", "worst", "best", "deviation", "knife_edge"), 6)
+
+
+_CURVES = ", ".join(f"CASE WHEN a.trades >= 30 THEN abs(u{c}.score + d{c}.score - 2 * a.score) END AS c{c}" for c in "xyz")
+_CURVE_JOINS = " ".join(f"LEFT JOIN placed {way}{c} ON {way}{c}.trades >= 10 AND " + " AND ".join(f"{way}{c}.{o} = a.{o}" + (f" {sign} 1" if o == c else "") for o in "xyz") for c in "xyz" for way, sign in (("u", "+"), ("d", "-")))
+
+
+@query(
+    f"SELECT number, size, month, axes_counted, round(pss, 6) AS pss, coalesce(pss > 0.5, false) AS knife_edge FROM (SELECT number, size, month, CAST(len(l) AS BIGINT) AS axes_counted, list_avg(l) AS pss FROM (SELECT number, size, month, list_filter([cx, cy, cz], lambda v: v IS NOT NULL) AS l FROM (SELECT a.number, a.size, a.month, {_CURVES} FROM placed a {_CURVE_JOINS})))",
+    *_GRID_SQL,
+)
+def parameter_sensitivity(spark, sf_dir):
+    """Mean second difference of each configuration's score along the axes."""
+    return rounded(lat.sensitivity(_grid_results(spark, sf_dir), _GRID, "score", "trades").drop("score"), 6)
+
+
+_WHOLE_SQL = "whole AS (SELECT o_orderpriority AS cfg, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS day, floor((o_totalprice % CAST(1000 AS DOUBLE)) / CAST(100 AS DOUBLE) - CAST(4.9 AS DOUBLE)) AS ret FROM orders)"
+
+
+@query(
+    "SELECT cfg, trades, net, round(wins / trades * 100, 5) AS win_rate, round(gain / loss, 5) AS profit_factor, round(fall, 4) AS max_drawdown_pct, days, round(trades / days, 5) AS trades_per_day, round(mean / sd * sqrt(252), 4) AS sharpe, round(mean / down * sqrt(252), 4) AS sortino, round(net / trades, 5) AS expectancy, net + 1000 AS final_capital FROM (SELECT cfg, count(*) AS trades, sum(ret) AS net, count(*) FILTER (ret > 0) AS wins, sum(ret) FILTER (ret > 0) AS gain, -sum(ret) FILTER (ret <= 0) AS loss FROM whole GROUP BY cfg) JOIN (SELECT cfg, count(*) AS days, avg(d) AS mean, stddev_samp(d) AS sd, stddev_samp(d) FILTER (d < 0) AS down FROM (SELECT c.cfg, a.day, coalesce(sum(w.ret), 0) / 1000 AS d FROM (SELECT DISTINCT day FROM whole) a CROSS JOIN (SELECT DISTINCT cfg FROM whole) c LEFT JOIN whole w ON w.day = a.day AND w.cfg = c.cfg GROUP BY ALL) GROUP BY cfg) USING (cfg) JOIN (SELECT cfg, min((e - top) / top) * 100 AS fall FROM (SELECT cfg, e, greatest(max(e) OVER w, 1000) AS top FROM (SELECT cfg, seq, 1000 + sum(ret) OVER w AS e FROM whole WINDOW w AS (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY cfg ORDER BY seq ROWS UNBOUNDED PRECEDING)) GROUP BY cfg) USING (cfg)",
+    _WHOLE_SQL,
+)
+def capital_metrics(spark, sf_dir):
+    """The metrics block of whole-number ledgers on a capital of 1000, days without a trade among them."""
+    whole = _whole_returns(spark, sf_dir)
+    m = pth.capital_metrics(whole, whole, "cfg", "ret", "seq", "day", 1000.0)
+    return rounded(m.withColumns({c: F.round(c, 4) for c in ("max_drawdown_pct", "sharpe", "sortino")}))
+
+
+@query(
+    "SELECT state_id, count(*) AS n FROM (SELECT CASE WHEN rg <= q[1] THEN 'vlow' WHEN rg <= q[2] THEN 'low' WHEN rg <= q[3] THEN 'mid' WHEN rg <= q[4] THEN 'high' ELSE 'vhigh' END || '/single/' || CASE WHEN vp IS NULL THEN 'na' WHEN vp <= 25 THEN 'low_vol' WHEN vp <= 50 THEN 'midlow' WHEN vp <= 75 THEN 'midhigh' WHEN vp <= 95 THEN 'high_vol' ELSE 'shock' END AS state_id FROM vols JOIN edges USING (symbol)) GROUP BY state_id",
+    BARS_SQL,
+    f"vols AS (SELECT symbol, high - low AS rg, CASE WHEN count(*) {_W} ROWS 119 PRECEDING) >= 20 THEN len(list_filter(list(volume) {_W} ROWS 119 PRECEDING), lambda x: x <= volume)) * CAST(100 AS DOUBLE) / count(*) {_W} ROWS 119 PRECEDING) END AS vp FROM bars)",
+    "edges AS (SELECT symbol, list_transform([1, 2, 3, 4], lambda k: l[least(len(l), (k * len(l)) // 5 + 1)]) AS q FROM (SELECT symbol, list_sort(list(rg)) AS l FROM vols GROUP BY symbol))",
+)
+def state_buckets(spark, sf_dir):
+    """Bars by the state of their range and volume, edges from merged sketches."""
+    b = bars(spark, sf_dir).withColumn("range", F.col("high") - F.col("low")).withColumn("volume_percentile", ser.percentile_of("volume"))
+    return sta.states(b, "range").groupBy("state_id").agg(F.count(F.lit(1)).alias("n"))
