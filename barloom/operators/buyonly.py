@@ -147,26 +147,36 @@ def availability(quotes: DataFrame) -> DataFrame:
     return there.select("oi", names.alias("hypothesis")).select("hypothesis", (~needs | F.col("oi")).alias("available"), F.when(needs & ~F.col("oi"), "NOT_APPLICABLE").alias("reason"))
 
 
-def exits(signals: DataFrame, bars: DataFrame, hold: int = 45, buffer: float = 1.0, least_stop: float = 30.0, breakeven: float = 2.5, target: float = 2.0, lock: float = 0.5) -> DataFrame:
+def exits(signals: DataFrame, bars: DataFrame, hold: int = 45, buffer: float = 1.0, least_stop: float = 30.0, breakeven: float = 2.5, target: float = 2.0, lock: float = 0.5, trail: float = 0.0) -> DataFrame:
     """Replay of long entries: symbol, ts, entry, exit_ts, exit, exit_reason, held, points.
 
     ``bars`` are the premium's bars.  The entry is the open of the bar after the signal; the first stop lies ``buffer``
-    below the trigger's low and at least ``least_stop`` below the entry.  From the highest high of the bars before, a bar's
-    stop rises to the entry once ``breakeven`` points were seen, and to ``lock`` of the risk once one risk was.  A bar that
-    opens below its stop fills at the open (STOP_GAP); a stop comes before the target of ``target`` risks; after ``hold``
-    bars the close counts (TIME), as does the session's last one (END_OF_DAY).  Each signal meets at most ``hold``
-    bars of its own session, so the work goes by the signals.
+    below the trigger's low, at least ``least_stop`` and half a point below the entry.  A bar's stop rises to the entry once a
+    bar before it was ``breakeven`` points above, and to ``lock`` of the gain of the first bar that gained the risk.  From
+    the entry on it also follows ``trail`` below the low of the candle before.  It never falls.  A bar that opens below its
+    stop fills at the open (STOP_GAP); a stop comes before the target, which is ``target`` risks or the signal's own price in
+    a column ``target``, where there is one; after ``hold`` bars the close counts (TIME), as does the session's last one
+    (END_OF_DAY).  Each signal meets at most ``hold`` bars of its own session, so the work goes by the signals.
     """
     numbered = bars.withColumns({"day": F.to_date("ts"), "nth": F.row_number().over(_session())})
     last = numbered.groupBy("symbol", "day").agg(F.max("nth").alias("last"))
-    at = signals.select("symbol", "ts", F.col("low").alias("trigger_low")).join(numbered.select("symbol", "ts", "day", "nth"), ["symbol", "ts"]).withColumnRenamed("nth", "at")
+    given = F.col("target").cast("double") if "target" in signals.columns else F.lit(None).cast("double")
+    at = signals.select("symbol", "ts", F.col("low").alias("trigger_low"), given.alias("given")).join(numbered.select("symbol", "ts", "day", "nth"), ["symbol", "ts"]).withColumnRenamed("nth", "at")
     path = numbered.select("symbol", "day", "nth", F.col("ts").alias("bar_ts"), "open", "high", "low", "close")
     met = at.join(path, ["symbol", "day"]).where((F.col("nth") > F.col("at")) & (F.col("nth") <= F.col("at") + hold)).join(last, ["symbol", "day"])
-    w = Window.partitionBy("symbol", "ts").orderBy("nth")
+    whole = Window.partitionBy("symbol", "ts")
+    w = whole.orderBy("nth")
     met = met.withColumn("entry", F.first("open").over(w))
-    met = met.withColumns({"risk": F.greatest(F.col("entry") - F.col("trigger_low") + buffer, F.lit(least_stop)), "seen": F.coalesce(F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("entry")) - F.col("entry")})
-    stop = F.when(F.col("seen") >= F.col("risk"), F.col("entry") + lock * F.col("risk")).when(F.col("seen") >= breakeven, F.col("entry")).otherwise(F.col("entry") - F.col("risk"))
-    met = met.withColumns({"stop": stop, "goal": F.col("entry") + target * F.col("risk")})
+    gain = F.col("high") - F.col("entry")
+    met = met.withColumns({"risk": F.greatest(F.col("entry") - F.col("trigger_low") + buffer, F.lit(least_stop), F.lit(0.5)), "seen": F.coalesce(F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("entry")) - F.col("entry")})
+    met = met.withColumn("paid", F.min(F.when(gain >= F.col("risk"), F.col("nth"))).over(whole))
+    met = met.withColumn("paid_gain", F.max(F.when(F.col("nth") == F.col("paid"), gain)).over(whole))
+    armed = F.when(F.col("seen") >= breakeven, F.col("entry")).otherwise(F.col("entry") - F.col("risk"))
+    met = met.withColumn("base", F.greatest(armed, F.when(F.col("nth") > F.col("paid"), F.col("entry") + lock * F.col("paid_gain"))))
+    behind = F.when(F.col("base") >= F.col("entry"), F.lag("low").over(w) - trail)
+    met = met.withColumn("behind", behind)
+    stop = F.greatest("base", F.max("behind").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumns({"stop": stop, "goal": F.coalesce("given", F.col("entry") + target * F.col("risk"))})
     reason = (
         F.when(F.col("open") < F.col("stop"), "STOP_GAP")
         .when(F.col("low") <= F.col("stop"), "STOP")

@@ -247,7 +247,8 @@ def status(events: str = "events", days: str = "days", oos: str = "oos_mean", tr
 def robustness_score(components: DataFrame) -> DataFrame:
     """``components`` (columns of WEIGHTS, 0 to 1, null if untested; param_density) with robustness_score and robustness_coverage.
 
-    Untested parts leave the denominator; weak parts cap the score, a failed or missing OOS or surrogate test most.
+    Untested parts leave the denominator; weak parts cap the score, a failed OOS or surrogate test most;
+    one that is missing only lowers the coverage.
     """
     tested = {k: F.when(F.col(k).isNotNull(), F.lit(w)).otherwise(0.0) for k, w in WEIGHTS.items()}
     weight = reduce(lambda a, b: a + b, tested.values())

@@ -695,7 +695,10 @@ def buyonly_signals(spark, sf_dir):
     "p1 AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS nth, count(*) OVER (PARTITION BY symbol, CAST(ts AS DATE)) AS last FROM bars)",
     "p2 AS (SELECT a.symbol, a.ts, a.low AS trigger_low, a.nth AS a, b.ts AS bar_ts, b.nth, b.last, b.open, b.high, b.low, b.close, first(b.open) OVER (PARTITION BY a.symbol, a.ts ORDER BY b.nth) AS entry FROM p1 a JOIN p1 b ON a.symbol = b.symbol AND a.day = b.day AND b.nth > a.nth AND b.nth <= a.nth + 45 WHERE minute(a.ts) % 7 = 0)",
     "p3 AS (SELECT *, greatest(entry - trigger_low + 1, 30) AS risk, coalesce(max(high) OVER (PARTITION BY symbol, ts ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry) - entry AS seen FROM p2)",
-    "p4 AS (SELECT *, CASE WHEN seen >= risk THEN entry + CAST(0.5 AS DOUBLE) * risk WHEN seen >= CAST(2.5 AS DOUBLE) THEN entry ELSE entry - risk END AS stop, entry + 2 * risk AS goal FROM p3)",
+    "p3a AS (SELECT *, min(CASE WHEN high - entry >= risk THEN nth END) OVER (PARTITION BY symbol, ts) AS paid FROM p3)",
+    "p3b AS (SELECT *, max(CASE WHEN nth = paid THEN high - entry END) OVER (PARTITION BY symbol, ts) AS gain, lag(low) OVER (PARTITION BY symbol, ts ORDER BY nth) AS low1 FROM p3a)",
+    "p3c AS (SELECT *, greatest(CASE WHEN seen >= CAST(2.5 AS DOUBLE) THEN entry ELSE entry - risk END, CASE WHEN nth > paid THEN entry + CAST(0.5 AS DOUBLE) * gain END) AS base FROM p3b)",
+    "p4 AS (SELECT *, greatest(base, max(CASE WHEN base >= entry THEN low1 END) OVER (PARTITION BY symbol, ts ORDER BY nth ROWS UNBOUNDED PRECEDING)) AS stop, entry + 2 * risk AS goal FROM p3c)",
 )
 def buyonly_exits(spark, sf_dir):
     b = bars(spark, sf_dir, "minute")

@@ -100,6 +100,43 @@ def test_exits_of_long_premium(spark):
     assert (got.exit_reason, got.exit) == ("STOP_GAP", 114.0)  # half of the risk was locked at 115
 
 
+def test_exits_walk_like_the_plain_loop(spark):
+    """Trail behind the candle before, locked gains and given targets, against a loop over each path."""
+    rng = np.random.default_rng(12)
+    for k in range(6):
+        closes = (300 + np.cumsum(rng.normal(0.8, 6, 40))).round(1).tolist()
+        bars = _bars(spark, closes, datetime(2024, 3, 1 + k, 9))
+        rows = bars.orderBy("ts").collect()
+        given = None if k % 2 else float(rows[1].open + 25)
+        signal = bars.orderBy("ts").limit(1).withColumn("target", F.lit(given).cast("double"))
+        got = buyonly.exits(signal, bars, hold=30, least_stop=5.0).first()
+        entry = rows[1].open
+        risk = max(entry - rows[0].low + 1, 5.0)
+        stop, goal, before, moved, locked, pending, want = entry - risk, given or entry + 2 * risk, None, False, False, None, None
+        for i, b in enumerate(rows[1:31], 1):
+            stop = max(stop, pending) if pending is not None else stop
+            pending = None
+            if before is not None and stop >= entry:
+                stop = max(stop, before)
+            if b.open < stop:
+                want = ("STOP_GAP", b.open, i)
+            elif b.low <= stop:
+                want = ("STOP", stop, i)
+            elif b.high >= goal:
+                want = ("TARGET", goal, i)
+            elif i == 30:
+                want = ("TIME", b.close, i)
+            if want:
+                break
+            gain = b.high - entry
+            if not moved and gain >= 2.5:
+                pending, moved = entry, True
+            if not locked and gain >= risk:
+                pending, locked = max(pending or 0, entry + 0.5 * gain), True
+            before = b.low
+        assert (got.exit_reason, round(got.exit, 6), got.held) == (want[0], round(want[1], 6), want[2]), k
+
+
 def test_a_look_ahead_is_only_in_the_variant_that_says_so(spark):
     rng = np.random.default_rng(4)
     closes = (100 + np.cumsum(rng.normal(0, 1.5, 200))).round(1).tolist()
