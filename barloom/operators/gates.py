@@ -32,7 +32,7 @@ def fold_stability(folds: DataFrame, key: str, least: int = 5) -> DataFrame:
 def hierarchical_fdr(pvalues: DataFrame, alpha: float = 0.10) -> DataFrame:
     """``pvalues`` (name, family, p) with p_adj, family_p_adj and passed: adjusted over all, and the families' least p over families.
 
-    A null p counts as 1.  Families are few; hypotheses are ranked in one window, as any step-up procedure needs.
+    A null p counts as 1.
     """
     filled = pvalues.withColumn("p", F.coalesce("p", F.lit(1.0)))
     all_ = adjust(filled).select("name", "family", "p", F.col("bh").alias("p_adj"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
 from .series import ratio
 
 EULER = 0.5772156649015329
@@ -59,16 +61,42 @@ def deflated_sharpe(trades: DataFrame, key: str, value: str, trials: int, varian
     return moments(trades, key, value).withColumn("dsr", probabilistic_sharpe(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), bar))
 
 
-def adjust(pvalues: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``pvalues`` (name, p) with Benjamini-Hochberg, Holm and Bonferroni adjustments, within ``keys`` if given."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up = w.orderBy("p", "name")
-    n = F.count(F.lit(1)).over(w)
-    ranked = pvalues.withColumns({"_k": F.row_number().over(up), "_n": n})
-    ranked = ranked.withColumns({"_bh": F.col("p") * F.col("_n") / F.col("_k"), "_holm": F.least(F.lit(1.0), F.col("p") * (F.col("_n") - F.col("_k") + 1))})
-    bh = F.least(F.lit(1.0), F.min("_bh").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    holm = F.max("_holm").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumns({"bh": bh, "holm": holm, "bonferroni": F.least(F.lit(1.0), F.col("p") * F.col("_n"))}).drop("_k", "_n", "_bh", "_holm")
+def _meet(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``few``, which has one row per ``on``; nulls of it meet."""
+    renamed = few.select(*[F.col(c).alias(f"_of_{c}") for c in on], *[c for c in few.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on])
+    return rows.join(renamed, same).drop(*[f"_of_{c}" for c in on])
+
+
+def adjust(pvalues: DataFrame, keys: list[str] | None = None, run_rows: int = paths.RUN_ROWS) -> DataFrame:
+    """``pvalues`` (name, p) with Benjamini-Hochberg, Holm and Bonferroni adjustments, within ``keys`` if given.
+
+    The p-values are cut into runs of about ``run_rows``.  A rank is the place in its run after the counts of the runs before;
+    the least later and the greatest earlier term of a step procedure come from the run itself and from one figure of each
+    other run, so no window holds all hypotheses.  Hypotheses without a p take no part; their adjustments are null.
+    """
+    keys = keys or []
+    edges = paths.run_edges(pvalues.where("p is not null"), "p", run_rows)
+    whole = pvalues.withColumn("_run", F.when(F.col("p").isNotNull(), paths.run_of(F.col("p"), edges)).otherwise(-1))
+    tested = whole.where("_run >= 0")
+    group = [*keys, "_run"]
+    over_runs = Window.partitionBy(*(keys or [F.lit(0)]))  # one row per run
+    before = over_runs.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    after = over_runs.orderBy("_run").rowsBetween(1, Window.unboundedFollowing)
+    counts = tested.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.select(*group, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"), F.sum("_c").over(over_runs).alias("_n"))
+    inside = Window.partitionBy(*group).orderBy("p", "name")
+    ranked = tested.withColumn("_at", F.row_number().over(inside))
+    ranked = _meet(ranked, counts, group)
+    k, n, p = F.col("_offset") + F.col("_at"), F.col("_n"), F.col("p")
+    ranked = ranked.withColumns({"_bh": p * n / k, "_holm": F.least(F.lit(1.0), p * (n - k + 1))})
+    ends = ranked.groupBy(*group).agg(F.min("_bh").alias("_low"), F.max("_holm").alias("_high"))
+    ends = ends.select(*group, F.min("_low").over(after).alias("_later"), F.max("_high").over(before).alias("_earlier"))
+    bh = F.least(F.lit(1.0), F.min("_bh").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
+    holm = F.greatest(F.max("_holm").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("bh", "holm", "bonferroni")]
+    out = _meet(ranked, ends, group).select(*pvalues.columns, bh.alias("bh"), holm.alias("holm"), F.least(F.lit(1.0), p * n).alias("bonferroni"))
+    return out.unionByName(whole.where("_run < 0").select(*pvalues.columns, *none))
 
 
 def splits(days: DataFrame, fractions: tuple[float, float, float] = (0.5, 0.2, 0.3), embargo: int = 1) -> DataFrame:

@@ -88,3 +88,24 @@ def test_predicate_search_by_brute_force(spark):
     singles = [c[0] for c in levels[1] if brute(c, "train")[1] > 0 and brute(c, "train")[2] >= 5]
     assert levels[2] == {c for c in combinations([n for n in names if n in singles], 2) if brute(c, "train")[0] >= 30}
     assert predicates.search(frame.limit(0), {"p": F.col("p")}, "y", F.col("part")).count() == 0
+
+
+@pytest.mark.parametrize("run_rows", [1_000_000, 7])
+def test_adjusted_p_values_in_runs(spark, run_rows):
+    from barloom.operators import inference
+
+    draw = random.Random(5)
+    rows = [(f"h{k}", draw.choice(["f", "g", None]), draw.choice([0.5, 0.01, draw.random() ** 3, draw.random() ** 3, None])) for k in range(150)]
+    frame = spark.createDataFrame(rows, "name string, family string, p double").repartition(4)
+    for keys in (None, ["family"]):
+        got = {r.name: r for r in inference.adjust(frame, keys, run_rows).collect()}
+        assert len(got) == len(rows)
+        for family in {r[1] for r in rows} if keys else {"all"}:
+            mine = sorted((r[2], r[0]) for r in rows if r[2] is not None and (not keys or r[1] == family))
+            n, holm = len(mine), 0.0
+            for k, (p, name) in enumerate(mine, 1):
+                holm = max(holm, min(1.0, p * (n - k + 1)))
+                bh = min(1.0, min(q * n / j for j, (q, _) in enumerate(mine, 1) if j >= k))
+                assert (got[name].bh, got[name].holm, got[name].bonferroni) == pytest.approx((bh, holm, min(1.0, p * n)))
+    assert all(got[r[0]].bh is None for r in rows if r[2] is None)
+    assert inference.adjust(frame.limit(0), None, run_rows).count() == 0
