@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, spread_join
 from .components import connected_components
 
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -115,7 +115,8 @@ def judge_urls(
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     judged = judged.select("*", best_rule(F.col("host"), F.col("path"), rules).alias("best"))
     judged = judged.select("page_id", "host", "path", "node", F.col("best.rule").alias("rule"), F.col("best.says").alias("said"))
-    return judged.join(aliases, "node", "left").select(
+    # null urls, malformed ones and a url that very many rows have are dealt to many tasks
+    return spread_join(judged, aliases, "node", F.xxhash64("page_id", "host", "path"), "left").select(
         "page_id",
         "host",
         "path",
