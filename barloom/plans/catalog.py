@@ -1069,17 +1069,17 @@ def smoothed_states(spark, sf_dir):
 
 # --- regime models ---------------------------------------------------------------------------------------------------
 
-_MEANS = {"atr": ("tr0", 14, 14, "14"), "trs": ("tr", 15, 14, "14"), "pls": ("plus", 15, 14, "14"), "mis": ("minus", 15, 14, "14"), "e20": ("close", 20, 20, "10.5"), "e50": ("close", 50, 50, "25.5")}
+_WALKS = {"atr": ("tr0", 14, 14, "14"), "trs": ("tr", 15, 14, "14"), "pls": ("plus", 15, 14, "14"), "mis": ("minus", 15, 14, "14"), "e20": ("close", 20, 20, "10.5"), "e50": ("close", 50, 50, "25.5")}
 _DX = "coalesce(CASE WHEN pls + mis > 0 AND trs > 0 THEN 100 * abs(pls - mis) / (pls + mis) END, 0)"
 _REGIME_SQL = (
     "RECURSIVE dummy AS (SELECT 1)",
     BARS_SQL,
     f"lagged AS (SELECT *, row_number() {_W}) AS k, lag(high) {_W}) AS h1, lag(low) {_W}) AS l1, lag(close) {_W}) AS c1 FROM bars)",
     "moved AS (SELECT *, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr0, CASE WHEN k > 1 THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr, CASE WHEN k > 1 THEN CASE WHEN high - h1 > l1 - low AND high - h1 > 0 THEN high - h1 ELSE 0 END END AS plus, CASE WHEN k > 1 THEN CASE WHEN l1 - low > high - h1 AND l1 - low > 0 THEN l1 - low ELSE 0 END END AS minus FROM lagged)",
-    "means AS (SELECT *, " + ", ".join(f"avg({x}) {_W} ROWS {n - 1} PRECEDING) AS m_{name}" for name, (x, _, n, _) in _MEANS.items()) + f", CASE WHEN count(tr0) {_W} ROWS 13 PRECEDING) >= 14 THEN log10(nullif(avg(tr0) {_W} ROWS 13 PRECEDING) / nullif(max(high) {_W} ROWS 13 PRECEDING) - min(low) {_W} ROWS 13 PRECEDING), 0), 0)) / log10(14) * 100 END AS chop FROM moved)",
-    "walked AS (SELECT symbol, k, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in _MEANS) + ", CAST(0 AS DOUBLE) AS dxs, CAST(NULL AS DOUBLE) AS adx FROM means WHERE k = 1 UNION ALL SELECT symbol, k, " + ", ".join(_MEANS)
+    "means AS (SELECT *, " + ", ".join(f"avg({x}) {_W} ROWS {n - 1} PRECEDING) AS m_{name}" for name, (x, _, n, _) in _WALKS.items()) + f", CASE WHEN count(tr0) {_W} ROWS 13 PRECEDING) >= 14 THEN log10(nullif(avg(tr0) {_W} ROWS 13 PRECEDING) / nullif(max(high) {_W} ROWS 13 PRECEDING) - min(low) {_W} ROWS 13 PRECEDING), 0), 0)) / log10(14) * 100 END AS chop FROM moved)",
+    "walked AS (SELECT symbol, k, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in _WALKS) + ", CAST(0 AS DOUBLE) AS dxs, CAST(NULL AS DOUBLE) AS adx FROM means WHERE k = 1 UNION ALL SELECT symbol, k, " + ", ".join(_WALKS)
     + f", CASE WHEN k BETWEEN 15 AND 28 THEN dxs + {_DX} ELSE dxs END, CASE WHEN k = 28 THEN (dxs + {_DX}) / 14 WHEN k > 28 THEN adx + ({_DX} - adx) / 14 END FROM (SELECT n.symbol, n.k, w.dxs, w.adx, "
-    + ", ".join(f"CASE WHEN n.k = {first} THEN n.m_{name} WHEN n.k > {first} THEN w.{name} + (n.{x} - w.{name}) / {by} END AS {name}" for name, (x, first, _, by) in _MEANS.items())
+    + ", ".join(f"CASE WHEN n.k = {first} THEN n.m_{name} WHEN n.k > {first} THEN w.{name} + (n.{x} - w.{name}) / {by} END AS {name}" for name, (x, first, _, by) in _WALKS.items())
     + " FROM walked w JOIN means n ON n.symbol = w.symbol AND n.k = w.k + 1))",
     "valued AS (SELECT m.*, w.atr, w.adx, w.e20, w.e50, CASE WHEN close > 0 THEN w.atr / close END AS vol FROM means m JOIN walked w USING (symbol, k))",
     f"ranked AS (SELECT *, list(vol) {_W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS past FROM valued)",
@@ -1096,12 +1096,14 @@ def day_rule_labels(spark, sf_dir):
 
 
 @query(
-    "SELECT symbol, day, round(d0, 5) AS d0, round(d3, 5) AS d3, round(coalesce((o - lag(c) OVER w) / nullif(lag(c) OVER w, 0), 0), 5) AS d4, round(d6, 5) AS d6, round(d7, 5) AS d7 FROM (SELECT symbol, day, coalesce(arg_max_null(chop, ts), 62) / 100 AS d0, (max(high) - min(low)) / arg_max(close, ts) AS d3, arg_min(open, ts) AS o, arg_max(close, ts) AS c, (arg_max(close, ts) - arg_min(open, ts)) / nullif(arg_min(open, ts), 0) AS d6, least(3, sum(volume) / (count(*) * 20000)) AS d7 FROM ruled GROUP BY symbol, day) WINDOW w AS (PARTITION BY symbol ORDER BY day)",
+    "SELECT symbol, day, round(d0, 5) AS d0, round(d3, 5) AS d3, round(coalesce((o - lag(c) OVER w) / nullif(lag(c) OVER w, 0), 0), 5) AS d4, round(d6, 5) AS d6, d7 FROM (SELECT symbol, day, coalesce(arg_max_null(chop, ts), 62) / 100 AS d0, (max(high) - min(low)) / arg_max(close, ts) AS d3, arg_min(open, ts) AS o, arg_max(close, ts) AS c, (arg_max(close, ts) - arg_min(open, ts)) / nullif(arg_min(open, ts), 0) AS d6, least(3, sum(volume) / (count(*) * 20000)) AS d7 FROM ruled GROUP BY symbol, day) WINDOW w AS (PARTITION BY symbol ORDER BY day)",
     *_REGIME_SQL,
 )
 def day_features(spark, sf_dir):
     """What a session tells the day model; the columns that SQL can say."""
-    return rounded(reg.day_features(bars(spark, sf_dir)).select("symbol", "day", "d0", "d3", "d4", "d6", "d7"))
+    d = reg.day_features(bars(spark, sf_dir))
+    # the volume's share is a short decimal, often half a fifth digit: it is held as it is
+    return d.select("symbol", "day", *[(F.round(c, 5) + 0.0).alias(c) for c in ("d0", "d3", "d4", "d6")], "d7")
 
 
 _ROUTED = {rule: reg.ROUTER[rule] for rule in ("EMA", "RSI", "Squeeze", "Chop")}
