@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits as aud
 from ..operators import buyonly as buy
+from ..operators import capability as cap
 from ..operators import gates as gat
 from ..operators import indicators as ind
 from ..operators import inference as inf
@@ -1250,3 +1251,100 @@ def state_buckets(spark, sf_dir):
     """Bars by the state of their range and volume, edges from merged sketches."""
     b = bars(spark, sf_dir).withColumn("range", F.col("high") - F.col("low")).withColumn("volume_percentile", ser.percentile_of("volume"))
     return sta.states(b, "range").groupBy("state_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- what the data can support ---------------------------------------------------------------------------------------
+
+_FACTS_SQL = (
+    "width AS (SELECT ts, count(DISTINCT symbol) AS w FROM chain GROUP BY ts)",
+    "facts AS (SELECT count(DISTINCT symbol) AS n_contracts, count(DISTINCT expiry) AS n_expiries, count(DISTINCT strike) AS n_strikes, count(DISTINCT option_type) AS n_option_types, (SELECT count(*) FROM width) AS snapshots, (SELECT count(*) FROM width WHERE w = (SELECT count(DISTINCT symbol) FROM chain)) AS whole_snapshots, count(DISTINCT CAST(ts AS DATE)) AS n_days, count(*) - count(close) AS missing_closes, count(*) - count(DISTINCT (ts, symbol)) AS repeated_rows, CAST(min(ts) AS TIMESTAMP) AS first_ts, CAST(max(ts) AS TIMESTAMP) AS last_ts, false AS has_bidask, count(oi) > 0 AS has_oi FROM chain)",
+)
+
+
+@query("SELECT *, round(whole_snapshots / snapshots, 4) AS completeness FROM facts", CHAIN_SQL, *_FACTS_SQL)
+def chain_facts(spark, sf_dir):
+    """Snapshots, contracts and gaps of the chain."""
+    return cap.chain_facts(chain(spark, sf_dir))
+
+
+def _module_sql(name: str, ok: str, why: str) -> str:
+    return f"SELECT '{name}' AS module, CASE WHEN {ok} THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status, CASE WHEN {ok} THEN '' ELSE {why} END AS reason FROM facts"
+
+
+@query(
+    " UNION ALL ".join(
+        [_module_sql(n, "n_contracts >= 1 AND snapshots > 10", "'no identifiable contracts/timestamps/prices'") for n in ("OPTION_DATA", "CHAIN_STRUCTURE")]
+        + [_module_sql(n, "snapshots >= 5000", "'only ' || snapshots || ' snapshots (< 5000)'") for n in ("RAW_PRICE", "VOLUME", "LEAD_LAG", "SEQUENCE", "CHAIN_STATE")]
+        + [_module_sql(n, f"{c} >= 2", f"'only ' || {c} || ' {w}'") for n, c, w in (("OPTION_TYPE_RELATIONSHIP", "n_option_types", "option type(s)"), ("STRIKE_RELATIONSHIP", "n_strikes", "strike(s)"), ("EXPIRY_RELATIONSHIP", "n_expiries", "expir(ies)"))]
+        + [_module_sql("EXECUTABLE_MODEL", "has_bidask", "'no bid/ask fields; RESEARCH_PRICE_MODEL only'"), _module_sql("OOS_VALIDATION", "n_days >= 6", "'only ' || n_days || ' day(s); VALIDATION_INSUFFICIENT_DATA'")]
+    ),
+    CHAIN_SQL,
+    *_FACTS_SQL,
+)
+def module_availability(spark, sf_dir):
+    """Which analyses the chain supports, and why not."""
+    return cap.modules(cap.chain_facts(chain(spark, sf_dir)), least_snapshots=5000)
+
+
+_UNIVERSE_SQL = "uni AS (SELECT symbol, expiry, strike, option_type, count(*) AS rows, count(close) AS closes, round(sum(volume), 2) AS volume, count(close) > 0 AS searchable FROM chain GROUP BY ALL)"
+
+
+@query("SELECT * FROM uni", CHAIN_SQL, _UNIVERSE_SQL)
+def research_universe(spark, sf_dir):
+    """Every contract that can be searched."""
+    return cap.universe(chain(spark, sf_dir)).withColumn("volume", F.round("volume", 2))
+
+
+@query(
+    "SELECT symbol, expiry, strike, option_type, rows, strike_rank, strike_rank <= 3 AS first FROM uni JOIN (SELECT strike, CAST(row_number() OVER (ORDER BY sum(volume) DESC, strike) AS INT) AS strike_rank FROM uni GROUP BY strike) USING (strike)",
+    CHAIN_SQL,
+    _UNIVERSE_SQL,
+)
+def compute_priority(spark, sf_dir):
+    """Contracts in the order of their strikes' volume."""
+    return cap.priority(chain(spark, sf_dir)).select("symbol", "expiry", "strike", "option_type", "rows", "strike_rank", "first")
+
+
+_HALVES = "SELECT option_type AS side, {} AS capability, {} AS status FROM chain GROUP BY option_type"
+_SHARED = "SELECT side, '{0}' AS capability, CASE WHEN n >= 50 THEN 'AVAILABLE' WHEN n > 0 THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS status FROM (SELECT side, count(*) FILTER (k >= 2) AS n FROM (SELECT option_type AS side, ts, count(DISTINCT {1}) AS k FROM chain GROUP BY ALL) GROUP BY side)"
+
+
+@query(
+    " UNION ALL ".join(
+        [_HALVES.format(f"'identity:{c}'", f"CASE WHEN count(*) FILTER ({c} IS NULL) = 0 THEN 'AVAILABLE' ELSE 'PARTIAL' END") for c in cap.IDENTITY]
+        + [_HALVES.format(f"'field:{c}'", f"CASE WHEN count({c}) >= 0.8 * count(*) THEN 'AVAILABLE' ELSE 'PARTIAL' END") for c in ("open", "high", "low", "close", "volume", "oi")]
+        + [_HALVES.format(f"'field:{c}'", "'UNAVAILABLE'") for c in ("bid", "ask")]
+        + [_SHARED.format(f"overlap:{n}", c) for n, c in (("cross_contract", "symbol"), ("cross_expiry", "expiry"), ("cepe", "option_type"))]
+    ),
+    CHAIN_SQL,
+)
+def capability_map(spark, sf_dir):
+    """Identity, fields and overlaps of each side of the chain."""
+    return cap.capability_map(chain(spark, sf_dir), "option_type").withColumnRenamed("option_type", "side")
+
+
+@query(
+    "SELECT expiry, sum(n) AS rows, count(*) AS contracts, round(avg(n), 1) AS rows_per_contract, median(n) AS median_rows, min(n) AS least_rows, max(n) AS most_rows, any_value(days) AS days, any_value(gaps) AS gaps FROM (SELECT expiry, symbol, count(*) AS n FROM chain GROUP BY ALL) JOIN (SELECT expiry, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (epoch(ts) - epoch(b) > 86400) AS gaps FROM (SELECT expiry, ts, lag(ts) OVER (PARTITION BY expiry ORDER BY ts) AS b FROM (SELECT DISTINCT expiry, ts FROM chain)) GROUP BY expiry) USING (expiry) GROUP BY expiry",
+    CHAIN_SQL,
+)
+def temporal_coverage(spark, sf_dir):
+    """Rows, contracts and gaps of each expiry."""
+    return cap.temporal_coverage(chain(spark, sf_dir), "expiry", "1 day")
+
+
+_MARKS = {"up": "return_1 > 50", "down": "return_1 < -50", "flat": "abs(return_1) < 1", "never": "return_1 > 1e12"}
+
+
+@query(
+    "SELECT name, CAST(span AS INT) AS span, CASE WHEN span = 15 THEN 'UNAVAILABLE' WHEN coalesce(events, 0) >= 50 THEN 'AVAILABLE' ELSE 'INSUFFICIENT' END AS status, coalesce(marked, 0) AS marked, coalesce(events, 0) AS events, round(coalesce(events / marked, 0), 5) AS coverage, round(positive_rate, 5) AS positive_rate, round(median, 4) + 0.0 AS median, round(mean, 4) + 0.0 AS mean FROM (SELECT unnest(['up', 'down', 'flat', 'never']) AS name) CROSS JOIN (SELECT unnest([1, 3, 5, 10, 15]) AS span) LEFT JOIN (SELECT name, span, count(*) AS marked, count(y) AS events, avg(CAST(y > 0 AS INT)) AS positive_rate, median(round(y, 4)) AS median, avg(y) AS mean FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, {s} AS span, {'NULL' if s == 15 else f'fwd_ret_{s}'} AS y FROM lab WHERE {m}" for n, m in _MARKS.items() for s in (1, 3, 5, 10, 15))
+    + ") GROUP BY ALL) USING (name, span)",
+    BARS_SQL,
+    RETURNS_SQL,
+    LABELS_SQL,
+)
+def horizon_eligibility(spark, sf_dir):
+    """Which horizons have enough observed labels for each hypothesis."""
+    f = ser.labels(ser.returns(bars(spark, sf_dir)), (1, 3, 5, 10))
+    h = cap.horizon_eligibility(f, {n: F.expr(m) for n, m in _MARKS.items()}, (1, 3, 5, 10, 15))
+    return rounded(h.withColumns({"median": F.round("median", 4), "mean": F.round("mean", 4)}))
