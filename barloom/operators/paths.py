@@ -44,6 +44,28 @@ def run_of(order: Column, edges: Sequence[float]) -> Column:
     return place(0, len(edges))
 
 
+def seconds_of(frame: DataFrame, ts: str) -> Column:
+    """A number that orders ``ts``: seconds since 1970, of timestamps without a zone by their own clock."""
+    if dict(frame.dtypes)[ts] != "timestamp_ntz":
+        return F.col(ts).cast("timestamp").cast("double")
+    return F.unix_date(F.to_date(ts)) * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def entered(rows: DataFrame, keys: Sequence[str], last: Column) -> DataFrame:
+    """(keys, run, came): ``last`` (an aggregate) of the nearest earlier run of the same keys, null before the first."""
+    each = rows.groupBy(*keys, "run").agg(last.alias("_last"))
+    return each.select(*keys, "run", F.lag("_last").over(Window.partitionBy(*keys).orderBy("run")).alias("came"))
+
+
+def with_entry(rows: DataFrame, keys: Sequence[str], last: Column) -> DataFrame:
+    """``rows`` with ``came`` of ``entered``; null keys meet.  There is one row for each key and run, so it is small."""
+    few = entered(rows, keys, last).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("run").alias("_of_run"), "came")
+    same = F.col("run") == F.col("_of_run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(few, same).drop("_of_run", *[f"_of_{k}" for k in keys])
+
+
 def run_parts(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """(keys, run, n, sum, high, low, fall, won, lost, lead_losses, lead_wins, tail..., most...) of every run of ``rows``."""
     r = F.coalesce(F.col(value), F.lit(0.0))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
 from .series import ratio, series
 
 
@@ -102,11 +103,23 @@ def oi_shocks(chain: DataFrame, width: int = 120, least: int = 20, rank: float =
     return out.withColumn("e_oi_shock", _flag(F.col("oi_percentile") >= rank)).drop("_rank", "_there")
 
 
-def top_share(trades: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
-    """Share of the absolute result that the largest ``shares`` of a key's trades make (at least one trade), from a rank by size."""
-    ranked = trades.withColumns({"_k": F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs(value)), "seq")), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    made = [ratio(F.sum(F.when(F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * s)), F.abs(value))), F.sum(F.abs(value))).alias(f"top{round(s * 100)}pct") for s in shares]
-    return ranked.groupBy(key).agg(*made)
+def top_share(trades: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.01, 0.05, 0.1), run_rows: int = paths.RUN_ROWS) -> DataFrame:
+    """Share of the absolute result that the largest ``shares`` of a key's trades make (at least one trade).
+
+    Null results are left out.  Trades of one size are one row with a count.  Sizes are cut into runs, largest first; a size gives as many trades as are
+    still wanted after those of the runs and sizes before it.
+    """
+    sized = trades.select(key, F.abs(value).alias("_size")).where(F.col("_size").isNotNull()).groupBy(key, "_size").agg(F.count(F.lit(1)).alias("_c"))
+    sized = sized.withColumn("_place", -F.col("_size"))
+    rows = sized.withColumn("run", paths.run_of(F.col("_place"), paths.run_edges(sized, "_place", run_rows)))
+    parts = rows.groupBy(F.col(key).alias("_key"), F.col("run").alias("_run")).agg(F.sum("_c").alias("_n"))
+    whole = Window.partitionBy("_key")
+    parts = parts.withColumns({"_ahead": F.coalesce(F.sum("_n").over(whole.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(whole)})
+    inside = F.sum("_c").over(Window.partitionBy(key, "run").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    placed = rows.withColumn("_inside", inside).join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run")))
+    taken = lambda s: F.least(F.greatest(F.greatest(F.lit(1), F.ceil(F.col("_all") * s)) - F.col("_ahead") - F.col("_inside"), F.lit(0)), F.col("_c"))
+    total = F.sum(F.col("_size") * F.col("_c"))
+    return placed.groupBy(key).agg(*[ratio(F.sum(F.col("_size") * taken(s)), total).alias(f"top{round(s * 100)}pct") for s in shares])
 
 
 def sign_flip_test(trades: DataFrame, key: str, value: str, order: str, n: int = 200) -> DataFrame:

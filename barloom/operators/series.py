@@ -6,9 +6,13 @@ a partition is bounded by time.  Missing values are null, never NaN.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
+
 IST = "INTERVAL 330 MINUTES"
 
 
@@ -157,13 +161,26 @@ def keep_last(bars: DataFrame, order: str) -> DataFrame:
     return bars.groupBy("symbol", "ts").agg(F.max_by(F.struct(*rest), order).alias("last")).select("symbol", "ts", "last.*")
 
 
-def clusters(events: DataFrame, gap: str = "3 minutes", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Event clusters per key: start, end, size; a pause longer than ``gap`` starts a new one."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w)) > F.expr(f"INTERVAL {gap}"), F.lit(True)).cast("int")
-    marked = events.select(*keys, "ts", fresh.alias("fresh"))
-    run = marked.withColumn("cluster", F.sum("fresh").over(w))
-    return run.groupBy(*keys, "cluster").agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count(F.lit(1)).alias("n"))
+def clusters(events: DataFrame, gap: str = "3 minutes", keys: tuple[str, ...] = ("symbol",), run_rows: int = paths.RUN_ROWS) -> DataFrame:
+    """Event clusters per key: start, end, size; a pause longer than ``gap`` starts a new one.
+
+    Time is cut into runs of about ``run_rows`` events.  A run's first event looks back to the last one of the run before, and
+    clusters are numbered after those that began in earlier runs, so one may reach over several.
+    """
+    order = paths.seconds_of(events, "ts")
+    edges = paths.run_edges(events.select(order.alias("at")), "at", run_rows)
+    rows = paths.with_entry(events.select(*keys, "ts", paths.run_of(order, edges).alias("run")), keys, F.max("ts"))
+    w = Window.partitionBy(*keys, "run").orderBy("ts")
+    before = F.coalesce(F.lag("ts").over(w), "came")
+    fresh = F.coalesce((F.col("ts") - before) > F.expr(f"INTERVAL {gap}"), F.lit(True)).cast("int")
+    marked = rows.select(*keys, "run", "ts", fresh.alias("fresh")).withColumn("own", F.sum("fresh").over(w))
+    parts = marked.groupBy(*keys, "run", "own").agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count(F.lit(1)).alias("n"))
+    counts = parts.groupBy(*keys, "run").agg(F.max("own").alias("_began"))
+    earlier = F.coalesce(F.sum("_began").over(Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("run").alias("_of_run"), earlier.alias("_offset"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "run")])
+    placed = parts.join(offsets, same).withColumn("cluster", F.col("own") + F.col("_offset"))
+    return placed.groupBy(*keys, "cluster").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
 
 
 def mask_persistence(flags: DataFrame, flag: str, least: int) -> DataFrame:

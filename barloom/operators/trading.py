@@ -186,12 +186,17 @@ def daily_sharpe(trades: DataFrame, key: str, value: str, day: str) -> DataFrame
 
 
 def concentration(trades: DataFrame, key: str, value: str, tie: str) -> DataFrame:
-    """Share of the total that the best 1, 5 and 10 trades hold, and the mean without the best 5."""
+    """Share of the total that the best 1, 5 and 10 trades hold, and the mean without the best 5.
+
+    Only a key's best ten are ever ranked, every task's own before the shuffle; the rest is in the totals.
+    """
     w = Window.partitionBy(key).orderBy(F.desc(value), tie)
-    ranked = trades.withColumn("_k", F.row_number().over(w))
-    total = F.sum(value)
-    tops = [ratio(F.sum(F.when(F.col("_k") <= k, F.col(value))), total).alias(f"top{k}") for k in (1, 5, 10)]
-    return ranked.groupBy(key).agg(*tops, F.avg(F.when(F.col("_k") > 5, F.col(value))).alias("mean_without_best5"))
+    best = trades.select(F.col(key).alias("_key"), F.col(value).alias("_v"), F.row_number().over(w).alias("_k")).where(F.col("_k") <= 10)
+    top = lambda k: F.sum(F.when(F.col("_k") <= k, F.col("_v")))
+    tops = best.groupBy("_key").agg(*[top(k).alias(f"_top{k}") for k in (1, 5, 10)], F.count(F.when(F.col("_k") <= 5, F.col("_v"))).alias("_five"))
+    told = trades.groupBy(key).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")).join(tops, F.col(key).eqNullSafe(F.col("_key")))
+    shares = [ratio(F.col(f"_top{k}"), F.col("_sum")).alias(f"top{k}") for k in (1, 5, 10)]
+    return told.select(key, *shares, ratio(F.col("_sum") - F.col("_top5"), F.col("_n") - F.col("_five")).alias("mean_without_best5"))
 
 
 def streak_stats(trades: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -199,10 +204,14 @@ def streak_stats(trades: DataFrame, key: str, value: str, order: str) -> DataFra
     return paths.paths(trades, key, value, order).select(key, "max_wins", "max_losses")
 
 
-def clustering(trades: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Correlation of a trade with the one before it."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return trades.withColumn("_b", before).groupBy(key).agg(F.corr(value, "_b").alias("autocorrelation"))
+def clustering(trades: DataFrame, key: str, value: str, order: str, run_rows: int = paths.RUN_ROWS) -> DataFrame:
+    """Correlation of a trade with the one before it, in ``order``, a number; runs look back to the last trade of the run before."""
+    edges = paths.run_edges(trades, order, run_rows)
+    rows = trades.select(key, F.col(order).alias("_order"), F.col(value).alias("_v"), paths.run_of(F.col(order), edges).alias("run"))
+    # ties in order are ordered by value
+    told = paths.with_entry(rows, [key], F.max(F.struct("_order", "_v")))
+    before = F.coalesce(F.lag("_v").over(Window.partitionBy(key, "run").orderBy("_order", "_v")), F.col("came._v"))
+    return told.withColumn("_b", before).groupBy(key).agg(F.corr("_v", "_b").alias("autocorrelation"))
 
 
 def distribution(trades: DataFrame, key: str, value: str) -> DataFrame:
