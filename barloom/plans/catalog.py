@@ -23,6 +23,7 @@ from ..operators import premium as prm
 from ..operators import regime_model as reg
 from ..operators import relations as rel
 from ..operators import scans as scn
+from ..operators import scoring as sco
 from ..operators import series as ser
 from ..operators import states as sta
 from ..operators import trading as trd
@@ -1349,3 +1350,29 @@ def horizon_eligibility(spark, sf_dir):
     h = cap.horizon_eligibility(f, {n: F.expr(m) for n, m in _MARKS.items()}, (1, 3, 5, 10, 15))
     # the mean of two labels of four digits has five at most, so no tie is rounded
     return rounded(h.withColumn("mean", F.round("mean", 4)))
+
+
+# --- board scores ----------------------------------------------------------------------------------------------------
+
+_LEDGERS_SQL = "led AS (SELECT o_orderpriority || '-' || CAST(year(o_orderdate) AS VARCHAR) AS cfg, CAST(floor(o_totalprice) AS BIGINT) % 21 - 9 AS ret FROM orders)"
+_PARTS_SQL = "parts AS (SELECT cfg, n, CASE WHEN e > 0 AND n > wins AND loss > 0 THEN (e / (loss / (n - wins))) / (e / (loss / (n - wins)) + 1) ELSE 0 END AS ret, wins / n * 0.5 + CASE WHEN e > 0 THEN 0.5 ELSE 0 END AS win_exp, CASE WHEN pf > 0 THEN pf / (pf + 1) ELSE 0 END AS pf, n / (n + 30) AS sample, CAST(1 AS DOUBLE) / (1 + abs(worst) / CAST(10 AS DOUBLE)) AS risk, CASE WHEN sh > 0 THEN sh / (sh + 2) ELSE 0 END AS sharpe FROM (SELECT *, greatest(-20, least(20, e / sd * (n / (n + 30)))) AS sh FROM (SELECT cfg, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (ret > 0) AS DOUBLE) AS wins, CAST(sum(ret) AS DOUBLE) / count(*) AS e, CAST(-sum(ret) FILTER (ret < 0) AS DOUBLE) AS loss, CAST(sum(ret) FILTER (ret > 0) AS DOUBLE) / -sum(ret) FILTER (ret < 0) AS pf, CAST(min(ret) AS DOUBLE) AS worst, stddev_samp(ret) AS sd FROM led GROUP BY cfg)))"
+_FOUR = {k: f"floor({k} * 10000 + 0.5) / CAST(10000 AS DOUBLE)" for k in sco.WEIGHTS}
+
+
+@query(
+    "SELECT cfg, CAST(n AS BIGINT) AS n, " + ", ".join(f"{x} AS {k}" for k, x in _FOUR.items()) + ", floor((" + " + ".join(f"floor({k} * 10000 + 0.5) * {w}" for k, w in sco.WEIGHTS.items()) + " + 50) / 100) / CAST(10000 AS DOUBLE) AS composite, CASE WHEN n >= 30 THEN 'HIGH' WHEN n >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS reliability, CASE WHEN n < 30 THEN 'INSUFFICIENT' WHEN n < 100 THEN 'LOW_SAMPLE' WHEN n < 200 THEN 'MODERATE_SAMPLE' ELSE 'STRONG_SAMPLE' END AS tier, CAST(CASE WHEN n < 100 THEN 6 WHEN n < 200 THEN 8 ELSE 10 END AS INT) AS cap FROM parts",
+    _LEDGERS_SQL,
+    _PARTS_SQL,
+)
+def strategy_scores(spark, sf_dir):
+    """Composite score of each ledger of whole-number results; its worst trade stands for the drawdown."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", "o_orderdate", "o_totalprice")
+    ret = F.floor("o_totalprice").cast("long") % 21 - 9
+    led = o.select(F.concat_ws("-", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("cfg"), ret.alias("ret"))
+    r_, n = F.col("ret"), F.count(F.lit(1))
+    gain, loss = F.sum(F.when(r_ > 0, r_)), -F.sum(F.when(r_ < 0, r_))
+    m = led.groupBy("cfg").agg(n.alias("n"), F.count_if(r_ > 0).alias("wins"), (F.sum(r_) / n).alias("e"), loss.alias("loss"), ser.ratio(gain, loss).alias("gain_loss"), F.min(r_).alias("worst"), F.stddev_samp(r_).alias("sd"))
+    parts = sco.score_parts(*[F.col(c) for c in ("n", "wins", "e", "loss", "gain_loss", "worst")], ser.ratio(F.col("e"), F.col("sd")))
+    tier, most = sco.sample_gate(F.col("n"))
+    told = m.select("cfg", "n", *[x.alias(k) for k, x in parts.items()], tier.alias("tier"), most.alias("cap"), sco.reliability(F.col("n")).alias("reliability"))
+    return told.withColumn("composite", sco.composite({k: F.col(k) for k in parts}))
