@@ -263,6 +263,11 @@ def board(metrics: DataFrame, objective: str = "expectancy") -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(w))
 
 
+def once(frame: DataFrame) -> DataFrame:
+    """``frame`` worked out once: kept in the folder of checkpoints, or by the executors where none is named."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.persist()
+
+
 #: configurations that one task thins out
 PART = 5000
 
@@ -271,7 +276,10 @@ def pareto(metrics: DataFrame, up: list[str], down: list[str]) -> DataFrame:
     """Configurations that no other is at least as good as in everything and better in something.
 
     Parts of about PART rows are thinned out first, each by itself; only what is best in its part is compared with all.
+    Metrics are worked out once and kept: sums of doubles end in other digits when blocks come in another order, and a
+    row that is worked out twice would beat itself.
     """
+    metrics = once(metrics)
     parts = max(1, -(-metrics.count() // PART))
     if parts > 1:
         dealt = metrics.withColumn("_part", F.pmod(F.xxhash64(*metrics.columns), F.lit(parts)).cast("int"))

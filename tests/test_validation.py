@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -37,6 +38,15 @@ def test_frontier_in_parts(spark, monkeypatch):
     assert got == {y[0] for y in rows if not any(beats(x, y) for x in rows)}
 
 
+def test_frontier_of_sums_in_any_order(spark):
+    """Metrics of which every evaluation ends in other digits, as sums of doubles do when blocks come in another order."""
+    rows = [(f"c{k}", k % 40 - k // 40 * 0.5, float(40 - k % 40 - k // 40 * 5), 1.0 + k // 40) for k in range(120)]
+    frame = spark.createDataFrame(rows, "cfg string, a double, b double, c double")
+    shaken = F.udf(lambda x: x + random.SystemRandom().random() * 1e-9, "double").asNondeterministic()
+    got = {r.cfg for r in trading.pareto(frame.withColumn("a", shaken("a")), ["a", "b"], ["c"]).collect()}
+    assert got == {f"c{k}" for k in range(40)}
+
+
 def test_effective_trials(spark):
     rng = np.random.default_rng(2)
     masks = {f"m{k}": rng.random(3000) < 0.1 for k in range(6)}
