@@ -1,12 +1,12 @@
 """Language-model scoring: a causal self-attention model trained in numpy on subword ids.
 
 1. Spark counts every word and every end of the training texts, and from these every subword id.
-2. One attention layer is trained on windows of TRAIN_DOCS texts and of TRAIN_SHARE of all others (equal texts count once), so
-   what it learns from grows with the corpus.  The driver starts it on a bounded part; then tasks go on from there, each on
-   a shard of windows dealt by their hashes, and the shards' steps are averaged, round by round.  A tenth of the texts is kept aside: on it the start
-   stops early, a round that does not help is undone, and the weight of the table is fitted.  The softmax has two
-   levels, groups and slots: frequent ids have a slot of their own, the others share slots and are told apart by their
-   counts.
+2. One attention layer is trained on the windows of all training texts (equal texts count once).  The driver only finds a
+   point to start from, on a bounded part; then tasks go on from there, each on a shard of texts dealt by their hashes, and
+   the shards' steps are averaged, round by round, until every text was in one round.  A tenth of the texts is kept
+   aside: on windows of it the start stops early, on all of it a round that does not help is undone and the weight of the
+   table is fitted.  The softmax has two levels, groups and slots: frequent ids have a slot of their own, the others
+   share slots and are told apart by their counts.
 3. Texts are cut into overlapping windows: the first CONTEXT places of a window only give context, each of the other
    places is scored once, all windows of a chunk in one batched, masked attention.
 4. The attention layer spells every word; with a fitted weight a word may also come from the table of all counted
@@ -39,12 +39,10 @@ DIM, KEY, HIDDEN = 32, 8, 48
 #: places of a window that only give context, and places that are scored
 CONTEXT, STRIDE = 8, 16
 WIDTH = CONTEXT + STRIDE
-#: texts that training takes in any case, and the share of all others
-TRAIN_DOCS, TRAIN_SHARE = 3_000, 1 / 16
 #: of the driver's start: windows and steps at most, windows of a step, steps between looks at the texts kept aside, and
 #: looks without gain after which it stops
 TRAIN_WINDOWS, STEPS, BATCH, LOOK, PATIENCE = 48_000, 750, 256, 50, 3
-#: rounds in which tasks train on shards of windows, and parts that their steps are summed in
+#: rounds in which tasks train on shards, and parts that their steps are summed in
 ROUNDS, PARTS, PIECE = 2, 64, 8192
 #: windows that a shard of a round is meant to hold
 SHARD_WINDOWS = 16_384
@@ -498,23 +496,29 @@ class Scorer:
         return out
 
 
+def _windows_of(text: bytes, spell: Spelling, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, there, marks) of a text; a mark is a hash of the text and the window's number."""
+    import xxhash
+
+    ids = np.append(spell.of(words_of(text))[0], layout.end)
+    inputs, targets, places = windows(ids, np.array([len(ids)]), layout)
+    whole = xxhash.xxh3_64_digest(text)
+    marks = [xxhash.xxh3_64_intdigest(whole + k.to_bytes(8, "little")) - 2**63 for k in range(len(inputs))]
+    return inputs, targets.astype(np.int32), places >= 0, np.array(marks, np.int64)
+
+
 def _sample_windows(docs: DataFrame, layout, path: str) -> DataFrame:
-    """(inputs, targets, there, mark, aside) windows of ``docs`` (text, aside); the mark is a hash of the text and the window's number."""
+    """(inputs, targets, there, mark, aside) windows of ``docs`` (text, aside), as :func:`_windows_of` gives them."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         spell, lay = spelling(path), layout.value
         for batch in batches:
             for text, aside in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                flat, _ = spell.of(words_of(text))
-                ids = np.append(flat, lay.end)
-                inputs, targets, places = windows(ids, np.array([len(ids)]), lay)
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.int32)), x.shape[1]).cast(pa.list_(pa.int32())) for x in (inputs, targets, places >= 0)]
-                whole = xxhash.xxh3_64_digest(text)
-                marks = [xxhash.xxh3_64_intdigest(whole + k.to_bytes(8, "little")) - 2**63 for k in range(len(inputs))]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array(marks, pa.int64()), pa.array([aside] * len(inputs), pa.bool_())], names=["inputs", "targets", "there", "mark", "aside"])
+                *three, marks = _windows_of(text, spell, lay)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.int32)), x.shape[1]).cast(pa.list_(pa.int32())) for x in three]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(marks, pa.int64()), pa.array([aside] * len(marks), pa.bool_())], names=["inputs", "targets", "there", "mark", "aside"])
 
     return docs.select("text", "aside").mapInArrow(run, "inputs array<int>, targets array<int>, there array<int>, mark long, aside boolean")
 
@@ -531,17 +535,52 @@ def _flat(p: dict) -> np.ndarray:
     return np.concatenate([x.ravel() for x in p.values()])
 
 
-def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE) -> None:
+def _mean_loss(texts: DataFrame, net: Attention, layout, path: str) -> float:
+    """Mean loss over all windows of ``texts`` (text), worked out by tasks."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        import pyarrow as pa
+
+        spell, lay, tables = spelling(path), layout.value, shared.value.scoring_tables()
+        total, n, held = 0.0, 0, []
+
+        def add(least: int) -> None:
+            nonlocal total, n, held
+            while held and sum(len(h[0]) for h in held) >= least:
+                inputs, targets, there = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = [[x[CHUNK:] for x in (inputs, targets, there)]] if len(inputs) > CHUNK else []
+                slot = lay.slot[targets[:CHUNK]]
+                logp = shared.value.score(inputs[:CHUNK], (slot // SLOTS).astype(np.uint8), slot % SLOTS, tables)
+                total, n = total - float(logp[there[:CHUNK]].sum()), n + int(there[:CHUNK].sum())
+
+        for batch in batches:
+            for text in text_bytes(batch.column(0)):
+                three = _windows_of(text, spell, lay)[:3]
+                for k in range(0, len(three[0]), CHUNK):
+                    held.append([x[k : k + CHUNK] for x in three])
+                    add(CHUNK)
+        add(1)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64()), pa.array([n], pa.int64())], names=["loss", "n"])
+
+    told = texts.select("text").mapInArrow(run, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
+    shared.unpersist()
+    return float(told[0] or 0.0) / max(int(told[1] or 0), 1)
+
+
+def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, path: str = VOCABULARY, shards: int = 0) -> None:
     """Let tasks train from ``net`` on the shards of ``found``, and move ``net`` by the mean of their steps.
 
-    A window's mark deals it to a shard and gives its place there, so what is learnt hangs on the windows alone: neither on
+    ``found`` has windows, or texts (text, mark) to be cut into windows by the task that trains on them, dealt to ``shards``.
+    The mark of a window or text deals it to a shard, and the window's gives its place there, so what is learnt hangs on the windows alone: neither on
     files nor on tasks, nor on what is run again.  Steps are weighed by the windows that they come from, those of an input
     vector by how often its id was seen, so what only few shards see is not averaged away.  They are summed in pieces, in two
     levels and in the order of shards: the driver gets one sum.
     """
     shared = found.sparkSession.sparkContext.broadcast(net.p)
     empty = net.empty
-    shards = max(1, -(-found.count() // SHARD_WINDOWS))
+    whole, most = "text" in found.columns, SHARD_WINDOWS
+    shards = shards if whole else max(1, -(-found.count() // SHARD_WINDOWS))
 
     def steps(own: Attention, start: dict, seen: np.ndarray, n: int, shard: int):
         import pyarrow as pa
@@ -555,6 +594,36 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE) -
             [pa.array(range(len(sums)), pa.int32()), pa.array([shard % PARTS] * len(sums), pa.int32()), pa.array([shard] * len(sums), pa.int32()), pa.array(sums, pa.binary())], names=["piece", "part", "shard", "sums"]
         )
 
+    def cut(batches):
+        """(shard, inputs, targets, there) of windows that come in order."""
+        for batch in batches:
+            three = [batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in range(3)]
+            of = batch.column(3).to_numpy()
+            bounds = np.flatnonzero(np.diff(of)) + 1
+            for a, b in zip([0, *bounds], [*bounds, len(of)], strict=True):
+                if b > a:
+                    yield int(of[a]), *(x[a:b] for x in three)
+
+    def spelled(batches):
+        """The same of texts; windows of about ``most`` are put in the order of their marks."""
+        spell, shard, held, n = spelling(path), None, [], 0
+
+        def ordered():
+            *three, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(marks, kind="stable")
+            return shard, *(x[order] for x in three)
+
+        for batch in batches:
+            for text, of in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if held and (of != shard or n >= most):
+                    yield ordered()
+                    held, n = [], 0
+                shard = of
+                held.append(_windows_of(text, spell, layout.value))
+                n += len(held[-1][0])
+        if held:
+            yield ordered()
+
     def run(batches):
         lay, start = layout.value, shared.value
         shard, own, adam, seen, n, held = None, None, None, None, 0, []
@@ -571,24 +640,17 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE) -
                 seen += np.bincount(inputs.ravel(), minlength=INPUTS)
                 n += len(inputs)
 
-        for batch in batches:
-            inputs, targets, there = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in range(3))
-            of = batch.column(3).to_numpy()
-            cuts = np.flatnonzero(np.diff(of)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
-                if a == b:
-                    continue
-                if of[a] != shard:
-                    if shard is not None:
-                        learn(1)
-                        yield steps(own, start, seen, n, shard)
-                    shard, own, n = int(of[a]), Attention.__new__(Attention), 0
-                    own.p, own.empty = {k: x.copy() for k, x in start.items()}, empty
-                    adam, seen = Adam(own.p), np.zeros(INPUTS, np.float32)
-                for k in range(a, b, BATCH):
-                    stop = min(k + BATCH, b)
-                    held.append([inputs[k:stop], targets[k:stop], there[k:stop]])
-                    learn(BATCH)
+        for of, inputs, targets, there in (spelled if whole else cut)(batches):
+            if of != shard:
+                if shard is not None:
+                    learn(1)
+                    yield steps(own, start, seen, n, shard)
+                shard, own, n = of, Attention.__new__(Attention), 0
+                own.p, own.empty = {k: x.copy() for k, x in start.items()}, empty
+                adam, seen = Adam(own.p), np.zeros(INPUTS, np.float32)
+            for k in range(0, len(inputs), BATCH):
+                held.append([x[k : k + BATCH] for x in (inputs, targets, there)])
+                learn(BATCH)
         if shard is not None:
             learn(1)
             yield steps(own, start, seen, n, shard)
@@ -601,8 +663,9 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE) -
         return pd.DataFrame({"piece": frame["piece"].iloc[:1], "part": frame["part"].iloc[:1], "shard": frame["part"].iloc[:1], "sums": [total.astype("<f4").tobytes()]})
 
     schema = "piece int, part int, shard int, sums binary"
-    dealt = found.select("inputs", "targets", "there", F.pmod(F.xxhash64(F.lit(shards), "mark"), F.lit(shards)).cast("int").alias("shard"), "mark")
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "mark", "targets").select("inputs", "targets", "there", "shard")
+    kept, last = (["text"], "text") if whole else (["inputs", "targets", "there"], "targets")
+    dealt = found.select(*kept, F.pmod(F.xxhash64(F.lit(shards), "mark"), F.lit(shards)).cast("int").alias("shard"), "mark")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "mark", last).select(*kept, "shard")
     sums = dealt.mapInArrow(run, schema)
     rows = sums.groupBy("piece", "part").applyInPandas(add, schema).groupBy("piece").applyInPandas(add, schema).collect()
     if rows:
@@ -666,9 +729,9 @@ def _fit_share(aside: DataFrame, counts: DataFrame, model: dict, path: str, roun
 def fit(train: DataFrame, scratch: Scratch, path: str = VOCABULARY, table_words: int = TABLE_WORDS) -> tuple[dict, DataFrame]:
     """(model, word counts) from all texts of ``train`` (text).
 
-    Counts cover every text.  The attention layer is trained on about TRAIN_DOCS texts and TRAIN_SHARE of all others,
-    drawn by a hash, equal ones taken once.  The driver holds TRAIN_WINDOWS windows and ASIDE_WINDOWS windows
-    at most, workers ``table_words`` words of the table.
+    Counts cover every text, and the attention layer is trained on every text, equal ones taken once; those kept aside
+    decide on rounds and on the table's weight.  The driver holds TRAIN_WINDOWS windows and ASIDE_WINDOWS windows to start
+    from, at most, workers ``table_words`` words of the table.
     """
     spark = train.sparkSession
     counts = scratch.put(count_words(train), "counts")
@@ -692,26 +755,36 @@ def fit(train: DataFrame, scratch: Scratch, path: str = VOCABULARY, table_words:
     layout = Layout(by_id, np.append(spell.opens, True))
     net = Attention(layout)
     model = {"layout": layout, "net": net, "table": listed, "share": TABLE_WEIGHT, "listed": max(total, 1), "total": total, "v": v}
-    mark = F.xxhash64("text")
-    share = min(1.0, TRAIN_SHARE + TRAIN_DOCS / max(n_docs, 1))
-    some = train.select("text").where(F.pmod(mark, F.lit(2**20)) < int(share * 2**20)).distinct()
-    some = some.withColumn("aside", F.pmod(F.shiftright(mark, 20), F.lit(ASIDE)) == 0)
+    texts = train.select("text").distinct().withColumn("mark", F.xxhash64("text"))
+    texts = scratch.put(texts.withColumn("aside", F.pmod(F.shiftright("mark", 20), F.lit(ASIDE)) == 0), "texts")
     lay = spark.sparkContext.broadcast(layout)
-    found = scratch.put(_sample_windows(some, lay, path), "windows")
-    taken, aside = found.where("not aside"), found.where("aside")
-    first = _arrays(taken.orderBy("mark", "targets").limit(TRAIN_WINDOWS), layout)
+    taken, aside = texts.where("not aside"), texts.where("aside")
+    # about two characters an id
+    about = {bool(r["aside"]): int(r["n"] + (r["size"] or 0) // (2 * STRIDE)) for r in texts.groupBy("aside").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size")).collect()}
+
+    def some(of: DataFrame, kept: bool, most: int) -> tuple:
+        """Windows of texts with low hashes, about four times ``most`` of which ``most`` are taken."""
+        share = min(1.0, 4 * most / max(about.get(kept, 0), 1))
+        low = of.where(F.pmod(F.xxhash64("mark"), F.lit(2**20)) < math.ceil(share * 2**20))
+        return _arrays(_sample_windows(low, lay, path).orderBy("mark", "targets").limit(most), layout)
+
+    first = some(taken, False, TRAIN_WINDOWS)
     if len(first[0]):
-        kept = _arrays(aside.orderBy("mark", "targets").limit(ASIDE_WINDOWS), layout)
+        kept = some(aside, True, ASIDE_WINDOWS)
         looked = kept if len(kept[0]) else None
         net.train(*first, looked)
         del first
-        for k in range(ROUNDS if looked else 0):
-            before, worth = {n: x.copy() for n, x in net.p.items()}, net.loss(*looked)
-            _round(taken.where(F.pmod(F.xxhash64("mark"), F.lit(ROUNDS)) == k), net, lay)
-            if net.loss(*looked) > worth:
+        worth = _mean_loss(aside, net, lay, path) if looked else 0.0
+        for k in range(ROUNDS if looked or about[False] > TRAIN_WINDOWS else 0):
+            before = {n: x.copy() for n, x in net.p.items()}
+            _round(taken.where(F.pmod(F.xxhash64("mark"), F.lit(ROUNDS)) == k), net, lay, path=path, shards=max(1, -(-about[False] // (ROUNDS * SHARD_WINDOWS))))
+            now = _mean_loss(aside, net, lay, path) if looked else worth
+            if now > worth:
                 net.p = before
-    model["share"] = _fit_share(some.where("aside and text is not null"), counts, model, path)
-    scratch.drop(found)
+            else:
+                worth = now
+    model["share"] = _fit_share(aside.where("text is not null"), counts, model, path)
+    scratch.drop(texts)
     return model, counts
 
 

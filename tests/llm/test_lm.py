@@ -93,3 +93,24 @@ def test_scores_do_not_hang_on_the_partitioning(spark, monkeypatch):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(told[0]) == 400
     assert max(abs(told[0][k] - told[1][k]) for k in told[0]) < 1e-4
+
+
+def test_every_training_text_is_in_a_round(spark, monkeypatch):
+    """Texts of one window each, more than the driver or a share would take."""
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "TRAIN_WINDOWS", 300)
+    told, step = [], lm._round
+    monkeypatch.setattr(lm, "_round", lambda found, *a, **b: told.append(found.count()) or step(found, *a, **b))
+    docs = spark.range(5000).selectExpr("concat('w', id % 4500, ' x') as text")
+    lm.fit(docs, Scratch(spark, "test"), table_words=40)
+    assert sum(told) == docs.distinct().where("pmod(shiftright(xxhash64(text), 20), 10) <> 0").count()
+
+
+def test_mean_loss_by_tasks(spark):
+    docs = _docs(spark, 60).selectExpr("text", "true as aside")
+    by_id = np.bincount(np.arange(3000), minlength=lm.spelling().size + 1).astype(float)
+    layout = lm.Layout(by_id, np.append(lm.spelling().opens, True))
+    net, lay = lm.Attention(layout), spark.sparkContext.broadcast(layout)
+    looked = lm._arrays(lm._sample_windows(docs, lay, lm.VOCABULARY), layout)
+    assert lm._mean_loss(docs.repartition(3), net, lay, lm.VOCABULARY) == pytest.approx(net.loss(*looked), rel=1e-4)
+    assert lm._mean_loss(docs.limit(0), net, lay, lm.VOCABULARY) == 0
