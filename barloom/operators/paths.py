@@ -8,6 +8,9 @@ and its deepest fall.  Two neighbouring stretches merge in order,
 so a ledger may be cut anywhere: windows order the trades of one run, and a second window orders the runs of a key, which
 are few.  Losing streaks merge alike, by the places of the last trade that ended one.
 
+Random orders are not exploded into rows: tasks deal the trades of a chunk to the runs of every order in packed columns, so a
+trade of an order costs its digest's head and its value, and a task that gets a run walks it in numpy.
+
 Null values count as 0.  Trades of a key that tie in order stay in one run; ties are ordered by value.
 """
 
@@ -15,11 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: trades that a run is meant to hold
 RUN_ROWS = 200_000
+#: trades that a task deals at once, and trades of shuffled orders that a task walks
+CHUNK_ROWS, TASK_ROWS = 400_000, 2_000_000
 
 
 def run_edges(trades: DataFrame, order: str, run_rows: int = RUN_ROWS) -> list[float]:
@@ -125,16 +132,123 @@ def shuffled(trades: DataFrame, key: str, value: str, tie: str, reps: int, run_r
     """(key, rep, n, total, max_drawdown, max_losses, max_wins) of ``reps`` random orders of each key's trades.
 
     An order is a digest of seed, repetition and trade, so it is the same on any cluster and after any retry; its first
-    digits are the run.  ``tie`` names a trade.
+    digits are the run.  ``tie`` names a trade.  Of a digest the first ten bytes are kept; trades that agree in them are
+    ordered by value.
     """
-    digits = 0
     n = trades.count()
-    while n / 16**digits > run_rows:
-        digits += 1
-    rows = trades.select(key, F.col(value).cast("double").alias("_value"), F.col(tie).cast("string").alias("_tie"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.coalesce("_tie", F.lit(""))).cast("binary"))
-    rows = rows.withColumn("_mark", mark).withColumn("run", F.substring("_mark", 1, digits))
-    return merged(run_parts(rows, [key, "rep"], "_value", ["_mark"]), [key, "rep"])
+    runs = max(1, -(-n // run_rows))
+    chunks = max(-(-n // CHUNK_ROWS), min(32, -(-n // 5000)), 1)
+    parts = min(reps * runs, max(32, -(-n * reps // TASK_ROWS)))
+    rows = trades.select(key, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_value"), F.coalesce(F.col(tie).cast("string"), F.lit("")).cast("binary").alias("_tie"))
+    kind = trades.schema[key].dataType
+    packed = T.StructType().add("rep", "integer").add("run", "integer").add("keys", T.ArrayType(kind)).add("lens", T.ArrayType(T.IntegerType())).add("heads", "binary").add("tails", "binary").add("unit", "integer").add("values", "binary")
+    told = T.StructType().add(key, kind).add("rep", "integer").add("run", "integer").add("n", "long")
+    for c in _RUN_SUMS:
+        told = told.add(c, "double")
+    for c in _RUN_COUNTS:
+        told = told.add(c, "long")
+    dealt = rows.repartition(chunks).mapInArrow(_dealer(reps, runs, seed), packed)
+    walked = dealt.repartition(parts, "rep", "run").groupBy("rep", "run").applyInArrow(_walker(key), told)
+    return merged(walked, [key, "rep"])
+
+
+_RUN_SUMS = ("sum", "high", "low", "fall")
+_RUN_COUNTS = tuple(f"{part}_{own}" for own in ("losses", "wins") for part in ("lead", "most", "break"))
+#: a value is kept as a whole number of hundredths or the like where that is exact, else (0) as it is
+_UNITS = (1, 100, 10_000)
+
+
+def _dealer(reps: int, runs: int, seed: int):
+    """Trades (key, value, tie) of a task, dealt to the runs of every order: one packed row for each run of a chunk."""
+
+    def deal(batches):
+        from hashlib import md5
+
+        import pyarrow as pa
+
+        def chunk(held):
+            table = pa.Table.from_batches(held)
+            found = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            code, names = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+            v, ties = table.column(1).to_numpy(), table.column(2).to_pylist()
+            for unit in (*_UNITS, 0):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    scaled = np.rint(v * unit)
+                    if unit and (np.abs(scaled) < 2**31).all() and (scaled / unit == v).all():
+                        v = scaled.astype("<i4")
+                        break
+            for rep in range(1, reps + 1):
+                start = f"{seed}:{rep}:".encode()
+                digest = np.frombuffer(b"".join([md5(start + t).digest() for t in ties]), np.uint8).reshape(-1, 16)
+                head, tail = digest[:, :8].copy().view(">u8").ravel().astype("<u8"), digest[:, 8:10].copy().view(">u2").ravel().astype("<u2")
+                place = ((head >> np.uint64(32)) * np.uint64(runs) >> np.uint64(32)).astype(np.int64) * len(names) + code
+                order = np.argsort(place, kind="stable")
+                place, head, tail, mine = place[order], head[order], tail[order], v[order]
+                first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))  # of each run and key
+                lens = np.diff(np.append(first, len(place))).astype(np.int32)
+                run = place[first] // len(names)
+                turn = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [len(run)]))  # of each run
+                cuts = np.append(first, len(place))[turn]
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                packed = lambda x, spans=spans: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+                listed = lambda x, turn=turn: pa.ListArray.from_arrays(pa.array(turn, pa.int32()), x)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([rep] * len(spans), pa.int32()), pa.array(run[turn[:-1]], pa.int32()), listed(names.take(pa.array(place[first] % len(names)))), listed(pa.array(lens)),
+                        packed(head), packed(tail), pa.array([unit] * len(spans), pa.int32()), packed(mine),
+                    ],
+                    names=["rep", "run", "keys", "lens", "heads", "tails", "unit", "values"],
+                )
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_ROWS:
+                yield from chunk(held)
+                held, n = [], 0
+        if n:
+            yield from chunk(held)
+
+    return deal
+
+
+def _walker(key: str):
+    """The packed rows of one run of one order, put in order and walked key by key."""
+
+    def path(v: np.ndarray) -> list:
+        """What ``run_parts`` says of a run's values in order, from ``n`` on."""
+        equity = np.cumsum(v)
+        peak = np.maximum(np.maximum.accumulate(equity), 0.0)
+        out = [len(v), equity[-1], max(0.0, equity.max()) if equity[-1] == equity[-1] else np.nan, min(0.0, np.fmin.reduce(equity)), (peak - equity).max()]
+        at = np.arange(1, len(v) + 1)
+        for breaker in (~(v < 0), v <= 0):
+            last = np.maximum.accumulate(np.where(breaker, at, 0))
+            lead = int(np.argmax(breaker)) if last[-1] else len(v)
+            out += [lead or None, int((at - last)[lead:].max()) if last[-1] else None, int(last[-1])]
+        return out
+
+    def walk(group, table):
+        import pyarrow as pa
+
+        whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        values = [np.frombuffer(x, "<i4") / unit if unit else np.frombuffer(x, "<f8") for x, unit in zip(table.column("values").to_pylist(), table.column("unit").to_pylist(), strict=True)]
+        head, tail, v = whole("heads", "<u8"), whole("tails", "<u2"), np.concatenate(values)
+        found = table.column("keys").combine_chunks().flatten().dictionary_encode(null_encoding="encode")
+        lens = table.column("lens").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        code = np.repeat(found.indices.to_numpy(zero_copy_only=False), lens)
+        order = np.lexsort((head, code))
+        same = head[order]
+        if (same[1:] == same[:-1]).any():
+            order = np.lexsort((v, tail, head, code))
+        code, v = code[order], v[order]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1))
+        told = [path(x) for x in np.split(v, first[1:])]
+        rep, run = (pa.array([g.as_py()] * len(told), pa.int32()) for g in group)
+        columns = [pa.array(c, pa.float64() if 1 <= k <= 4 else pa.int64()) for k, c in enumerate(zip(*told, strict=True))]
+        return pa.Table.from_arrays([found.dictionary.take(pa.array(code[first])), rep, run, *columns], names=[key, "rep", "run", "n", *_RUN_SUMS, *_RUN_COUNTS])
+
+    return walk
 
 
 def monte_carlo(trades: DataFrame, key: str, value: str, tie: str, reps: int = 200, run_rows: int = RUN_ROWS, seed: int = 42) -> DataFrame:

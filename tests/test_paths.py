@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from itertools import combinations
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from barloom.operators import paths, predicates
@@ -61,6 +62,40 @@ def test_every_shuffled_order_is_its_own_loop(spark, run_rows):
     assert (told["a"].p5, told["a"].p50, told["a"].worst, told["a"].reps) == (falls[0], falls[3], falls[-1], 6)
 
 
+def test_shuffled_orders_move_little(spark):
+    """A trade of an order costs a few bytes between tasks, whatever the number of runs."""
+    frame = spark.range(40_000).selectExpr("concat('key ', id % 3) as cfg", "id as seq", "round(pmod(hash(id), 100000) / 10000 - 4.9, 4) as ret")
+    sc = spark.sparkContext
+    sc.setJobGroup("moved", "")
+    try:
+        paths.shuffled(frame, "cfg", "ret", "seq", 20, 4_000).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for j in sc.statusTracker().getJobIdsForGroup("moved") for k in sc.statusTracker().getJobInfo(j).stageIds}
+    moved = 0
+    for k in stages:
+        try:
+            moved += sc._jsc.sc().statusStore().lastStageAttempt(k).shuffleWriteBytes()
+        except Py4JJavaError:  # a stage that was never started, as its blocks were there
+            continue
+    assert moved < 24 * 40_000 * 20
+
+
+def test_shuffled_orders_of_odd_values(spark):
+    """Null and non-finite values, null keys and ties, repeated trades, values that are no whole hundredths."""
+    rows = [("a", 1, 0.1 + 0.2), ("a", 1, -1 / 3), ("a", None, None), ("a", 2, -2.0), (None, 1, -1.5), (None, 2, 3.25e6), ("inf", 1, float("inf")), ("b", 7, -0.0)]
+    frame = spark.createDataFrame(rows, "cfg string, seq long, ret double")
+    got = {(r.cfg, r.rep): r for r in paths.shuffled(frame, "cfg", "ret", "seq", 3, 2, seed=9).collect()}
+    for cfg in {r[0] for r in rows}:
+        for rep in range(1, 4):
+            mine = sorted((hashlib.md5(f"9:{rep}:{'' if r[1] is None else r[1]}".encode()).hexdigest(), r[2] or 0.0) for r in rows if r[0] == cfg)
+            fall, losses, wins, _, _ = walk([v for _, v in mine])
+            r = got[cfg, rep]
+            assert (r.max_losses, r.max_wins, r.n) == (losses, wins, len(mine)), (cfg, rep)
+            assert cfg == "inf" or r.max_drawdown == pytest.approx(fall)
+    assert paths.shuffled(frame.limit(0), "cfg", "ret", "seq", 3).count() == 0
+
+
 def test_predicate_search_by_brute_force(spark):
     draw = random.Random(11)
     begin = datetime(2024, 1, 30)
