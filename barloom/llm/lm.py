@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import math
+import threading
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -57,7 +59,55 @@ MEMORY, COUNTED = 400_000, 300_000
 CHUNK = 256
 LOG10 = math.log(10)
 
+#: rows of one id that are added one after the other; more are added at once
+FEW = 8
+
 _loaded: dict = {}
+_rooms = threading.local()
+
+
+def _room(name: str, *shape: int, kind=np.float32) -> np.ndarray:
+    """An array with the memory of the last one of this name: fresh pages for every batch cost as much as the work on them."""
+    size, rooms, key = math.prod(shape), _rooms.__dict__, f"{name} {np.dtype(kind)}"
+    if key not in rooms or rooms[key].size < size:
+        rooms[key] = np.empty(size, kind)
+    return rooms[key][:size].reshape(shape)
+
+
+#: sums of exponentials that 32 bits lose
+_LEAST = np.float32(1e-37)
+#: numpy compares with an array faster than with a number
+_ZEROS = np.zeros((max(BATCH, CHUNK) * STRIDE, HIDDEN), np.float32)
+
+
+def _below(x: np.ndarray, most: float) -> None:
+    if x.size and x.max() > most:
+        np.minimum(x, most, out=x)
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the order of their ids, where each id begins in it, distinct ids, which of these stands at a place)."""
+    flat = ids.astype(np.uint16).ravel()
+    by = np.argsort(flat, kind="stable")
+    inorder = flat[by]
+    new = np.append(True, inorder[1:] != inorder[:-1])
+    first, at = np.flatnonzero(new), np.empty(len(flat), np.int64)
+    at[by] = np.cumsum(new) - 1
+    return by, first, inorder[first].astype(np.int64), at.reshape(ids.shape)
+
+
+def _sums(x: np.ndarray, by: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``x`` that have one id, as :func:`_distinct` orders them."""
+    count = np.diff(first, append=len(by))
+    x = x.take(by, axis=0, out=_room("ordered", *x.shape, kind=x.dtype), mode="clip")
+    out = x.take(first, axis=0)
+    few = count <= FEW
+    for r in range(1, FEW):
+        more = np.flatnonzero(few & (count > r))
+        out[more] += x.take(first[more] + r, axis=0)
+    for k in np.flatnonzero(~few):
+        np.add.reduce(x[first[k] : first[k] + count[k]], axis=0, out=out[k])
+    return out
 
 
 class Spelling:
@@ -199,43 +249,6 @@ class Attention:
         }
         self.empty = layout.empty
 
-    def forward(self, inputs: np.ndarray, groups: np.ndarray, slots: np.ndarray):
-        """(log probability of the target slots, what backward needs); inputs [n, WIDTH], targets [n, STRIDE]."""
-        p = self.p
-        q_of, k_of, v_of, e_of = self.tables()
-        q, k, v = q_of[inputs[:, CONTEXT:]], k_of[inputs], v_of[inputs]
-        s = q @ k.transpose(0, 2, 1)
-        s += np.where(_SEEN, p["near"][_DELTA], np.float32(-1e4))
-        np.clip(s, -1e4, 60, out=s)
-        np.exp(s, out=s)
-        s *= (inputs != self.empty)[:, None, :]
-        s /= s.sum(-1, keepdims=True)
-        x = np.concatenate([e_of[inputs[:, CONTEXT:]], s @ v], axis=2).reshape(-1, 2 * DIM)
-        h = np.maximum(x @ p["w1"] + p["b1"], 0)
-        g, t = groups.ravel(), slots.ravel()
-        rows = np.arange(len(g))
-        lg = h @ p["ug"] + p["bg"]
-        lg -= lg.max(1, keepdims=True)
-        out = lg[rows, g]
-        eg = np.exp(lg)
-        zg = eg.sum(1)
-        out = out - np.log(zg)
-        order = np.argsort(g, kind="stable")
-        bounds = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        hs = h[order]
-        ls = np.empty((len(g), SLOTS), np.float32)
-        for k_ in range(GROUPS):
-            a, b = bounds[k_], bounds[k_ + 1]
-            if b > a:
-                np.matmul(hs[a:b], p["us"][k_], out=ls[a:b])
-                ls[a:b] += p["bs"][k_]
-        ls -= ls.max(1, keepdims=True)
-        picked = ls[rows, t[order]]
-        es = np.exp(ls)
-        zs = es.sum(1)
-        out[order] += picked - np.log(zs)
-        return out.reshape(groups.shape), (s, q, k, v, x, h, eg / zg[:, None], es / zs[:, None], order, bounds)
-
     def tables(self):
         p = self.p
         return p["embed"] @ p["wq"], p["embed"] @ p["wk"], p["embed"] @ p["wv"], p["embed"]
@@ -248,89 +261,145 @@ class Attention:
         return q, k, v, e @ p["w1"][:DIM] + p["b1"], p["w1"][DIM:].copy(), near, np.ones(WIDTH, np.float32), np.ones(GROUPS, np.float32), np.ones(SLOTS, np.float32)
 
     def score(self, inputs: np.ndarray, groups: np.ndarray, slots: np.ndarray, tables) -> np.ndarray:
-        """As :meth:`forward`, without what only training needs; groups are bytes."""
-        p = self.p
+        """Log probability of the target slots; inputs [n, WIDTH], targets [n, STRIDE]; ``tables`` are :meth:`scoring_tables`."""
+        p, n = self.p, len(inputs)
+        m, room = n * STRIDE, partial(_room, kind=p["w1"].dtype)
         q_of, k_of, v_of, h_of, wo, near, one_w, one_g, one_s = tables
         asked = inputs[:, CONTEXT:]
-        s = q_of.take(asked, axis=0) @ k_of.take(inputs, axis=0).transpose(0, 2, 1)
+        s = np.matmul(q_of.take(asked, axis=0), k_of.take(inputs, axis=0).transpose(0, 2, 1), out=room("s", n, STRIDE, WIDTH))
         s += near
-        np.minimum(s, 60, out=s)
+        _below(s, 60)
         np.exp(s, out=s)
         gaps = np.flatnonzero(inputs[:, 0] == self.empty)
         if len(gaps):  # empty places stand at a text's start only
             s[gaps] *= (inputs[gaps] != self.empty)[:, None, :]
-        o = s @ v_of.take(inputs, axis=0)
+        o = np.matmul(s, v_of.take(inputs, axis=0, out=room("v", n, WIDTH, DIM), mode="clip"), out=room("o", n, STRIDE, DIM))
         o /= (s @ one_w)[:, :, None]
-        h = o.reshape(-1, DIM) @ wo
-        h += h_of.take(asked.ravel(), axis=0)
-        np.maximum(h, 0, out=h)
-        g, t = groups.ravel(), slots.ravel()
-        rows = np.arange(len(g))
-        lg = h @ p["ug"]
+        h = np.matmul(o.reshape(-1, DIM), wo, out=room("h", m, HIDDEN))
+        h += h_of.take(asked.ravel(), axis=0, out=room("dh", m, HIDDEN), mode="clip")
+        np.maximum(h, _ZEROS[: len(h)] if len(h) <= len(_ZEROS) else 0, out=h)
+        # the rest in the order of groups
+        order, gs, ts, parts, rows = self._by_group(groups, slots)
+        hs = h.take(order, axis=0, out=room("hs", m, HIDDEN), mode="clip")
+        lg = np.matmul(hs, p["ug"], out=room("lg", m, GROUPS))
         lg += p["bg"]
-        np.minimum(lg, 80, out=lg)
-        out = lg[rows, g]
+        _below(lg, 80)
+        logp = lg[rows, gs]
         np.exp(lg, out=lg)
-        out -= np.log(lg @ one_g)
-        order = np.argsort(g, kind="stable")
-        bounds = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        hs = h.take(order, axis=0)
-        ls = np.empty((len(g), SLOTS), np.float32)
-        for c in range(GROUPS):
-            a, b = bounds[c], bounds[c + 1]
-            if b > a:
-                np.matmul(hs[a:b], p["us"][c], out=ls[a:b])
-                ls[a:b] += p["bs"][c]
-        np.minimum(ls, 80, out=ls)
-        picked = ls[rows, t[order]]
+        logp -= np.log(lg @ one_g)
+        ls = p["bs"].take(gs, axis=0, out=room("ls", m, SLOTS), mode="clip")
+        for c, part in parts:
+            ls[part] += hs[part] @ p["us"][c]
+        _below(ls, 80)
+        logp += ls[rows, ts]
         np.exp(ls, out=ls)
-        out[order] += picked - np.log(ls @ one_s)
+        logp -= np.log(ls @ one_s)
+        out = np.empty(m, np.float32)
+        out[order] = logp
         return out.reshape(groups.shape)
 
+    @staticmethod
+    def _by_group(groups: np.ndarray, slots: np.ndarray):
+        g = groups.ravel().astype(np.uint8)
+        order = np.argsort(g, kind="stable")
+        gs = g[order]
+        bounds = np.searchsorted(gs, np.arange(GROUPS + 1))
+        parts = [(c, slice(bounds[c], bounds[c + 1])) for c in range(GROUPS) if bounds[c + 1] > bounds[c]]
+        return order, gs.astype(np.int64), slots.ravel()[order], parts, np.arange(len(g))
+
+    def forward(self, inputs: np.ndarray, groups: np.ndarray, slots: np.ndarray):
+        """(as :meth:`score`, what backward needs, until the next batch)."""
+        p = self.p
+        n = len(inputs)
+        m, one_w, room = n * STRIDE, np.ones(WIDTH, np.float32), partial(_room, kind=p["w1"].dtype)
+        # what depends on one id alone is worked out once for every id
+        by, first, ids, at = _distinct(inputs)
+        asked = np.ascontiguousarray(at[:, CONTEXT:])
+        w_e, w_o = p["w1"][:DIM], p["w1"][DIM:]
+        e = p["embed"][ids]
+        q_of, k_of, v_of = e @ p["wq"], e @ p["wk"], e @ p["wv"]
+        h_of = e @ w_e + p["b1"]
+        q, k, v = q_of.take(asked, axis=0), k_of.take(at, axis=0), v_of.take(at, axis=0, out=room("v", n, WIDTH, DIM), mode="clip")
+        s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", n, STRIDE, WIDTH))
+        s += np.where(_SEEN, p["near"][_DELTA], np.float32(-1e4))
+        _below(s, 60)
+        np.exp(s, out=s)
+        gaps = np.flatnonzero(inputs[:, 0] == self.empty)
+        if len(gaps):
+            s[gaps] *= (inputs[gaps] != self.empty)[:, None, :]
+        s /= (s.reshape(-1, WIDTH) @ one_w).reshape(n, STRIDE, 1)
+        o = np.matmul(s, v, out=room("o", n, STRIDE, DIM)).reshape(-1, DIM)
+        h = np.matmul(o, w_o, out=room("h", m, HIDDEN))
+        h += h_of.take(asked.ravel(), axis=0, out=room("dh", m, HIDDEN), mode="clip")
+        np.maximum(h, _ZEROS[: len(h)] if len(h) <= len(_ZEROS) else 0, out=h)
+        # the softmax in the order of groups
+        order, gs, ts, parts, rows = self._by_group(groups, slots)
+        hs = h.take(order, axis=0, out=room("hs", m, HIDDEN), mode="clip")
+        lg = np.matmul(hs, p["ug"], out=room("lg", m, GROUPS))
+        lg += p["bg"]
+        _below(lg, 80)
+        logp = lg[rows, gs]
+        np.exp(lg, out=lg)
+        zg = np.maximum(lg @ np.ones(GROUPS, np.float32), _LEAST)
+        logp -= np.log(zg)
+        ls = p["bs"].take(gs, axis=0, out=room("ls", m, SLOTS), mode="clip")
+        for c, part in parts:
+            ls[part] += hs[part] @ p["us"][c]
+        _below(ls, 80)
+        logp += ls[rows, ts]
+        np.exp(ls, out=ls)
+        zs = np.maximum(ls @ np.ones(SLOTS, np.float32), _LEAST)
+        logp -= np.log(zs)
+        out = np.empty(m, logp.dtype)
+        out[order] = logp
+        return out.reshape(groups.shape), (by, first, ids, asked, e, q, k, v, s, o, hs, lg, zg, ls, zs, order, gs, ts, parts, rows)
+
     def gradient(self, inputs, groups, slots, weights) -> tuple[float, dict]:
         """(mean loss, gradient of every parameter); weights [n, STRIDE] are 0 at places without a target."""
         p = self.p
-        logp, (s, q, k, v, x, h, pg, ps, order, bounds) = self.forward(inputs, groups, slots)
-        n, total = len(inputs), max(float(weights.sum()), 1.0)
-        w = (weights.ravel() / total).astype(np.float32)
-        g, t = groups.ravel(), slots.ravel()
-        rows = np.arange(len(g))
-        d = {}
-        dg = pg * w[:, None]
-        dg[rows, g] -= w
-        ds = ps * w[order][:, None]
-        ds[rows, t[order]] -= w[order]
-        d["ug"], d["bg"] = h.T @ dg, dg.sum(0)
-        dh = dg @ p["ug"].T
-        hs, dhs = h[order], np.zeros_like(h)
-        d["us"], d["bs"] = np.zeros_like(p["us"]), np.zeros_like(p["bs"])
-        for c in range(GROUPS):
-            a, b = bounds[c], bounds[c + 1]
-            if b > a:
-                d["us"][c], d["bs"][c] = hs[a:b].T @ ds[a:b], ds[a:b].sum(0)
-                dhs[a:b] = ds[a:b] @ p["us"][c].T
-        dh[order] += dhs
-        dh *= h > 0
-        d["w1"], d["b1"] = x.T @ dh, dh.sum(0)
-        dx = (dh @ p["w1"].T).reshape(n, STRIDE, 2 * DIM)
-        do = dx[:, :, DIM:]
-        dv = s.transpose(0, 2, 1) @ do
-        da = do @ v.transpose(0, 2, 1)
-        da = s * (da - (da * s).sum(-1, keepdims=True))
+        logp, (by, first, ids, asked, e, q, k, v, s, o, hs, lg, zg, ls, zs, order, gs, ts, parts, rows) = self.forward(inputs, groups, slots)
+        n, m, us, room = len(inputs), len(rows), p["us"], partial(_room, kind=p["w1"].dtype)
+        w_e, w_o, one_w = p["w1"][:DIM], p["w1"][DIM:], np.ones(WIDTH, np.float32)
+        total = max(float(weights.sum()), 1.0)
+        w = (weights.ravel() / total).astype(np.float32)[order]
+        lg *= (w / zg)[:, None]
+        lg[rows, gs] -= w
+        ls *= (w / zs)[:, None]
+        ls[rows, ts] -= w
+        one = np.ones(m, np.float32)
+        d = {"ug": hs.T @ lg, "bg": one @ lg, "us": np.zeros_like(us), "bs": np.zeros_like(p["bs"])}
+        dhs, back = np.matmul(lg, p["ug"].T, out=room("h", m, HIDDEN)), room("back", m, HIDDEN)
+        for c, part in parts:
+            np.matmul(hs[part].T, ls[part], out=d["us"][c])
+            np.matmul(one[part], ls[part], out=d["bs"][c])
+            np.matmul(ls[part], us[c].T, out=back[part])
+        dhs += back
+        dhs *= hs > 0
+        dh = room("dh", m, HIDDEN)
+        dh[order] = dhs
+        d["b1"] = one @ dh
+        do = np.matmul(dh, w_o.T, out=room("back", m, DIM)).reshape(n, STRIDE, DIM)
+        dv = np.matmul(s.transpose(0, 2, 1), do, out=room("dv", n, WIDTH, DIM))
+        da = np.matmul(do, v.transpose(0, 2, 1), out=room("da", n, STRIDE, WIDTH))
+        da *= s
+        s *= (da.reshape(-1, WIDTH) @ one_w).reshape(n, STRIDE, 1)
+        da -= s
         d["near"] = np.bincount(_DELTA.ravel(), (da.sum(0) * _SEEN).ravel(), WIDTH).astype(np.float32)
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        own = p["embed"][inputs]
-        mine = own[:, CONTEXT:].reshape(-1, DIM)
-        d["wq"] = mine.T @ dq.reshape(-1, KEY)
-        d["wk"] = own.reshape(-1, DIM).T @ dk.reshape(-1, KEY)
-        d["wv"] = own.reshape(-1, DIM).T @ dv.reshape(-1, DIM)
+        # by id: of values and keys at every place, of queries and the residual's hidden part at the asked ones
+        over, own = room("over", n, WIDTH, DIM + KEY), room("own", n, STRIDE, KEY + HIDDEN)
+        over[:, :, :DIM], over[:, :, DIM:] = dv, da.transpose(0, 2, 1) @ q
+        own[:, :, :KEY], own[:, :, KEY:] = da @ k, dh.reshape(n, STRIDE, HIDDEN)
+        over = _sums(over.reshape(n * WIDTH, -1), by, first)
+        dv, dk = over[:, :DIM], over[:, DIM:]
+        by, first, which, _ = _distinct(asked)
+        own = _sums(own.reshape(m, -1), by, first)
+        dq, dh_of = own[:, :KEY], own[:, KEY:]
+        d["w1"] = np.concatenate([e[which].T @ dh_of, o.T @ dh])
+        d["wq"], d["wk"], d["wv"] = e[which].T @ dq, e.T @ dk, e.T @ dv
         de = dk @ p["wk"].T + dv @ p["wv"].T
-        de[:, CONTEXT:] += dx[:, :, :DIM] + dq @ p["wq"].T
-        ids, at = np.unique(inputs, return_inverse=True)
-        by = np.argsort(at.ravel(), kind="stable")
-        sums = np.add.reduceat(de.reshape(-1, DIM)[by], np.searchsorted(at.ravel()[by], np.arange(len(ids))), axis=0)
+        de[which] += dq @ p["wq"].T + dh_of @ w_e.T
         d["embed"] = np.zeros_like(p["embed"])
-        d["embed"][ids] = sums
+        d["embed"][ids] = de
         return -float((logp.ravel() * weights.ravel()).sum()) / total, d
 
     def train(self, inputs, groups, slots, weights, aside=None, steps: int = STEPS, rate: float = RATE) -> list[float]:
@@ -357,10 +426,10 @@ class Attention:
 
     def loss(self, inputs, groups, slots, weights) -> float:
         """Mean loss without training."""
-        total = 0.0
+        total, tables = 0.0, self.scoring_tables()
         for k in range(0, len(inputs), BATCH):
             part = slice(k, k + BATCH)
-            total -= float((self.forward(inputs[part], groups[part], slots[part])[0] * weights[part]).sum())
+            total -= float((self.score(inputs[part], groups[part], slots[part], tables) * weights[part]).sum())
         return total / max(float(weights.sum()), 1.0)
 
 
@@ -369,14 +438,25 @@ class Adam:
 
     def __init__(self, p: dict):
         self.p, self.n = p, 0
-        self.m, self.r = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.m, self.r, self.t = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
 
     def step(self, grads: dict, rate: float) -> None:
         self.n += 1
+        mean, root = 1 - 0.9**self.n, math.sqrt(1 - 0.99**self.n)
         for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.r[k] += 0.01 * (g * g - self.r[k])
-            self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.r[k] / (1 - 0.99**self.n)) + 1e-8)
+            m, r, t = self.m[k], self.r[k], self.t[k]
+            np.multiply(g, 0.1, out=t)
+            m *= 0.9
+            m += t
+            t *= g
+            t *= 0.1
+            r *= 0.99
+            r += t
+            np.sqrt(r, out=t)
+            t += 1e-8 * root
+            np.divide(m, t, out=t)
+            t *= rate * root / mean
+            self.p[k] -= t
 
 
 def windows(ids: np.ndarray, ends: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -402,15 +482,11 @@ def windows(ids: np.ndarray, ends: np.ndarray, layout: Layout) -> tuple[np.ndarr
     return inputs, ids[np.maximum(places, 0)], places
 
 
-class Scorer:
-    """Scores batches of texts; remembers words."""
+class Speller:
+    """Spells batches of texts; remembers words, and what ``table`` counts of them."""
 
-    def __init__(self, model: dict, path: str):
-        self.spell = spelling(path)
-        self.layout, self.net, self.table, self.share = model["layout"], model["net"], model["table"], model["share"]
-        self.tables = self.net.scoring_tables()
-        # what a frequent word's count says, and what the base says of it
-        self.total, self.listed, self.v = model["total"], model["listed"], model["v"]
+    def __init__(self, path: str, table: dict | None = None):
+        self.spell, self.table = spelling(path), table or {}
         self._empty()
 
     def _empty(self) -> None:
@@ -433,14 +509,10 @@ class Scorer:
         self.index.update(zip(words, range(self.known, self.known + len(words)), strict=True))
         self.known, self.used = self.known + len(words), self.used + len(flat)
 
-    def __call__(self, texts: list[bytes]):
-        """(tokens, tokens that the worker's table holds, their base, their score, other words, what the layer says of these) per text; an end is a token."""
+    def ids(self, texts: list[bytes]):
+        """(words of all texts, number of words per text, whether a token is an end, index of its word, where a token stops in the ids, ids)."""
         if self.known > MEMORY:
             self._empty()
-        return self._sums(*self.tokens(texts))
-
-    def tokens(self, texts: list[bytes]):
-        """(words of all texts, number of words per text, whether a token is an end, index of its word, log probability of its spelling)."""
         parts = [words_of(t) for t in texts]
         flat = [w for p in parts for w in p]
         new = list(set(flat) - self.index.keys())
@@ -459,9 +531,29 @@ class Scorer:
         stop = np.cumsum(lens)
         begin = np.where(is_end, 0, self.begin[token]) - (stop - lens)
         ids = self.flat[np.minimum(np.repeat(begin, lens) + np.arange(stop[-1] if total else 0), len(self.flat) - 1)]
-        ids[stop[last] - 1] = self.layout.end
-        logp = self._attend(ids, stop[last])
-        return flat, n_words, is_end, token, np.add.reduceat(logp, stop - lens) if total else np.zeros(0)
+        ids[stop[last] - 1] = self.spell.size
+        return flat, n_words, is_end, token, stop, ids
+
+
+class Scorer(Speller):
+    """Scores batches of texts."""
+
+    def __init__(self, model: dict, path: str):
+        super().__init__(path, model["table"])
+        self.layout, self.net, self.share = model["layout"], model["net"], model["share"]
+        self.tables = self.net.scoring_tables()
+        # what a frequent word's count says, and what the base says of it
+        self.total, self.listed, self.v = model["total"], model["listed"], model["v"]
+
+    def __call__(self, texts: list[bytes]):
+        """(tokens, tokens that the worker's table holds, their base, their score, other words, what the layer says of these) per text; an end is a token."""
+        return self._sums(*self.tokens(texts))
+
+    def tokens(self, texts: list[bytes]):
+        """(words of all texts, number of words per text, whether a token is an end, index of its word, log probability of its spelling)."""
+        flat, n_words, is_end, token, stop, ids = self.ids(texts)
+        logp = self._attend(ids, stop[is_end])
+        return flat, n_words, is_end, token, np.add.reduceat(logp, np.append(0, stop[:-1])) if len(stop) else np.zeros(0)
 
     def _sums(self, flat, n_words, is_end, token, spelled):
         total, last = len(token), np.cumsum(n_words + 1) - 1
@@ -496,31 +588,83 @@ class Scorer:
         return out
 
 
-def _windows_of(text: bytes, spell: Spelling, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, there, marks) of a text; a mark is a hash of the text and the window's number."""
+def _lumps(texts: list[bytes], most: int = 2_000_000):
+    """(first, behind the last) of texts that have at most ``most`` bytes together, or of one text."""
+    done = 0
+    while done < len(texts):
+        size, stop = 0, done
+        while stop < len(texts) and (size == 0 or size + len(texts[stop]) < most):
+            size += len(texts[stop])
+            stop += 1
+        yield done, stop
+        done = stop
+
+
+def _spelled(docs: DataFrame, path: str) -> DataFrame:
+    """(ids, whole, size, mark, aside, text) of ``docs`` (text, aside): subword ids and the end as bytes, two hashes, code points; only texts kept aside keep their text."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        speller = Speller(path)
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            wholes = [xxhash.xxh3_64_digest(t) for t in texts]
+            for a, b in _lumps(texts):
+                *_, is_end, _, stop, ids = speller.ids(texts[a:b])
+                data, ends = ids.astype("<i4").tobytes(), stop[is_end]
+                bounds = np.append(0, ends)
+                spelled = [data[4 * x : 4 * y] for x, y in zip(bounds[:-1], ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(spelled, pa.binary()), pa.array(wholes[a:b], pa.binary()), *(batch.column(k).slice(a, b - a) for k in range(1, 5))], names=["ids", "whole", "size", "mark", "aside", "text"]
+                )
+
+    given = docs.select("text", F.length("text").alias("size"), F.xxhash64("text").alias("mark"), "aside", F.when(F.col("aside"), F.col("text")).alias("kept"))
+    return given.mapInArrow(run, "ids binary, whole binary, size int, mark long, aside boolean, text string")
+
+
+def _cut(batches, layout: Layout, most: int, marked: bool = True):
+    """(key, inputs, targets, there, marks) of rows (ids, whole, key): about ``most`` windows of texts in their order that have one key.
+
+    A mark is a hash of the text and the window's number; where they are not ``marked``, there is none.
+    """
     import xxhash
 
-    ids = np.append(spell.of(words_of(text))[0], layout.end)
-    inputs, targets, places = windows(ids, np.array([len(ids)]), layout)
-    whole = xxhash.xxh3_64_digest(text)
-    marks = [xxhash.xxh3_64_intdigest(whole + k.to_bytes(8, "little")) - 2**63 for k in range(len(inputs))]
-    return inputs, targets.astype(np.int32), places >= 0, np.array(marks, np.int64)
+    key, held, n = None, [], 0
+
+    def out():
+        ids = np.frombuffer(b"".join(x for x, _ in held), "<i4")
+        lengths = np.array([len(x) for x, _ in held]) // 4
+        inputs, targets, places = windows(ids, np.cumsum(lengths), layout)
+        per = -(-lengths // STRIDE)
+        marks = [xxhash.xxh3_64_intdigest(whole + k.to_bytes(8, "little")) - 2**63 for (_, whole), m in zip(held, per.tolist(), strict=True) for k in range(m)] if marked else []
+        return key, inputs, targets, places >= 0, np.array(marks, np.int64)
+
+    for batch in batches:
+        for ids, whole, of in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if held and (of != key or n >= most):
+                yield out()
+                held, n = [], 0
+            key = of
+            held.append((ids, whole))
+            n += -(-len(ids) // (4 * STRIDE))
+    if held:
+        yield out()
 
 
 def _sample_windows(docs: DataFrame, layout, path: str) -> DataFrame:
-    """(inputs, targets, there, mark, aside) windows of ``docs`` (text, aside), as :func:`_windows_of` gives them."""
+    """(inputs, targets, there, mark, aside) windows of ``docs`` (text, aside), or of texts that are spelled."""
 
     def run(batches):
         import pyarrow as pa
 
-        spell, lay = spelling(path), layout.value
-        for batch in batches:
-            for text, aside in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                *three, marks = _windows_of(text, spell, lay)
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.int32)), x.shape[1]).cast(pa.list_(pa.int32())) for x in three]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array(marks, pa.int64()), pa.array([aside] * len(marks), pa.bool_())], names=["inputs", "targets", "there", "mark", "aside"])
+        for aside, *three, marks in _cut(batches, layout.value, PIECE):
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.int32)), x.shape[1]).cast(pa.list_(pa.int32())) for x in three]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array(marks, pa.int64()), pa.array([aside] * len(marks), pa.bool_())], names=["inputs", "targets", "there", "mark", "aside"])
 
-    return docs.select("text", "aside").mapInArrow(run, "inputs array<int>, targets array<int>, there array<int>, mark long, aside boolean")
+    docs = docs if "ids" in docs.columns else _spelled(docs, path)
+    return docs.select("ids", "whole", "aside").mapInArrow(run, "inputs array<int>, targets array<int>, there array<int>, mark long, aside boolean")
 
 
 def _arrays(found: DataFrame, layout: Layout) -> tuple:
@@ -536,34 +680,24 @@ def _flat(p: dict) -> np.ndarray:
 
 
 def _mean_loss(texts: DataFrame, net: Attention, layout, path: str) -> float:
-    """Mean loss over all windows of ``texts`` (text), worked out by tasks."""
+    """Mean loss over all windows of ``texts`` (text, aside), or of texts that are spelled, worked out by tasks."""
     shared = texts.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         import pyarrow as pa
 
-        spell, lay, tables = spelling(path), layout.value, shared.value.scoring_tables()
-        total, n, held = 0.0, 0, []
-
-        def add(least: int) -> None:
-            nonlocal total, n, held
-            while held and sum(len(h[0]) for h in held) >= least:
-                inputs, targets, there = (np.concatenate(x) for x in zip(*held, strict=True))
-                held = [[x[CHUNK:] for x in (inputs, targets, there)]] if len(inputs) > CHUNK else []
-                slot = lay.slot[targets[:CHUNK]]
-                logp = shared.value.score(inputs[:CHUNK], (slot // SLOTS).astype(np.uint8), slot % SLOTS, tables)
-                total, n = total - float(logp[there[:CHUNK]].sum()), n + int(there[:CHUNK].sum())
-
-        for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                three = _windows_of(text, spell, lay)[:3]
-                for k in range(0, len(three[0]), CHUNK):
-                    held.append([x[k : k + CHUNK] for x in three])
-                    add(CHUNK)
-        add(1)
+        lay, tables, total, n = layout.value, shared.value.scoring_tables(), 0.0, 0
+        for _, inputs, targets, there, _ in _cut(batches, lay, PIECE, False):
+            slot = lay.slot[targets]
+            for k in range(0, len(inputs), CHUNK):
+                part = slice(k, k + CHUNK)
+                logp = shared.value.score(inputs[part], slot[part] // SLOTS, slot[part] % SLOTS, tables)
+                total -= float(logp[there[part]].sum())
+            n += int(there.sum())
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64()), pa.array([n], pa.int64())], names=["loss", "n"])
 
-    told = texts.select("text").mapInArrow(run, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
+    texts = texts if "ids" in texts.columns else _spelled(texts, path)
+    told = texts.select("ids", "whole", "aside").mapInArrow(run, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
     shared.unpersist()
     return float(told[0] or 0.0) / max(int(told[1] or 0), 1)
 
@@ -571,7 +705,7 @@ def _mean_loss(texts: DataFrame, net: Attention, layout, path: str) -> float:
 def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, path: str = VOCABULARY, shards: int = 0) -> None:
     """Let tasks train from ``net`` on the shards of ``found``, and move ``net`` by the mean of their steps.
 
-    ``found`` has windows, or texts (text, mark) to be cut into windows by the task that trains on them, dealt to ``shards``.
+    ``found`` has windows, or spelled texts to be cut into windows by the task that trains on them, dealt to ``shards``.
     The mark of a window or text deals it to a shard, and the window's gives its place there, so what is learnt hangs on the windows alone: neither on
     files nor on tasks, nor on what is run again.  Steps are weighed by the windows that they come from, those of an input
     vector by how often its id was seen, so what only few shards see is not averaged away.  They are summed in pieces, in two
@@ -579,7 +713,7 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, p
     """
     shared = found.sparkSession.sparkContext.broadcast(net.p)
     empty = net.empty
-    whole, most = "text" in found.columns, SHARD_WINDOWS
+    whole, most = "ids" in found.columns, SHARD_WINDOWS
     shards = shards if whole else max(1, -(-found.count() // SHARD_WINDOWS))
 
     def steps(own: Attention, start: dict, seen: np.ndarray, n: int, shard: int):
@@ -594,7 +728,7 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, p
             [pa.array(range(len(sums)), pa.int32()), pa.array([shard % PARTS] * len(sums), pa.int32()), pa.array([shard] * len(sums), pa.int32()), pa.array(sums, pa.binary())], names=["piece", "part", "shard", "sums"]
         )
 
-    def cut(batches):
+    def given(batches):
         """(shard, inputs, targets, there) of windows that come in order."""
         for batch in batches:
             three = [batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in range(3)]
@@ -606,23 +740,9 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, p
 
     def spelled(batches):
         """The same of texts; windows of about ``most`` are put in the order of their marks."""
-        spell, shard, held, n = spelling(path), None, [], 0
-
-        def ordered():
-            *three, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+        for shard, *three, marks in _cut(batches, layout.value, most):
             order = np.argsort(marks, kind="stable")
-            return shard, *(x[order] for x in three)
-
-        for batch in batches:
-            for text, of in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if held and (of != shard or n >= most):
-                    yield ordered()
-                    held, n = [], 0
-                shard = of
-                held.append(_windows_of(text, spell, layout.value))
-                n += len(held[-1][0])
-        if held:
-            yield ordered()
+            yield shard, *(x[order] for x in three)
 
     def run(batches):
         lay, start = layout.value, shared.value
@@ -640,7 +760,7 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, p
                 seen += np.bincount(inputs.ravel(), minlength=INPUTS)
                 n += len(inputs)
 
-        for of, inputs, targets, there in (spelled if whole else cut)(batches):
+        for of, inputs, targets, there in (spelled if whole else given)(batches):
             if of != shard:
                 if shard is not None:
                     learn(1)
@@ -663,7 +783,7 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, p
         return pd.DataFrame({"piece": frame["piece"].iloc[:1], "part": frame["part"].iloc[:1], "shard": frame["part"].iloc[:1], "sums": [total.astype("<f4").tobytes()]})
 
     schema = "piece int, part int, shard int, sums binary"
-    kept, last = (["text"], "text") if whole else (["inputs", "targets", "there"], "targets")
+    kept, last = (["ids", "whole"], "ids") if whole else (["inputs", "targets", "there"], "targets")
     dealt = found.select(*kept, F.pmod(F.xxhash64(F.lit(shards), "mark"), F.lit(shards)).cast("int").alias("shard"), "mark")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "mark", last).select(*kept, "shard")
     sums = dealt.mapInArrow(run, schema)
@@ -677,46 +797,50 @@ def _round(found: DataFrame, net: Attention, layout, rate: float = ROUND_RATE, p
             at += x.size
 
 
-def _fit_share(aside: DataFrame, counts: DataFrame, model: dict, path: str, rounds: int = 30) -> float:
+def _fit_share(aside: DataFrame, counts: DataFrame, model: dict, path: str, scratch: Scratch, rounds: int = 30) -> float:
     """Weight of the table by expectation maximisation on all texts of ``aside``, each without its own counts.
 
-    Tasks spell the texts; words that the table holds have their count there, others by a join.  What the weight needs of a
+    Tasks spell the texts, once; words that the table holds have their count there and are counted there, others by a join.  What the weight needs of a
     token is how much likelier the table makes it than its spelling does: hundredths of that are counted, at most 40,001.
     """
-    shared = aside.sparkSession.sparkContext.broadcast(model)
+    shared, total, far = aside.sparkSession.sparkContext.broadcast(model), model["listed"], 20_000
+    names = ["word", "own", "said", "place", "n"]
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
-        scorer = Scorer(shared.value, path)
+        scorer, listed = Scorer(shared.value, path), np.zeros(2 * far + 2, np.int64)
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                if scorer.known > MEMORY:
-                    scorer._empty()
-                flat, _, is_end, token, spelled = scorer.tokens([text])
-                own, at = Counter(flat), np.flatnonzero(~is_end)
-                count = np.zeros(len(spelled), np.int64)
-                count[at] = scorer.count[token[at]]
-                count[is_end] = scorer.table[None]
-                less = np.ones(len(spelled), np.int64)
-                less[at] = [own[w] for w in flat]
-                words = np.empty(len(spelled), object)
-                words[at] = [None if c else w.decode() for w, c in zip(flat, count[at], strict=True)]
-                for k in range(0, len(spelled), 65536):
+            texts = text_bytes(batch.column(0))
+            for a, b in _lumps(texts):
+                flat, n_words, is_end, token, said = scorer.tokens(texts[a:b])
+                count = np.where(is_end, scorer.table[None], scorer.count[token])
+                owner = np.repeat(np.arange(b - a), n_words + 1)
+                _, same, often = np.unique(owner * (scorer.known + 1) + token + 1, return_inverse=True, return_counts=True)
+                own, said = often[same], np.maximum(said, -600.0)
+                held = count > 0
+                rest = np.maximum(count - own, 0)[held]
+                ratio = np.log(np.maximum(rest, 1) / total) - said[held]
+                place = np.clip(np.floor(ratio * 100), -far, far).astype(np.int64) + far
+                listed += np.bincount(np.where(rest > 0, place, 2 * far + 1), minlength=2 * far + 2)
+                rare = np.flatnonzero(~held)
+                words = [flat[k].decode() for k in rare - owner[rare]]  # ends before it are not in ``flat``
+                for k in range(0, len(rare), 65536):
                     part = slice(k, k + 65536)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(words[part], pa.string()), pa.array(count[part]), pa.array(less[part]), pa.array(np.maximum(spelled[part], -600.0))], names=["word", "held", "own", "said"]
-                    )
+                    none = pa.nulls(len(rare[part]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(words[part], pa.string()), pa.array(own[rare[part]]), pa.array(said[rare[part]]), none, none], names=names)
+        at = np.flatnonzero(listed)
+        none = pa.nulls(len(at))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.float64()), pa.array([int(x) - far if x <= 2 * far else None for x in at], pa.int64()), pa.array(listed[at])], names=names)
 
-    told = aside.select("text").mapInArrow(run, "word string, held long, own long, said double")
-    listed = told.where("word is null").select("held", "own", "said")
+    told = scratch.put(aside.select("text").mapInArrow(run, "word string, own long, said double, place long, n long"), "told")
     rare = told.where("word is not null").join(counts.where("word is not null"), "word", "left").select(F.coalesce("c", F.lit(0)).alias("held"), "own", "said")
     rest = F.greatest(F.col("held") - F.col("own"), F.lit(0))
-    place = F.floor((F.log(rest / F.lit(float(model["listed"]))) - F.col("said")) * 100)
-    place = F.when(rest > 0, F.greatest(F.least(place, F.lit(20_000)), F.lit(-20_000)))
-    found = listed.unionByName(rare).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()
+    place = F.floor((F.log(rest / F.lit(float(total))) - F.col("said")) * 100)
+    place = F.when(rest > 0, F.greatest(F.least(place, F.lit(far)), F.lit(-far)))
+    rare = rare.select(place.alias("place"), F.lit(1).cast("long").alias("n"))
+    found = told.where("word is null").select("place", "n").unionByName(rare).groupBy("place").agg(F.sum("n").alias("n")).collect()
+    scratch.drop(told)
     if not found:
         return TABLE_WEIGHT
     ratio = np.array([0.0 if r["place"] is None else math.exp((r["place"] + 0.5) / 100) for r in found])
@@ -755,12 +879,12 @@ def fit(train: DataFrame, scratch: Scratch, path: str = VOCABULARY, table_words:
     layout = Layout(by_id, np.append(spell.opens, True))
     net = Attention(layout)
     model = {"layout": layout, "net": net, "table": listed, "share": TABLE_WEIGHT, "listed": max(total, 1), "total": total, "v": v}
-    texts = train.select("text").distinct().withColumn("mark", F.xxhash64("text"))
-    texts = scratch.put(texts.withColumn("aside", F.pmod(F.shiftright("mark", 20), F.lit(ASIDE)) == 0), "texts")
+    texts = train.select("text").distinct().withColumn("aside", F.pmod(F.shiftright(F.xxhash64("text"), 20), F.lit(ASIDE)) == 0)
+    texts = scratch.put(_spelled(texts, path), "texts")
     lay = spark.sparkContext.broadcast(layout)
     taken, aside = texts.where("not aside"), texts.where("aside")
     # about two characters an id
-    about = {bool(r["aside"]): int(r["n"] + (r["size"] or 0) // (2 * STRIDE)) for r in texts.groupBy("aside").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size")).collect()}
+    about = {bool(r["aside"]): int(r["n"] + (r["size"] or 0) // (2 * STRIDE)) for r in texts.groupBy("aside").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
 
     def some(of: DataFrame, kept: bool, most: int) -> tuple:
         """Windows of texts with low hashes, about four times ``most`` of which ``most`` are taken."""
@@ -783,7 +907,7 @@ def fit(train: DataFrame, scratch: Scratch, path: str = VOCABULARY, table_words:
                 net.p = before
             else:
                 worth = now
-    model["share"] = _fit_share(aside.where("text is not null"), counts, model, path)
+    model["share"] = _fit_share(aside.where("text is not null"), counts, model, path, scratch)
     scratch.drop(texts)
     return model, counts
 
@@ -807,19 +931,13 @@ def score_documents(docs: DataFrame, path: str = VOCABULARY, modulus: int = 7, h
         scorer = Scorer(shared.value, path)
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            done = 0
-            while done < len(texts):
-                size, stop = 0, done
-                while stop < len(texts) and (size == 0 or size + len(texts[stop]) < 2_000_000):
-                    size += len(texts[stop])
-                    stop += 1
+            for done, stop in _lumps(texts):
                 n, known, base, score, rare, said = scorer(texts[done:stop])
                 kept = [batch.column(k).slice(done, stop - done) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(said, pa.list_(pa.float32()))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "said"],
                 )
-                done = stop
 
     scored = texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, said array<float>")
     scored = scratch.put(scored.withColumn("row", F.monotonically_increasing_id()), "scored")

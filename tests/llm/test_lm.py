@@ -114,3 +114,31 @@ def test_mean_loss_by_tasks(spark):
     looked = lm._arrays(lm._sample_windows(docs, lay, lm.VOCABULARY), layout)
     assert lm._mean_loss(docs.repartition(3), net, lay, lm.VOCABULARY) == pytest.approx(net.loss(*looked), rel=1e-4)
     assert lm._mean_loss(docs.limit(0), net, lay, lm.VOCABULARY) == 0
+
+
+def test_weight_fit_reads_the_texts_kept_aside_once(spark, monkeypatch):
+    """Every text is spelled once for training and once for the weight, and the weight is that of a plain count."""
+    docs = _docs(spark, 60).selectExpr("text", "true as aside").cache()
+    scratch = Scratch(spark, "test")
+    counts = scratch.put(lm.count_words(docs), "counts")
+    known = {r.word.encode() if r.word is not None else None: r.c for r in counts.collect()}
+    layout = lm.Layout(np.bincount(np.arange(3000), minlength=lm.spelling().size + 1).astype(float), np.append(lm.spelling().opens, True))
+    table = dict(sorted(((w, c) for w, c in known.items() if w), key=lambda x: -x[1])[:40]) | {None: known[None]}
+    model = {"layout": layout, "net": lm.Attention(layout), "table": table, "share": 0.5, "listed": sum(known.values()), "total": 1, "v": 1}
+    ran = spark.sparkContext.accumulator(0)
+    tokens = lm.text_bytes
+    monkeypatch.setattr(lm, "text_bytes", lambda column: ran.add(len(column)) or tokens(column))
+    share = lm._fit_share(docs, counts, model, lm.VOCABULARY, scratch)
+    scorer, ratio = lm.Scorer(model, lm.VOCABULARY), []
+    for r in docs.collect():
+        text = r.text.encode()
+        words = lm.words_of(text)
+        said = scorer.tokens([text])[4]
+        for w, y in zip([*words, None], said, strict=True):
+            rest = known[w] - (words.count(w) if w is not None else 1)
+            ratio.append(math.exp((math.floor((math.log(rest / model["listed"]) - max(y, -600)) * 100) + 0.5) / 100) if rest > 0 else 0.0)
+    ratio, plain = np.array(ratio), 0.5
+    for _ in range(30):
+        plain = float(np.mean(plain * ratio / (plain * ratio + 1 - plain)))
+    assert ran.value == docs.count()
+    assert share == pytest.approx(plain, rel=1e-3)
